@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import sys
 import uuid
 
@@ -70,6 +71,12 @@ def released(df: DataFrame | None) -> None:
         remove(df.sparkSession, df._lociframe_path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no plan needs any more, instead of at some later time."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
