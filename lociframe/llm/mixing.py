@@ -49,42 +49,85 @@ def budgets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFram
     return sums.select("source", "source_rows", "source_size", target.alias("target"))
 
 
-def mix(sized: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size) rows -> (doc_id, size, source_size, target, taken), one for each row.
+def _key(seed: str):
+    return F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)).cast("binary"))
 
-    ``size`` is not null. A null source is a source of its own. Rows that are
-    equal in id and source stand next to each other in the order, and if they
-    are equal in size as well, which of them is cut is of no consequence.
-    An empty table gives no rows.
-    """
-    spark = sized.sparkSession
-    key = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)).cast("binary"))
-    sized = materialise(sized.select("doc_id", "source", "size", key.alias("key")), "sizes")
+
+def _known(sums: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(sums) if few else sums
+
+
+def _placed(sized: DataFrame, weights, epochs: int, seed: str) -> tuple[DataFrame, bool]:
+    """``sized`` rows with their source's figures and the words before them; and whether there are few sources."""
+    sized = materialise(sized.select("doc_id", "source", "size", _key(seed).alias("key")), "sizes")
     sums = materialise(budgets(sized, weights, epochs), "budgets")
+    few = sums.count() <= BROADCAST_SOURCES
     ranges = F.greatest(F.lit(1), F.least(F.lit(RANGES), F.ceil(F.col("source_rows") / RANGE_ROWS))).cast("long")
-    sums = sums.withColumn("budget", F.round("target").cast("long")).withColumn("ranges", ranges)
-    known = sums.withColumnRenamed("source", "s")
-    if sums.count() <= BROADCAST_SOURCES:
-        known = F.broadcast(known)
-    docs = sized.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    sums = sums.withColumn("budget", F.round("target").cast("long")).withColumn("ranges", ranges).withColumnRenamed("source", "s")
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).cast("long")
+    sums = sums.withColumn("passes", passes).withColumn("rest", F.col("budget") - F.col("passes") * F.col("source_size"))
+    docs = sized.join(_known(sums, few), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     at = F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * F.col("ranges")
     docs = docs.withColumn("range", F.floor(at / F.lit(UNIT)).cast("long"))
-    whole = docs.groupBy("source", "range").agg(F.sum("size").alias("n"))
+    part = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), "range")
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = whole.select("source", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
-    whole = whole.select(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), "range").alias("part"), "source", "range", "earlier")
-    docs = docs.withColumn("part", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), "range"))
-    whole = whole.toDF("part", "s", "r", "earlier")
+    whole = docs.groupBy("source", "range").agg(F.sum("size").alias("n"))
+    whole = whole.select(part.alias("part"), "source", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
     same = (F.col("source").eqNullSafe(F.col("s"))) & (F.col("range") == F.col("r"))
-    docs = docs.join(whole, "part").where(same)
+    docs = docs.withColumn("part", part).join(whole.toDF("part", "s", "r", "earlier"), "part").where(same)
     within = Window.partitionBy("part", "source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.withColumn("before", F.col("earlier") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).cast("long")
-    part = F.col("budget") - passes * F.col("source_size") - F.col("before")
-    taken = passes * F.col("size") + F.greatest(F.lit(0), F.least("size", part))
+    return docs.withColumn("before", F.col("earlier") + F.coalesce(F.sum("size").over(within), F.lit(0))), few
+
+
+def mix(sized: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """(doc_id, source, size) rows -> (doc_id, size, source_size, target, taken), one for each row.
+
+    ``size`` is not null. A null source is a source of its own. Rows that are
+    equal in id and source stand next to each other in the order, and if they
+    are equal in size as well, which of them is cut is of no consequence.
+    An empty table gives no rows.
+    """
+    docs, _ = _placed(sized, weights, epochs, seed)
+    taken = F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before")))
     return docs.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def take(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """The mix itself, with the columns of ``docs`` (``doc_id``, ``source``, ``text`` among them).
+
+    A document comes once for each epoch that takes all of it, and once more,
+    cut after the words taken, for the epoch that takes a part. ``n_chars``
+    (where it is a column) is set anew for cut texts. All that documents need
+    is their source's cut, the first document that the last epoch doesn't take
+    whole, so texts stay where they lie. Rows equal to the cut one in id,
+    source and size share its words evenly. Documents of sources without any
+    word are not taken.
+    """
+    names = {n: free_name(docs, n) for n in ("size", "s", "passes", "cut", "over", "rows", "copy", "words")}
+    col = lambda n: F.col(names[n])
+    placed, few = _placed(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), weights, epochs, seed)
+    order = F.struct("key", "doc_id", "size")
+    missed = F.when(F.col("before") + F.col("size") > F.col("rest"), F.struct(order.alias("cut"), (F.col("rest") - F.col("before")).alias("over")))
+    cuts = placed.groupBy("source").agg(F.first("passes").alias("passes"), F.min(missed).alias("x"))
+    cuts = materialise(cuts.select("source", "passes", "x.cut", "x.over"), "cuts")
+    s = _known(cuts.toDF("s", "passes", "cut", "over"), few)
+    ties = placed.select("source", order.alias("o")).join(s, F.col("source").eqNullSafe(F.col("s")) & (F.col("o") == F.col("cut")))
+    ties = ties.groupBy("source").agg(F.count("*").alias("rows"))
+    cuts = materialise(s.join(ties, F.col("s").eqNullSafe(F.col("source")), "left").select("s", "passes", "cut", "over", "rows"), "cuts")
+    cuts = _known(cuts.toDF(*(names[n] for n in ("s", "passes", "cut", "over", "rows"))), few)
+    out = docs.withColumn(names["size"], n_words(F.col("text"))).join(cuts, F.col("source").eqNullSafe(col("s")))
+    own = F.struct(_key(seed).alias("key"), F.col("doc_id"), col("size").alias("size"))
+    whole = col("passes") + F.when(col("cut").isNull() | (own < col("cut")), 1).otherwise(0)
+    words = F.when(own == col("cut"), F.floor(F.greatest(col("over"), F.lit(0)) / col("rows"))).otherwise(0).cast("long")
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(words > 0, F.array(words)).otherwise(F.array().cast("array<long>")))
+    out = out.withColumn(names["copy"], F.explode(copies))
+    first = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), col("copy").cast("string"), F.lit("}+"))
+    out = out.withColumn("text", F.when(col("copy") >= 0, F.call_function("regexp_extract", F.col("text"), first, F.lit(0))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(col("copy") >= 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))

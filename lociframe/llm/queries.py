@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, pii, quality, simhash, urls
+import corpus_pipeline
+
+from . import mixing, packing, pii, quality, simhash, spotsigs, suffix_dedup, training_order, urls, warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_training_order": training_order.op2_training_order,
     "op3_url_filters": urls.op3_url_filters,
     "op4_packing": packing.op4_packing,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_mixing_sources": mixing.op6_mixing_sources,
+    "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
+    "op8_spotsigs": spotsigs.op8_spotsigs,
+    "op9_warc": warc.op9_warc,
     "op10_pii": pii.op10_pii,
 }
 
 ORACLE_SQL = {
     "op3_url_filters": urls.OP3_SQL,
     "op6_mixing_sources": mixing.OP6_SQL,
+    "op9_warc": warc.OP9_SQL,
 }
