@@ -20,22 +20,39 @@ from .common import materialise, table
 ANCHORS = "the a an is of to and der die das und ist le la les des et el los de que y".split()
 #: A pair with a lower bound of likeness than this counts as 0.
 LEAST = 0.05
-_NOT, _IS = r"[^\p{L}\p{N}]", r"[\p{L}\p{N}]"
-CHAIN = rf"((?:(?:{'|'.join(sorted(ANCHORS, key=len, reverse=True))}){_NOT}++)*+)({_IS}++)"
+_NOT = r"[^\p{L}\p{N}]+"
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def signatures(text: Column) -> Column:
     """array<long>: the sorted set of a text's signature hashes.
 
-    A text without anchors has its chains of two words as signatures, a single
-    word itself, and a text without words none.
+    Words are runs of letters and digits, lower-cased. Anchors at the end, with
+    no content word after them, don't count; a text of nothing else has its
+    anchors as content. A text without signatures has its chains of two content
+    words instead, a single content word itself, and a text without words none.
     """
-    low = F.lower(text)
-    before, word = F.regexp_extract_all(low, F.lit(CHAIN), F.lit(1)), F.regexp_extract_all(low, F.lit(CHAIN), F.lit(2))
-    chains = F.zip_with(before, F.zip_with(word, F.slice(word, 2, F.greatest(F.size(word) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda g, w: F.struct(g.alias("g"), w.a.alias("a"), w.b.alias("b")))
-    spots = F.filter(chains, lambda c: (c.g != "") & c.b.isNotNull())
-    spots = F.when(F.size(spots) > 0, spots).otherwise(F.filter(chains, lambda c: c.b.isNotNull() | (F.size(word) == 1)))
-    return F.sort_array(F.array_distinct(F.transform(spots, lambda c: F.xxhash64(F.regexp_replace(c.g, f"{_NOT}+", " "), c.a, c.b))))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    anchors = F.array(*map(F.lit, ANCHORS))
+
+    def hashes(w: Column, c: Column) -> Column:
+        before = lambda k: F.when(k == 0, -1).otherwise(F.get(c, k - 1))
+        chains = upto(F.size(c) - 1)
+        words = lambda k: (F.get(w, F.get(c, k)), F.get(w, F.get(c, k + 1)))
+        spots = F.filter(chains, lambda k: F.get(c, k) - before(k) > 1)
+        found = F.transform(spots, lambda k: F.xxhash64(F.slice(w, before(k) + 2, F.get(c, k) - before(k) - 1), *words(k)))
+        other = F.when(F.size(c) == 1, F.array(F.xxhash64(F.get(w, F.get(c, F.lit(0)))))).otherwise(F.transform(chains, lambda k: F.xxhash64(*words(k))))
+        return _let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(other))
+
+    def of_words(w: Column) -> Column:
+        content = F.filter(upto(F.size(w)), lambda i: ~F.array_contains(anchors, F.get(w, i)))
+        return _let(_let(content, lambda x: F.when(F.size(x) > 0, x).otherwise(upto(F.size(w)))), lambda c: hashes(w, c))
+
+    return F.sort_array(F.array_distinct(_let(F.filter(F.split(F.lower(text), _NOT), lambda t: t != ""), of_words)))
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -113,17 +130,17 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     itself. Of several rows with the next id, the one with the smallest text
     counts. An empty table gives no rows.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    docs = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    lowest = F.lit(-(1 << 63))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     ids = materialise(docs.select("key", F.length("text").alias("n_chars")), "lengths")
     twice = not ids.groupBy("key").count().where("count > 1").isEmpty()
     near = neighbours(ids)
-    texts = docs.join(near, "key")
-    heads = texts.select(F.col("prev").alias("key"), F.substring("text", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("head"), "text")
+    # Both joins deal texts out by the same columns, so that texts are shuffled once.
+    heads = docs.join(near, "key").select(F.col("prev").alias("key"), F.substring("text", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("head"), "text")
     if twice:
         heads = heads.groupBy("key").agg(F.min(F.struct("text", "head")).alias("x")).select("key", "x.head", "x.text")
     heads = heads.select("key", "head", signatures(F.col("text")).alias("next_sigs"))
-    out = texts.select("key", "doc_id", "text").join(heads, "key")
+    out = docs.join(heads, "key").withColumn("doc_id", F.nullif("key", lowest))
     n = F.length("text")
     tail = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - tail), F.substring("head", F.lit(1), tail))

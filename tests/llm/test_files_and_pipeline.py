@@ -130,15 +130,16 @@ def test_shards(spark, tmp_path):
 def brute_signatures(text):
     tokens = re.findall(r"[^\W_]+", text.lower())
     groups, group = [], []
-    for k, t in enumerate(tokens):
-        if t in spotsigs.ANCHORS and k + 1 < len(tokens):
+    for t in tokens:
+        if t in spotsigs.ANCHORS:
             group.append(t)
         else:
             groups.append((" ".join(group), t))
             group = []
+    groups = groups or [("", t) for t in tokens]
     chains = [(g, a, groups[i + 1][1] if i + 1 < len(groups) else None) for i, (g, a) in enumerate(groups)]
     spots = [c for c in chains if c[0] and c[2]]
-    return set(spots or [c for c in chains if c[2] or len(chains) == 1])
+    return set(spots) or {c[1:] for c in chains if c[2] or len(chains) == 1}
 
 
 def brute_likeness(a, b):
