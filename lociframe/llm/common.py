@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import sys
+import time
 import uuid
 
 from pyspark import cloudpickle
@@ -72,9 +73,14 @@ def released(df: DataFrame | None) -> None:
 
 
 def freed(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that no plan needs any more, instead of at some later time."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete shuffle files that no plan needs any more, instead of at some later time.
+
+    The driver's listeners hold a query's plan for a moment after its end, so this waits first.
+    """
+    for _ in range(2):
+        time.sleep(0.7)
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 @atexit.register

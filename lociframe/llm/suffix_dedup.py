@@ -44,11 +44,11 @@ def hashes(data):
     import numpy as np
 
     table_ = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
-    base = np.uint64(0x9E3779B97F4A7C15)
+    base = 0x9E3779B97F4A7C15
     h, size = table_[data], 1
     while size < GRAM:
-        h = h[: len(h) - size] * base + h[size:]
-        base, size = base * base, 2 * size
+        h = h[: len(h) - size] * np.uint64(base) + h[size:]
+        base, size = base * base % (1 << 64), 2 * size
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
@@ -243,6 +243,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     place = F.struct("doc", start(F.col("loc")).alias("start"), "loc")
     dictionary = kept.groupBy("g", "c").agg(F.min(place).alias("first"))
     dictionary = materialise(dictionary, "dictionary")
+    freed(kept.sparkSession)
     later = kept.join(dictionary, ["g", "c"]).where(F.struct("doc", start(F.col("loc"))) > F.struct("first.doc", "first.start"))
     later = later.select("doc", "loc", windows("loc").alias("windows"), start(F.col("loc")).alias("start"))
     several = dictionary.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
