@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sequence import let
@@ -61,6 +61,14 @@ def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
     return let(table, tables)
 
 
+def with_fisher(df: DataFrame, a: str, b: str, c: str, d: str, out: str) -> DataFrame:
+    """``df`` with the p of each row's table; counts repeat a lot, so each distinct table is worked out once."""
+    names = [f"__{x}" for x in "abcd"]
+    keys = [F.coalesce(F.col(x).cast("bigint"), F.lit(0)) for x in (a, b, c, d)]
+    df = df.withColumns(dict(zip(names, keys)))
+    return df.join(df.select(*names).distinct().withColumn(out, fisher_exact(*map(F.col, names))), names).drop(*names)
+
+
 def log_binomial_likelihood(k: Column, n: Column, p: Column) -> Column:
     """k ln p + (n - k) ln (1 - p), without the coefficient; certain at the ends."""
     k, n, p = k.cast("double"), n.cast("double"), p.cast("double")
@@ -105,12 +113,17 @@ def beta_quantile(q, a, b):
         right = 1 - front * fraction(np.where(low, 0.5, 1 - x), b, a) / b
         return np.where(low, left, right)
 
-    lo, hi = np.zeros(a.shape), np.ones(a.shape)
+    # Newton steps from the mean, kept within a bracket that halves where a step would leave it.
+    lo, hi, x = np.zeros(a.shape), np.ones(a.shape), a / (a + b)
     for _ in range(60):
-        mid = (lo + hi) / 2
-        below = cdf(mid) < q
-        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-    return (lo + hi) / 2
+        miss = cdf(x) - q
+        lo, hi = np.where(miss < 0, x, lo), np.where(miss < 0, hi, x)
+        step = x - miss / np.exp(scale + (a - 1) * np.log(x) + (b - 1) * np.log1p(-x))
+        new = np.where((step > lo) & (step < hi), step, (lo + hi) / 2)
+        if np.all(np.abs(new - x) <= 1e-15 + 1e-13 * x):
+            return new
+        x = new
+    return x
 
 
 def vaf_interval(k: Column, n: Column) -> Column:

@@ -37,11 +37,11 @@ def call_variants(scored: DataFrame, config: CallConfig = CallConfig(), keys: li
     out = figures(pairs, kind)
     n = F.col("n_molecules_alt") + F.col("n_molecules_ref")
     out = out.withColumn("interval", stats.vaf_interval(F.col("n_molecules_alt"), n))
-    bias = stats.fisher_exact(F.col("min_simplex_fwd"), F.col("min_simplex_rev"), F.col("ref_min_simplex_fwd"), F.col("ref_min_simplex_rev"))
+    out = stats.with_fisher(out, "min_simplex_fwd", "min_simplex_rev", "ref_min_simplex_fwd", "ref_min_simplex_rev", "bias")
     same = F.col("path_seq") == F.col("ref_path_seq")
     out = out.withColumns({
         "vaf": F.when(same, 0.0).otherwise(F.col("interval.vaf")), "vaf_ci_low": F.when(same, 0.0).otherwise(F.col("interval.low")), "vaf_ci_high": F.when(same, 0.0).otherwise(F.col("interval.high")),
-        "strand_bias_p": F.when(same, 1.0).otherwise(bias), "confidence": F.when(same, 0.0).otherwise(stats.confidence(F.col("n_molecules_alt"), n, config.background)),
+        "strand_bias_p": F.when(same, 1.0).otherwise(F.col("bias")), "confidence": F.when(same, 0.0).otherwise(stats.confidence(F.col("n_molecules_alt"), n, config.background)),
     })
     label = call_filter(F.col("confidence"), F.col("strand_bias_p"), F.col("n_molecules_alt"), F.col("n_duplex_alt"), F.col("vaf"), F.col("variant_type"), config)
     out = out.withColumn("filter", F.when(same, "LowConfidence").otherwise(label))

@@ -205,12 +205,14 @@ def strand_consensus(reads: DataFrame, keys: list[str], seq: str = "seq", qual:
     N with error 1. Of equal weights the first letter wins. Sums are taken per
     base before positions meet, so deep families aggregate like any others.
     """
-    q = F.transform(F.split(qual, "(?!$)"), lambda c: F.ascii(c) - 33)
-    pairs = F.zip_with(F.split(F.upper(seq), "(?!$)"), q, lambda b, x: F.struct(b.alias("base"), x.alias("q")))
-    each = reads.where(F.length(seq) > 0).select(*keys, F.posexplode(pairs).alias("pos", "x"))
-    masked = (F.col("x.q") < min_quality) | ~F.col("x.base").isin("A", "C", "G", "T") | F.col("x.q").isNull() | F.col("x.base").isNull()
-    weight = F.when(masked, 0.0).otherwise(1 - S.phred_to_prob(F.least(F.col("x.q"), F.lit(cap))))
-    sums = each.select(*keys, "pos", *(F.when(F.col("x.base") == b, weight).otherwise(0.0).alias(b) for b in "ACGT"))
+    # Positions are cut out of bytes, one row each, within generated code.
+    n = F.length(seq)
+    each = reads.where(n > 0).select(*keys, F.upper(seq).cast("binary").alias("__s"), F.col(qual).cast("binary").alias("__q"), F.explode(F.sequence(F.lit(1), n)).alias("__p"))
+    base, code = F.substring(F.col("__s"), F.col("__p"), F.lit(1)).cast("string"), F.ascii(F.substring(F.col("__q"), F.col("__p"), F.lit(1)).cast("string"))
+    each = each.select(*keys, (F.col("__p") - 1).alias("pos"), base.alias("base"), (code - 33).alias("q"))
+    weight = F.when(F.col("q") < min_quality, 0.0).otherwise(1 - S.phred_to_prob(F.least(F.col("q"), F.lit(cap))))
+    each = each.select(*keys, "pos", "base", weight.alias("w"))
+    sums = each.select(*keys, "pos", *(F.when(F.col("base") == b, F.col("w")).otherwise(0.0).alias(b) for b in "ACGT"))
     sums = sums.groupBy(*keys, "pos").agg(*(F.sum(b).alias(b) for b in "ACGT"))
     total = F.col("A") + F.col("C") + F.col("G") + F.col("T")
     best = F.greatest("A", "C", "G", "T")

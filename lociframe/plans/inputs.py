@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: a table of one small file is one task's scan, and what follows here multiplies rows.
+
+    Tables of many files stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if 2 * df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def letters(text: Column) -> Column:
     return F.regexp_replace(F.upper(text), "[^ACGT]", "")
 
@@ -29,7 +38,7 @@ def family(n: Column) -> Column:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """(molecule_id, seq, family_type) of documents."""
-    d = table(spark, sf, "documents", "doc_id", "text")
+    d = spread(table(spark, sf, "documents", "doc_id", "text"))
     return d.select(F.col("doc_id").alias("molecule_id"), letters(F.col("text")).alias("seq"), family(F.col("doc_id")).alias("family_type"))
 
 
@@ -60,7 +69,7 @@ def dna(value: Column) -> Column:
 
 def reads(spark: SparkSession, sf: str) -> DataFrame:
     """Read pairs: a user is a molecule, an event one of its reads; some have a changed base, a low quality or too few bases."""
-    e = table(spark, sf, "events", "event_id", "user_id")
+    e = spread(table(spark, sf, "events", "event_id", "user_id"))
     user = F.col("user_id").cast("string")
     umi = dna(F.concat(user, F.lit("u")))
     template = F.concat(*(dna(F.concat(user, F.lit(x))) for x in "abcd"))
@@ -79,7 +88,7 @@ def reads(spark: SparkSession, sf: str) -> DataFrame:
 
 def mutated_reads(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Read pairs and targets for a whole run: users are molecules of ten targets, every third of them with a base changed."""
-    e = table(spark, sf, "events", "event_id", "user_id")
+    e = spread(table(spark, sf, "events", "event_id", "user_id"))
     target = lambda g: F.concat(*(dna(F.concat(F.lit("g"), g.cast("string"), F.lit(x))) for x in "abcd"))
     template = target(F.col("user_id") % 10)
     changed = F.concat(F.substring(template, 1, 60), F.translate(F.substring(template, 61, 1), "ACGT", "CGTA"), F.substring(template, 62, 128))

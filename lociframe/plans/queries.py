@@ -285,7 +285,8 @@ _CONF = "CASE WHEN n_alt = 0 THEN 0.0 ELSE 1 / (1 + exp(-((n_alt * ln(v) + n_ref
 
 def _with_stats(rows):
     n = F.col("n_alt") + F.col("n_ref")
-    return rows.withColumns({"conf": stats.confidence(F.col("n_alt"), n), "bias": stats.fisher_exact(F.col("fwd"), F.col("rev"), F.lit(20), F.lit(20))})
+    rows = rows.withColumns({"conf": stats.confidence(F.col("n_alt"), n), "c": F.lit(20), "d": F.lit(20)})
+    return stats.with_fisher(rows, "fwd", "rev", "c", "d", "bias").drop("c", "d")
 
 
 @query(f"WITH {I.SQL_CALLS} SELECT call_id, round({_CONF}, 6) AS confidence FROM (SELECT *, n_alt / (n_alt + n_ref) AS v FROM calls)")
