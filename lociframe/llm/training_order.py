@@ -53,15 +53,18 @@ def sequences(docs: DataFrame, vocabulary: str | None = None, length: int = LENG
     """Sequences of ``length`` ids: each document's ids and the end id, run together within a task.
 
     A task's last sequence is padded with the end id; ``n_tokens`` counts ids
-    before the padding. Ids take 2 bytes if the vocabulary allows, else 4.
+    before the padding. Ids take 2 bytes if the vocabulary allows, else 4, and
+    each sequence's are compressed until its shard is written.
     """
     path = vocabulary or default_vocabulary()
 
     def cut(batches):
         import numpy as np
         import pyarrow as pa
+        import zstandard
         from pyspark import TaskContext
 
+        small = zstandard.ZstdCompressor(3).compress
         tok, task, place = tokenizer(path), TaskContext.get().partitionId(), 0
         kind = "<u2" if tok.size <= 1 << 16 else "<u4"
         names = [f.split()[0] for f in SEQUENCES.split(", ")]
@@ -78,7 +81,7 @@ def sequences(docs: DataFrame, vocabulary: str | None = None, length: int = LENG
                 part = ids[k * length : (k + 1) * length]
                 a, b = np.searchsorted(edges, k * length, "right") - 1, np.searchsorted(edges, k * length + len(part), "left")
                 raw = np.concatenate([part, np.full(length - len(part), end, kind)]).tobytes()
-                out.append((task, place + k, owners[a:b], len(part), zlib.crc32(raw), raw))
+                out.append((task, place + k, owners[a:b], len(part), zlib.crc32(raw), small(raw)))
             place += n
             first = np.searchsorted(edges, n * length, "right") - 1
             rest = ids[n * length :]
@@ -120,10 +123,21 @@ def ordered(seqs: DataFrame, key: int = KEY, shard: int = SHARD) -> DataFrame:
 
 def write_shards(ordered: DataFrame, path: str, shard: int = SHARD) -> None:
     """One file per shard, ``path/shard=N/part-*``: records in the order of slots, each its ids and one byte of line end."""
+
+    def unpacked(batches):
+        import pyarrow as pa
+        import zstandard
+
+        whole = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([whole(x.as_py()) for x in part.column(2)], pa.binary())], ["shard", "slot", "value"])
+
     n = max(1, -(-ordered.count() // shard))
-    rows = ordered.select("shard", "slot", F.col("ids").cast("string").alias("value"))
-    rows = rows.repartition(n, "shard").sortWithinPartitions("shard", "slot")
-    rows.select("shard", "value").write.partitionBy("shard").text(path)
+    rows = ordered.select("shard", "slot", "ids").repartition(n, "shard").mapInArrow(unpacked, "shard long, slot long, value binary")
+    rows = rows.sortWithinPartitions("shard", "slot")
+    rows.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").text(path)
 
 
 def read_record(files: dict[int, str], slot: int, length: int = LENGTH, width: int = 2, shard: int = SHARD) -> bytes:
