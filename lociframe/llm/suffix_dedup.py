@@ -246,7 +246,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     freed(kept.sparkSession)
     later = kept.join(dictionary, ["g", "c"]).where(F.struct("doc", start(F.col("loc"))) > F.struct("first.doc", "first.start"))
     later = later.select("doc", "loc", windows("loc").alias("windows"), start(F.col("loc")).alias("start"))
-    several = dictionary.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    # Written first, so that a trigger of very many phrases is a skewed join that Spark can split.
+    several = materialise(dictionary.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "several")
     unlike = dictionary.join(several, "g").select("g", "n", "first.doc", "first.loc")
     lists = unlike.groupBy("doc", F.shiftrightunsigned("loc", 38).alias("check")).agg(F.collect_list(F.struct("g", "n", "loc")).alias("found"))
     lists = lists.withColumnRenamed("doc", "d")
@@ -261,6 +262,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     out = materialise(whole.union(parts).groupBy("doc", "check").agg(F.collect_set(F.struct("start", "end")).alias("runs")), "runs")
     released(kept)
     released(dictionary)
+    released(several)
     freed(kept.sparkSession)
     return out
 
