@@ -17,7 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import free_name, materialise, table
 from .components import components
 
 #: Hash seed, words in a shingle, bits that may differ.
@@ -189,12 +189,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     found = materialise(near_duplicates(docs), "near")
     gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)")
-    kept = docs.join(gone.select(F.col("doc_id").alias("__lf_gone")).distinct(), F.col("doc_id").eqNullSafe(F.col("__lf_gone")), "left_anti")
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__lf_twice"))
+    name, twin = free_name(docs, "gone"), free_name(docs, "twice")
+    kept = docs.join(gone.select(F.col("doc_id").alias(name)).distinct(), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(twin))
     twice = materialise(twice, "twice")
     if twice.isEmpty():
         return kept
-    again = F.col("doc_id") == F.col("__lf_twice")
+    again = F.col("doc_id") == F.col(twin)
     return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
 
 
