@@ -144,7 +144,7 @@ def family_types(spark, sf):
   AND (a.umi_a < b.umi_a OR a.umi_a = b.umi_a AND a.umi_b < b.umi_b) WHERE hamming(a.umi_a, b.umi_a) + hamming(a.umi_b, b.umi_b) <= 3""")
 def umi_hamming_pairs(spark, sf):
     found = reads.umi_neighbours(reads.umi_counts(reads.passed(parsed(spark, sf))), 3)
-    return found.select("sample_id", "umi_a_1", "umi_b_1", "umi_a_2", "umi_b_2", "distance")
+    return found.select("sample_id", "umi_a_1", "umi_b_1", "umi_a_2", "umi_b_2", F.col("distance").cast("bigint").alias("distance"))
 
 
 @query()
