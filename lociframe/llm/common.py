@@ -98,6 +98,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_key(text: Column) -> Column:
+    """What tells texts apart in joins; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """A column name that the frame doesn't have yet, whatever columns callers bring."""
     taken = {c.lower() for c in df.columns}
@@ -105,3 +110,26 @@ def free_name(df: DataFrame, wish: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def stand_ins(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component in ``found`` (doc_id, t, component_id), row by row.
+
+    That is one row with the component's id, any of them if they differ only
+    in further columns. Of components without any id, all rows stay. A row of
+    the same id in another component is judged by its own one.
+    """
+    found = materialise(found.groupBy("doc_id", "t", "component_id").agg(F.count("*").alias("n")), "near")
+    named = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("t").alias("least"))
+    judged = found.join(named.withColumnRenamed("component_id", "c"), F.col("component_id") == F.col("c"), "left")
+    out = "component_id is not null and (doc_id is null or doc_id <> component_id or t <> least)"
+    judged = materialise(judged.select("doc_id", "t", F.expr(out).alias("gone"), F.expr("component_id is not null and n > 1").alias("twice")).where("gone or twice"), "judged")
+    id_, key, twin = free_name(docs, "id"), free_name(docs, "t"), free_name(docs, "u")
+    keyed = docs.withColumn(key, text_key(F.col("text")))
+    gone, twice = (judged.where(c).select(F.col("doc_id").alias(id_), F.col("t").alias(twin)) for c in ("gone", "twice and not gone"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(twin))
+    kept = keyed.join(gone, same, "left_anti")
+    if twice.isEmpty():
+        return kept.drop(key)
+    again = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", key])
+    return kept.join(twice, same, "left_anti").unionByName(again).drop(key)

@@ -1,0 +1,183 @@
+"""Near duplicates by the Jaccard similarity of five-word shingles, exactly.
+
+Sets of shingle hashes of similarity 4/5 or more share at least one of their
+first n - ceil(4n/5) + 1 members, in any order that is common to all sets, so
+pairs are looked for among those only, and each one found is checked on the
+whole sets. The order has shingles that many documents of a sample share last;
+the sample bears on the time only, not on what is found. Of a shingle with
+many sets, first the sets like one of them are linked, then all pairs that are
+still in different components are compared. SimHash is not used: at similarity
+4/5 some ten of 64 bits differ, and no key of equal bits is selective then.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialise, text_key
+from .components import components
+
+#: Fixed values of the stage: words in a shingle, least similarity as a fraction.
+SHINGLE, PARTS, WHOLE = 5, 4, 5
+#: Documents looked at for common shingles, and how many of them make one common.
+SAMPLE, COMMON, MOST_COMMON = 5000, 5, 100_000
+#: Sets under one shingle that are compared each with each at once.
+GROUP = 64
+
+
+def shingles(text: bytes):
+    """Sorted distinct hashes of a text's shingles of lower-cased words; a shorter text is one shingle, no words none."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.lower())
+    if not words:
+        return np.empty(0, np.int64)
+    each = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    k = min(SHINGLE, len(words))
+    n = len(words) - k + 1
+    out = np.full(n, k, np.uint64)
+    for i in range(k):
+        out = (out ^ each[i : n + i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out.view(np.int64))
+
+
+def _sets(batches):
+    """(…, text) -> (…, toks): the last column's shingles."""
+    import pyarrow as pa
+
+    for b in batches:
+        toks = pa.array([shingles(t.as_py()) for t in b.column(b.num_columns - 1)], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], toks], [*b.schema.names[:-1], "toks"])
+
+
+def _bytes(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
+
+
+def common_shingles(docs: DataFrame) -> list[int]:
+    """Shingles of many documents of a sample, chosen by the hash of the text."""
+    n = docs.count()
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 32)) < (SAMPLE << 32) // max(n, SAMPLE)) if n > SAMPLE else docs
+    toks = some.select(_bytes(some)).mapInArrow(_sets, "toks array<long>").select(F.explode("toks").alias("tok"))
+    found = toks.groupBy("tok").count().where(F.col("count") >= COMMON)
+    return [r.tok for r in found.orderBy(F.desc("count"), "tok").limit(MOST_COMMON).collect()]
+
+
+def signed(docs: DataFrame, common: list[int]) -> DataFrame:
+    """(doc_id, t, h, n, head): text key, hash and size of the set of shingles, and its first members."""
+    last = sorted(common)
+
+    def batch(batches):
+        import numpy as np
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest
+
+        late = np.array(last, np.int64)
+        for b in batches:
+            hs, ns, heads = [], [], []
+            for text in b.column(2):
+                toks = shingles(text.as_py())
+                n = len(toks)
+                hs.append(xxh64_intdigest(toks.tobytes()) - (1 << 63))
+                ns.append(n)
+                is_late = np.isin(toks, late)
+                heads.append(np.concatenate((toks[~is_late], toks[is_late]))[: n - -(-PARTS * n // WHOLE) + 1])
+            columns = [b.column(0), b.column(1), pa.array(hs, pa.int64()), pa.array(ns, pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "h", "n", "head"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("t"), _bytes(docs))
+    return rows.mapInArrow(batch, "doc_id long, t binary, h long, n long, head array<long>")
+
+
+def _fits(n, m, i, j, least):
+    """Whether sets of n and m members, with members i and j as their first common one, can be similar enough."""
+    return (WHOLE + PARTS) * least(n - i, m - j) >= PARTS * (n + m)
+
+
+def _groups(batches):
+    """Rows (tok, h, n, pos) in the order of tok, h -> pairs (a, b); and (tok, null) of a shingle with more sets than ``GROUP``."""
+    import numpy as np
+    import pyarrow as pa
+
+    def pairs(tok, h, n, pos):
+        edges = np.flatnonzero(np.diff(tok)) + 1
+        starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(tok)]))
+        size = np.repeat(ends - starts, ends - starts)
+        out = []
+        for d in range(1, min(GROUP, int(size.max()))):
+            at = np.flatnonzero((tok[d:] == tok[:-d]) & (size[d:] <= GROUP))
+            if not len(at):
+                break
+            out.append((at, at + d))
+        many = size > GROUP
+        first = np.repeat(starts, ends - starts)
+        out.append((first[many], np.flatnonzero(many)))
+        a, b = (np.concatenate(x) for x in zip(*out))
+        ok = (a != b) & _fits(n[a], n[b], pos[a], pos[b], np.minimum)
+        a, b = h[a[ok]], h[b[ok]]
+        marked = tok[starts[ends - starts > GROUP]]
+        left = pa.array(np.concatenate((a, marked)), pa.int64())
+        return pa.RecordBatch.from_arrays([left, pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(marked), pa.int64())])], ["a", "b"])
+
+    held = None
+    for batch in batches:
+        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now)]
+        if not len(now[0]):
+            continue
+        cut = int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1 if now[0][0] != now[0][-1] else 0
+        if cut:
+            yield pairs(*(x[:cut] for x in now))
+        held = [x[cut:] for x in now]
+    if held is not None and len(held[0]):
+        yield pairs(*held)
+
+
+def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of sets that are similar enough, by the whole sets."""
+    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+    wanted = materialise(nodes.select("h", "t").join(wanted, "h"), "wanted")
+    texts = docs.select(text_key(F.col("text")).alias("t"), _bytes(docs)).join(wanted, "t").dropDuplicates(["h"]).select("h", "text")
+    sets = materialise(texts.mapInArrow(_sets, "h long, toks array<long>"), "sets")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    both = both.where((WHOLE + PARTS) * shared >= PARTS * (F.size("x") + F.size("y")))
+    return materialise(both.select("a", "b"), "similar")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, component_id), one row for each row of ``docs`` (``doc_id``, ``text``); t is ``text_key``.
+
+    A component is what a similarity of 4/5 or more connects, named by its
+    smallest ``doc_id``; of rows without any id only, it is null. Null, empty
+    and blank texts have no shingles and are copies of each other.
+    """
+    docs = docs.select("doc_id", "text")
+    rows = materialise(signed(docs, common_shingles(docs)), "signed")
+    nodes = materialise(rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.min("t").alias("t"), F.max("n").alias("n"), F.first("head").alias("head")), "nodes")
+    posts = nodes.select("h", "n", F.posexplode("head").alias("pos", "tok")).select("tok", "h", "n", F.col("pos").cast("long").alias("pos"))
+    found = posts.repartition("tok").sortWithinPartitions("tok", "h").mapInArrow(_groups, "a long, b long").distinct()
+    found = materialise(found, "pairs")
+    links = similar(found.where("b is not null"), docs, nodes)
+    many = found.where("b is null").select(F.col("a").alias("tok"))
+    tied = materialise(components(links), "roots")
+    if not many.isEmpty():
+        left = posts.join(many, "tok").join(tied.toDF("h", "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+        left = materialise(left, "many")
+        mixed = left.groupBy("tok").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("tok")
+        left = materialise(left.join(mixed, "tok"), "mixed")
+        a, b = left.toDF("tok", "a", "n", "i", "r"), left.toDF("tok", "b", "m", "j", "s")
+        pairs = a.join(b, "tok").where("r < s").where(_fits(F.col("n"), F.col("m"), F.col("i"), F.col("j"), F.least))
+        more = similar(materialise(pairs.select("a", "b").distinct(), "pairs"), docs, nodes)
+        tied = materialise(components(links.union(more)), "roots")
+    least = nodes.select("h", "first").join(tied.toDF("h", "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    least = materialise(least, "roots")
+    names = least.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = materialise(least.join(names, "root").select("h", "component_id"), "classes")
+    return rows.select("doc_id", "t", "h").join(least, "h").select("doc_id", "t", "component_id")
