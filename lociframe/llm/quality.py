@@ -27,6 +27,8 @@ FEATURES = (
     "repeat_share", "distinct_share", "line_words", "ended_lines", "long_word_share",
 )
 MONOTONE = {"symbol_share": -1, "upper_share": -1, "bang_share": -1, "dup_line_share": -1, "repeat_share": -1}
+#: Words in a block; distinct words are counted in each, so that long texts don't have a lower share by their length.
+BLOCK = 2000
 #: Documents with a lower estimated chance of good quality are rejected.
 THRESHOLD = 0.5
 TREES, DEPTH, BINS, RATE, RIDGE, LEAF = 60, 3, 32, 0.15, 1.0, 20
@@ -85,9 +87,10 @@ def statistics(text: str | None) -> tuple[int, int, int, int, int, tuple[float,
             ended += line.rstrip()[-1:] in ".!?\"'"
     repeat = repeated_words(words)
     c, w = max(chars, 1), max(n, 1)
+    distinct = sum(len(set(words[at : at + BLOCK])) for at in range(0, n, BLOCK))
     features = (
         math.log1p(n), chars / w, symbols / c, len(_upper.findall(text)) / c, len(_digit.findall(text)) / c, text.count("!") / c,
-        again / max(lines, 1), repeat / w, len(set(words[:2000])) / max(min(n, 2000), 1), n / max(lines, 1), ended / max(lines, 1),
+        again / max(lines, 1), repeat / w, distinct / w, n / max(lines, 1), ended / max(lines, 1),
         sum(len(x) > 15 for x in words) / w,
     )
     return n, chars, symbols, again, repeat, features
