@@ -17,7 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise, table
+from .common import materialise, stand_ins, table, text_key
 from .components import components
 
 #: Hash seed, words in a shingle, bits that may differ.
@@ -50,8 +50,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp as the signed long of the same 64 bits. Null text counts as empty."""
+def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
+    """(doc_id, fp) and binary ``keys``: fp as the signed long of the same 64 bits. Null text counts as empty."""
 
     def batch(batches):
         import numpy as np
@@ -59,10 +59,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             fps = np.array([fingerprint(t.as_py() or b"") for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *keys])
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(batch, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *keys)
+    return rows.mapInArrow(batch, ", ".join(["doc_id long, fp long", *(f"{k} binary" for k in keys)]))
 
 
 def _keys(fp: Column) -> Column:
@@ -185,18 +186,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their component: the smallest ``doc_id``.
 
     Of several rows with that id one stays, any of them if they differ. Of
-    components without any id, all rows stay.
+    components without any id, all rows stay. Rows are judged one by one: an
+    id that is gone from one component may stay in another.
     """
-    found = materialise(near_duplicates(docs), "near")
-    gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)")
-    name, twin = free_name(docs, "gone"), free_name(docs, "twice")
-    kept = docs.join(gone.select(F.col("doc_id").alias(name)).distinct(), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(twin))
-    twice = materialise(twice, "twice")
-    if twice.isEmpty():
-        return kept
-    again = F.col("doc_id") == F.col(twin)
-    return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
+    keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("t"))
+    fps = materialise(fingerprints(keyed, "t"), "fingerprints")
+    return stand_ins(docs, fps.join(classes(fps), "fp").select("doc_id", "t", "component_id"))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
