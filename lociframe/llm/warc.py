@@ -76,6 +76,9 @@ def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
     if not _VERSION.match(data, at):
         return None
     head = data.find(END, at, at + (1 << 16))
+    if head < 0:  # a very long url, or no end: no header reaches beyond the next version line
+        later = _VERSION.search(data, at + 1)
+        head = data.find(END, at, later.start() if later else len(data))
     if head < 0:
         return None
     headers = {}
