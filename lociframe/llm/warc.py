@@ -97,7 +97,7 @@ def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
         return None
     block = data[start:end]
     digest = headers.get("warc-payload-digest", "")
-    if headers.get("warc-type") == "response" and digest.startswith("sha256:") and hashlib.sha256(payload(headers, block)).hexdigest() != digest[7:]:
+    if _checked(headers) and hashlib.sha256(payload(headers, block)).hexdigest() != digest[7:]:
         return None
     return headers, block, end + len(END)
 
@@ -112,14 +112,18 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]
 
     For a record within a member, start and end are the member's. Of a member
     that breaks off or ends badly, the records before the break are kept and
-    the whole member is logged as a gap as well.
+    the whole member is logged as a gap as well. If it is damaged, bytes just
+    before zlib sees it may be wrong: kept is what is up to the last record
+    whose payload digest holds.
     """
     at, gap = 0, None
     while at < len(data):
         found, end = [], None
         if data.startswith(_MEMBER, at):
-            inner, end, whole = _member(data, at)
+            inner, end, whole, damaged = _member(data, at)
             found = list(_plain(inner))
+            if damaged:
+                found = found[: max((k + 1 for k, x in enumerate(found) if x and _checked(x[0])), default=0)] + [None]
             if not whole or None in found:
                 found, end = [x for x in found if x], None
         elif (one := _record(data, at)) is not None:
@@ -143,17 +147,31 @@ def _next(data: bytes, at: int) -> int:
     return min((x for x in (version.start() if version else -1, member) if x >= 0), default=len(data))
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int, bool]:
-    """What a gzip member holds, where it ends, and whether it is whole."""
-    unzip, out, step = zlib.decompressobj(31), [], 1 << 16
-    for k in range(at, len(data), step):
+def _checked(headers: dict[str, str]) -> bool:
+    """Whether a record has a digest that ``_record`` compares with its payload."""
+    return headers.get("warc-type") == "response" and headers.get("warc-payload-digest", "").startswith("sha256:")
+
+
+def _member(data: bytes, at: int) -> tuple[bytes, int, bool, bool]:
+    """What a gzip member holds, where it ends, whether it is whole, and whether it is damaged rather than cut off.
+
+    A step that fails is taken again in smaller ones, down to single bytes, as
+    zlib gives nothing of a call that meets the break.
+    """
+    unzip, out, k, step = zlib.decompressobj(31), [], at, 1 << 16
+    while k < len(data):
+        before = unzip.copy()
         try:
             out.append(unzip.decompress(data[k : k + step]))
         except zlib.error:
-            break
+            if step == 1:
+                return b"".join(out), len(data), False, True
+            unzip, step = before, step >> 8 or 1
+            continue
+        k = min(k + step, len(data))
         if unzip.eof:
-            return b"".join(out), min(k + step, len(data)) - len(unzip.unused_data), True
-    return b"".join(out), len(data), False
+            return b"".join(out), k - len(unzip.unused_data), True, False
+    return b"".join(out), len(data), False, False
 
 
 def _plain(data: bytes):

@@ -1,6 +1,8 @@
 """Archives with very long urls, and members that are damaged rather than cut off."""
 
+import gzip
 import hashlib
+import random
 import re
 
 from lociframe.llm import warc
@@ -30,3 +32,20 @@ def record(k, body):
 
 def ids(data):
     return [int(re.search(r"\d+", x[3]["warc-record-id"])[0]) for x in warc.salvage(data) if x[0] == "record"]
+
+
+def test_damaged_member_of_many_records():
+    rng = random.Random(1)
+    parts = [record(k, " ".join(str(rng.random()) for _ in range(20)).encode()) for k in range(200)]
+    data = bytearray(gzip.compress(b"".join(parts), mtime=0))
+    assert len(data) < 1 << 16
+    bad_crc = bytearray(data)
+    bad_crc[-6] ^= 1
+    assert ids(bytes(bad_crc)) == list(range(200))
+    late = bytearray(data)
+    late[-2000:-1990] = b"\xff" * 10
+    got = ids(bytes(late))
+    assert got[:150] == list(range(150)) and set(got) <= set(range(200))
+    after = record(999, b"z")
+    assert ids(bytes(late) + gzip.compress(after, mtime=0))[-1] == 999
+    assert [x[:3] for x in warc.salvage(bytes(bad_crc)) if x[0] == "gap"] == [("gap", 0, len(data))]
