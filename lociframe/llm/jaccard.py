@@ -2,8 +2,8 @@
 
 Sets of shingle hashes of similarity 4/5 or more share at least one of their
 first n - ceil(4n/5) + 1 members, in any order that is common to all sets, so
-pairs are looked for among those only, and each one found is checked on the
-whole sets. The order has shingles that many documents of a sample share last;
+pairs are looked for among those only. How many they share there bounds what
+they share at all; pairs that can be similar are checked on the whole sets. The order has shingles that many documents of a sample share last;
 the sample bears on the time only, not on what is found. Of a shingle with
 many sets, first the sets like one of them are linked, then all pairs that are
 still in different components are compared. SimHash is not used: at similarity
@@ -17,7 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_key
+from .common import freed, materialise, released, text_key
 from .components import components
 
 #: Fixed values of the stage: words in a shingle, least similarity as a fraction.
@@ -94,17 +94,26 @@ def signed(docs: DataFrame, common: list[int]) -> DataFrame:
     return rows.mapInArrow(batch, "doc_id long, t binary, h long, n long, head array<long>")
 
 
-def _fits(n, m, i, j, least):
-    """Whether sets of n and m members, with members i and j as their first common one, can be similar enough."""
-    return (WHOLE + PARTS) * least(n - i, m - j) >= PARTS * (n + m)
+def _fits(n, m, least, most):
+    """Whether sets of n and m members can be similar enough."""
+    return WHOLE * least(n, m) >= PARTS * most(n, m)
+
+
+def _enough(c: Column, n: Column, m: Column) -> Column:
+    """Whether sets with c common members among their first ones can be similar enough: of the set whose first ones end first, no more than the rest is common too."""
+    rest = F.ceil(F.greatest(n, m) * PARTS / WHOLE) - 1
+    return (WHOLE + PARTS) * (c + rest) >= PARTS * (n + m)
 
 
 def _groups(batches):
-    """Rows (tok, h, n, pos) in the order of tok, h -> pairs (a, b); and (tok, null) of a shingle with more sets than ``GROUP``."""
+    """Rows (tok, h, n) in the order of tok, h -> pairs (a, b, n, m, c), c counting the common ones; and (tok, null, …) of a shingle with more sets than ``GROUP``.
+
+    Pairs with the first of many sets have a c that always is enough.
+    """
     import numpy as np
     import pyarrow as pa
 
-    def pairs(tok, h, n, pos):
+    def pairs(tok, h, n):
         edges = np.flatnonzero(np.diff(tok)) + 1
         starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(tok)]))
         size = np.repeat(ends - starts, ends - starts)
@@ -118,15 +127,17 @@ def _groups(batches):
         first = np.repeat(starts, ends - starts)
         out.append((first[many], np.flatnonzero(many)))
         a, b = (np.concatenate(x) for x in zip(*out))
-        ok = (a != b) & _fits(n[a], n[b], pos[a], pos[b], np.minimum)
-        a, b = h[a[ok]], h[b[ok]]
+        ok = (a != b) & _fits(n[a], n[b], np.minimum, np.maximum)
+        a, b = a[ok], b[ok]
         marked = tok[starts[ends - starts > GROUP]]
-        left = pa.array(np.concatenate((a, marked)), pa.int64())
-        return pa.RecordBatch.from_arrays([left, pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(marked), pa.int64())])], ["a", "b"])
+        ones = np.where(size[a] > GROUP, np.maximum(n[a], n[b]), 1)
+        columns = [pa.array(x, pa.int64()) for x in (h[a], h[b], n[a], n[b], ones)]
+        ends_ = [pa.array(marked, pa.int64()), *[pa.nulls(len(marked), pa.int64())] * 4]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(columns, ends_)], ["a", "b", "n", "m", "c"])
 
     held = None
     for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now)]
         if not len(now[0]):
@@ -145,10 +156,13 @@ def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     wanted = materialise(nodes.select("h", "t").join(wanted, "h"), "wanted")
     texts = docs.select(text_key(F.col("text")).alias("t"), _bytes(docs)).join(wanted, "t").dropDuplicates(["h"]).select("h", "text")
     sets = materialise(texts.mapInArrow(_sets, "h long, toks array<long>"), "sets")
+    freed(docs.sparkSession)
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     both = both.where((WHOLE + PARTS) * shared >= PARTS * (F.size("x") + F.size("y")))
-    return materialise(both.select("a", "b"), "similar")
+    found = materialise(both.select("a", "b"), "similar")
+    released(sets)
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -161,19 +175,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = materialise(signed(docs, common_shingles(docs)), "signed")
     nodes = materialise(rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.min("t").alias("t"), F.max("n").alias("n"), F.first("head").alias("head")), "nodes")
-    posts = nodes.select("h", "n", F.posexplode("head").alias("pos", "tok")).select("tok", "h", "n", F.col("pos").cast("long").alias("pos"))
-    found = posts.repartition("tok").sortWithinPartitions("tok", "h").mapInArrow(_groups, "a long, b long").distinct()
-    found = materialise(found, "pairs")
+    posts = nodes.select("h", "n", F.explode("head").alias("tok")).select("tok", "h", "n")
+    found = posts.repartition("tok").sortWithinPartitions("tok", "h").mapInArrow(_groups, "a long, b long, n long, m long, c long")
+    found = found.groupBy("a", "b", "n", "m").agg(F.sum("c").alias("c")).where(F.col("b").isNull() | _enough(F.col("c"), F.col("n"), F.col("m")))
+    found = materialise(found.select("a", "b"), "pairs")
+    freed(docs.sparkSession)
     links = similar(found.where("b is not null"), docs, nodes)
+    freed(docs.sparkSession)
     many = found.where("b is null").select(F.col("a").alias("tok"))
     tied = materialise(components(links), "roots")
     if not many.isEmpty():
         left = posts.join(many, "tok").join(tied.toDF("h", "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
         left = materialise(left, "many")
         mixed = left.groupBy("tok").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("tok")
-        left = materialise(left.join(mixed, "tok"), "mixed")
-        a, b = left.toDF("tok", "a", "n", "i", "r"), left.toDF("tok", "b", "m", "j", "s")
-        pairs = a.join(b, "tok").where("r < s").where(_fits(F.col("n"), F.col("m"), F.col("i"), F.col("j"), F.least))
+        left = materialise(left.join(mixed, "tok").select("tok", "h", "n", "root"), "mixed")
+        a, b = left.toDF("tok", "a", "n", "r"), left.toDF("tok", "b", "m", "s")
+        pairs = a.join(b, "tok").where("r < s").where(_fits(F.col("n"), F.col("m"), F.least, F.greatest))
         more = similar(materialise(pairs.select("a", "b").distinct(), "pairs"), docs, nodes)
         tied = materialise(components(links.union(more)), "roots")
     least = nodes.select("h", "first").join(tied.toDF("h", "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
