@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import sys
-import time
 import uuid
 
 from pyspark import cloudpickle
@@ -18,6 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Functions sent to executors travel by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
 
+#: Spark's setting for deleting a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -56,11 +57,17 @@ def remove(spark: SparkSession, path: str) -> None:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors.
 
-    The folder goes when the driver ends; ``released`` frees it earlier.
+    The folder goes when the driver ends; ``released`` frees it earlier. Shuffle
+    files of the write go as soon as it ends: nothing reads them again.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._lociframe_path = path
     return out
@@ -72,17 +79,6 @@ def released(df: DataFrame | None) -> None:
         remove(df.sparkSession, df._lociframe_path)
 
 
-def freed(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that no plan needs any more, instead of at some later time.
-
-    The driver's listeners hold a query's plan for a moment after its end, so this waits first.
-    """
-    for _ in range(2):
-        time.sleep(0.7)
-        gc.collect()
-        spark._jvm.System.gc()
-
-
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:

@@ -17,7 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, materialise, released, text_key
+from .common import materialise, released, text_key
 from .components import components
 
 #: Fixed values of the stage: words in a shingle, least similarity as a fraction.
@@ -156,7 +156,6 @@ def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     wanted = materialise(nodes.select("h", "t").join(wanted, "h"), "wanted")
     texts = docs.select(text_key(F.col("text")).alias("t"), _bytes(docs)).join(wanted, "t").dropDuplicates(["h"]).select("h", "text")
     sets = materialise(texts.mapInArrow(_sets, "h long, toks array<long>"), "sets")
-    freed(docs.sparkSession)
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     both = both.where((WHOLE + PARTS) * shared >= PARTS * (F.size("x") + F.size("y")))
@@ -179,9 +178,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = posts.repartition("tok").sortWithinPartitions("tok", "h").mapInArrow(_groups, "a long, b long, n long, m long, c long")
     found = found.groupBy("a", "b", "n", "m").agg(F.sum("c").alias("c")).where(F.col("b").isNull() | _enough(F.col("c"), F.col("n"), F.col("m")))
     found = materialise(found.select("a", "b"), "pairs")
-    freed(docs.sparkSession)
     links = similar(found.where("b is not null"), docs, nodes)
-    freed(docs.sparkSession)
     many = found.where("b is null").select(F.col("a").alias("tok"))
     tied = materialise(components(links), "roots")
     if not many.isEmpty():

@@ -50,11 +50,10 @@ def texts(seed):
     return docs
 
 
-@pytest.mark.parametrize(("chunk", "many"), [(1 << 20, 256), (128, 256), (1 << 12, 1)])
-def test_removal(spark, monkeypatch, chunk, many):
+@pytest.mark.parametrize("chunk", [1 << 20, 128, 1 << 12])
+def test_removal(spark, monkeypatch, chunk):
     monkeypatch.setattr(op, "CHUNK", chunk)
-    monkeypatch.setattr(op, "MANY", many)
-    docs = texts(chunk + many)
+    docs = texts(chunk)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     assert got(op.cleaned(frame)) == brute(docs)
 
@@ -70,3 +69,22 @@ def test_query(spark):
     want = sorted((i, n, k, s, hashlib.sha256(b).hexdigest()) for i, n, k, s, b in brute(docs))
     assert sum(x[2] for x in want) > 0
     assert sorted(map(tuple, op.op7_suffix_array_dedup(spark, SF).collect())) == want
+
+
+def test_rows_grow_with_the_copies(spark):
+    """Near copies of one text: what the suffixes of all phrases come to is in proportion to the copies."""
+    r = random.Random(9)
+    base = [f"word{i}" for i in range(60)]
+
+    def rows(n):
+        docs = []
+        for i in range(n):
+            words = list(base)
+            for at in r.sample(range(60), 3):
+                words[at] = f"other{r.randrange(10**6)}"
+            docs.append((i, " ".join(words)))
+        frame = op._marked(spark.createDataFrame(docs, "doc_id long, text string"))
+        return sum(len(x.runs) for x in op.repeated_runs(frame).collect())
+
+    few, many = rows(200), rows(800)
+    assert 2.5 * few < many < 6 * few
