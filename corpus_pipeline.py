@@ -13,8 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import jaccard, mixing, packing, pii, quality
-from lociframe.llm.common import materialise, stand_ins, table
+from lociframe.llm import mixing, packing, pii, quality, simhash
+from lociframe.llm.common import materialise, table
 
 #: No SQL: trees are fitted and texts are tokenised.
 ORACLE_SQL = None
@@ -27,8 +27,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles of Jaccard similarity 0.8 or more."""
-    return stand_ins(docs, jaccard.near_duplicates(docs))
+    """One document of each group of near duplicates: five-word shingles of Jaccard similarity 0.8 or more.
+
+    Null and blank texts are copies of each other; an empty table stays empty.
+    """
+    return simhash.deduplicate(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, stand_ins, table, text_key
+from . import resemblance
+from .common import materialise, stand_ins, table
 from .components import components
 
 #: Hash seed, words in a shingle, bits that may differ.
@@ -50,8 +51,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
-    """(doc_id, fp) and binary ``keys``: fp as the signed long of the same 64 bits. Null text counts as empty."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp): fp as the signed long of the same 64 bits. Null text counts as empty."""
 
     def batch(batches):
         import numpy as np
@@ -59,11 +60,11 @@ def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
 
         for b in batches:
             fps = np.array([fingerprint(t.as_py() or b"") for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *keys])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *keys)
-    return rows.mapInArrow(batch, ", ".join(["doc_id long, fp long", *(f"{k} binary" for k in keys)]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return rows.mapInArrow(batch, "doc_id long, fp long")
 
 
 def _keys(fp: Column) -> Column:
@@ -185,13 +186,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their component: the smallest ``doc_id``.
 
-    Of several rows with that id one stays, any of them if they differ. Of
-    components without any id, all rows stay. Rows are judged one by one: an
+    Near duplicates are those of ``resemblance``: SimHash of five-word shingles
+    with pigeonring chains, then a similarity of 0.8 or more of the sets. Of
+    several rows with the smallest id, the text with the smallest hash stays.
+    Of components without any id, all rows stay. Rows are judged one by one: an
     id that is gone from one component may stay in another.
     """
-    keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("t"))
-    fps = materialise(fingerprints(keyed, "t"), "fingerprints")
-    return stand_ins(docs, fps.join(classes(fps), "fp").select("doc_id", "t", "component_id"))
+    return stand_ins(docs, resemblance.near_duplicates(docs))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
-"""Near duplicates by Jaccard similarity against brute force."""
+"""Near duplicates of the pipeline's stage against brute force."""
 
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
-from lociframe.llm import jaccard
+from lociframe.llm import resemblance
 
 
 def shingle_set(text):
@@ -59,17 +60,39 @@ def md5(text):
     return hashlib.md5((text or "").encode()).digest()
 
 
-@pytest.mark.parametrize("group, common", [(64, 5), (3, 5), (3, 10**9)])
-def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, group, common):
-    monkeypatch.setattr(jaccard, "COMMON", common)
-    monkeypatch.setattr(jaccard, "GROUP", group)
+@pytest.mark.parametrize("block", [1024, 3])
+def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, block):
+    """No link that brute force hasn't, and of pairs at 0.8 or more at least 95 of 100."""
+    monkeypatch.setattr(resemblance, "BLOCK", block)
+    monkeypatch.setattr(resemblance, "SETS", block)
     for data in (near_copies(1, 60), crowd(2)):
         docs = spark.createDataFrame(data, "doc_id long, text string")
-        found = jaccard.near_duplicates(docs)
         texts = {md5(t): t or "" for _, t in data}
-        got = sorted(((r.doc_id, texts[bytes(r.t)], r.component_id) for r in found.collect()), key=repr)
-        assert got == brute_components(data)
-    assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+        got = sorted(((r.doc_id, texts[bytes(r.t)], r.component_id) for r in resemblance.near_duplicates(docs).collect()), key=repr)
+        want = brute_components(data)
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        moved = [(a, b) for a, b in zip(got, want) if a != b]
+        linked = sum(x[0] != x[2] for x in want)
+        assert all(a[0] == a[2] for a, _ in moved) and len(moved) <= 0.05 * linked, moved
+    assert resemblance.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_recall_by_similarity():
+    """Of pairs at a similarity of 0.8 to 0.82, most meet in a chain, within its budgets; of pairs at 0.9 nearly all."""
+    rng = random.Random(4)
+
+    def met(n, parts):
+        hits = 0
+        for _ in range(n):
+            shared = [rng.getrandbits(63) for _ in range(parts)]
+            own = (300 - parts) // 2
+            a, b = (np.unique(np.array(shared + [rng.getrandbits(63) for _ in range(own)], np.int64)) for _ in range(2))
+            x, y = resemblance.wide(a), resemblance.wide(b)
+            hits += (x != y).sum() <= resemblance.DISTANCE and bool(set(resemblance.heads(x).tolist()) & set(resemblance.heads(y).tolist()))
+        return hits / n
+
+    assert met(150, 242) >= 0.88  # 242 / 300: just over 0.8
+    assert met(150, 270) >= 0.98
 
 
 def test_stage_takes_near_copies_of_similarity_four_fifths(spark):
@@ -78,4 +101,5 @@ def test_stage_takes_near_copies_of_similarity_four_fifths(spark):
     data = near_copies(3, 60)
     docs = spark.createDataFrame(data, "doc_id long, text string")
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").collect()}
-    assert kept == {c for _, _, c in brute_components(data)}
+    want = {c for _, _, c in brute_components(data)}
+    assert want <= kept and len(kept - want) <= 3
