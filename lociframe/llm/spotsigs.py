@@ -18,8 +18,6 @@ from .common import materialise, table
 
 #: Anchors of the four languages.
 ANCHORS = "the a an is of to and der die das und ist le la les des et el los de que y".split()
-#: A pair with a lower bound of likeness than this counts as 0.
-LEAST = 0.05
 _NOT = r"[^\p{L}\p{N}]+"
 
 
@@ -60,12 +58,11 @@ def fingerprint(sigs: Column) -> Column:
     return F.concat_ws(":", F.size(sigs).cast("string"), F.lower(F.lpad(F.hex(F.xxhash64(sigs)), 16, "0")))
 
 
-def likeness(a: Column, b: Column, least: float = LEAST) -> Column:
-    """Jaccard similarity of two sets; 0 where their sizes alone keep it below ``least``; two empty sets are alike."""
-    low, high = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sets; two empty sets are alike."""
     both = F.size(F.array_intersect(a, b))
-    exact = both / (F.size(a) + F.size(b) - both)
-    return F.when(high == 0, 1.0).when(low < high * least, 0.0).otherwise(exact)
+    of = F.size(a) + F.size(b) - both
+    return F.when(of == 0, 1.0).otherwise(both / of)
 
 
 def similar_pairs(signed: DataFrame, least: float = 0.8) -> DataFrame:
@@ -93,7 +90,7 @@ def similar_pairs(signed: DataFrame, least: float = 0.8) -> DataFrame:
     other = rare.select(F.col("id").alias("id2"), "sig", F.explode(F.array(F.col("level"), F.col("level") + 1, F.col("level") - 1)).alias("level"))
     pairs = one.join(other, ["sig", "level"]).where("id < id2").select("id", "id2").distinct()
     a, b = sets.toDF("sigs_a", "id"), sets.toDF("sigs_b", "id2")
-    found = pairs.join(a, "id").join(b, "id2").withColumn("likeness", likeness(F.col("sigs_a"), F.col("sigs_b"), least))
+    found = pairs.join(a, "id").join(b, "id2").withColumn("likeness", likeness(F.col("sigs_a"), F.col("sigs_b")))
     return found.where(F.col("likeness") >= least).select(F.col("id").alias("a"), F.col("id2").alias("b"), "likeness")
 
 

@@ -12,8 +12,9 @@ import re
 from functools import lru_cache
 from itertools import chain
 
-#: Words, and pieces of words, that one worker remembers before it starts anew.
-REMEMBERED = 700_000
+#: Words and pieces of words that one worker remembers before it starts anew, some 200 bytes each,
+#: and characters of the longest that is remembered between texts: at most some 90 MB a worker.
+REMEMBERED, LONGEST = 400_000, 64
 #: How the vocabulary splits a text into pieces, for
 #: lower-cased Latin-1 characters.
 SPLIT_LATIN = "'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\t-\\r \\x85\\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+"
@@ -46,8 +47,7 @@ class WordBpe:
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.special = tuple(t.content for t in self.full.get_added_tokens_decoder().values())
         self.latin = re.compile(SPLIT_LATIN).findall
-        self.known: dict[str, bytes] = {}
-        self.merged: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # words, and pieces, which are words of one piece
 
     def split(self, word: str) -> list[str] | None:
         """Pieces of a word of Latin-1 characters; None for others, whose classes only the vocabulary knows."""
@@ -59,17 +59,18 @@ class WordBpe:
 
     def learn(self, words: set[str]) -> None:
         """Ids of words not met before: split into pieces, and the new ones of these merged by the model."""
-        new = list(words.difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
-            new = list(words)
+        new = list(words.difference(self.known))
         for at in range(0, len(new), 20_000):
-            parts = [self.split(w) for w in new[at : at + 20_000]]
-            self.merge(set(chain.from_iterable(filter(None, parts))).difference(self.merged))
-            for word, x in zip(new[at : at + 20_000], parts):
-                self.known[word] = self.whole(word) if x is None else self.merged[x[0]] if len(x) == 1 else b"".join([self.merged[p] for p in x])
-            if len(self.merged) > REMEMBERED // 2:
-                self.merged.clear()
+            part = new[at : at + 20_000]
+            pieces = [self.split(w) for w in part]
+            self.merge(set(chain.from_iterable(filter(None, pieces))).difference(self.known))
+            for word, x in zip(part, pieces):
+                if x is None:
+                    self.known[word] = self.whole(word)
+                elif len(x) > 1:
+                    self.known[word] = b"".join(map(self.known.__getitem__, x))
 
     def whole(self, text: str) -> bytes:
         return self.np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -82,7 +83,7 @@ class WordBpe:
             raise ValueError("the vocabulary has no end-of-word ids")
         raw, start = ids.tobytes(), 0
         for piece, end in zip(part, cuts):
-            self.merged[piece] = raw[4 * start : 4 * end]
+            self.known[piece] = raw[4 * start : 4 * end]
             start = end
 
     def encode(self, text: str | None) -> bytes:
@@ -100,11 +101,15 @@ class WordBpe:
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
-            out = []
-            for at in range(0, len(words), REMEMBERED // 2):  # so that one text's words fit
-                part = words[at : at + REMEMBERED // 2]
+            out, step = [], REMEMBERED // 4
+            for at in range(0, len(words), step):  # so that one text's words fit
+                part = words[at : at + step]
                 self.learn(set(part))
                 out.append(b"".join(map(self.known.__getitem__, part)))
+            long = [w for w in words if len(w) > LONGEST]
+            if long:  # a few huge words would be most of what is remembered
+                for word in {*long, *chain.from_iterable(self.split(w) or () for w in long)}:
+                    self.known.pop(word, None)
             return b"".join(out)
 
 

@@ -145,7 +145,7 @@ def brute_signatures(text):
 def brute_likeness(a, b):
     if not a and not b:
         return 1.0
-    return 0.0 if min(len(a), len(b)) < max(len(a), len(b)) * spotsigs.LEAST else len(a & b) / len(a | b)
+    return len(a & b) / len(a | b)
 
 
 def check_spotsigs(data, out):
