@@ -265,7 +265,7 @@ def _sets(batches):
 def similar(clusters: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) that connect the similar sets within ``clusters`` (h, root), by the whole sets."""
     wanted = materialise(nodes.select("h", F.col("t").alias("k")).join(clusters, "h"), "wanted")
-    texts = docs.select(text_key(F.col("text")).alias("t"), _bytes()).join(wanted, F.col("t") == F.col("k")).select("root", "h", "text")
+    texts = docs.select(text_key(F.col("text")).alias("t"), _bytes()).join(wanted.hint("merge"), F.col("t") == F.col("k")).select("root", "h", "text")
     sets = materialise(texts.mapInArrow(_sets, "root long, h long, toks array<long>").dropDuplicates(["h"]), "sets")
     hot = clusters.groupBy("root").agg(F.count("*").alias("n_group")).where(F.col("n_group") > SETS)
     rows = _dealt(sets, "root", materialise(hot, "hot"), SETS, "h", "toks")
