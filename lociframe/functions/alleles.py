@@ -147,7 +147,7 @@ def call_filter(conf: Column, bias_p: Column, n_alt: Column, n_duplex: Column, v
     """The first filter that a call fails, or Pass."""
     sv = kind.isin(*STRUCTURAL)
     pick = lambda a, b: F.when(sv, F.lit(a)).otherwise(F.lit(b))
-    few = (n_alt < pick(config.sv_min_alt_molecules, config.min_alt_molecules)) & ~((n_alt >= 1) & (n_duplex >= config.duplex_for_single))
+    few = (n_alt < pick(config.sv_min_alt_molecules, config.min_alt_molecules)) & ~((n_alt == 1) & (n_duplex >= config.duplex_for_single))
     threshold = pick(config.sv_strand_bias_threshold, config.strand_bias_threshold)
     biased = (bias_p < threshold) & (threshold < 1.0) & (n_duplex < 2)
     out = (
@@ -159,16 +159,18 @@ def call_filter(conf: Column, bias_p: Column, n_alt: Column, n_duplex: Column, v
     return out.otherwise("Pass")
 
 
-def why_filtered(label: Column, conf: Column, bias_p: Column, n_alt: Column, n_duplex: Column, vaf: Column, config: CallConfig = CallConfig()) -> Column:
-    """A sentence on a call's filter: the statistic, its threshold and the option that moves it."""
+def why_filtered(label: Column, conf: Column, bias_p: Column, n_alt: Column, n_duplex: Column, vaf: Column, kind: Column | None = None, config: CallConfig = CallConfig()) -> Column:
+    """A sentence on a call's filter: the statistic, its threshold and the option that moves it; structural classes (``kind``) have their own."""
     say = lambda name, value, limit, flag: F.concat_ws("", F.lit(f"{name} "), value.cast("string"), F.lit(f" against {limit}; see {flag}"))
+    sv = F.lit(False) if kind is None else kind.isin(*STRUCTURAL)
+
+    def by_kind(name: str, value: Column, option: str) -> Column:
+        return F.when(sv, say(name, value, getattr(config, f"sv_{option}"), f"sv_{option}")).otherwise(say(name, value, getattr(config, option), option))
+
+    least = F.when(sv, F.lit(config.sv_min_alt_molecules)).otherwise(F.lit(config.min_alt_molecules))
     return (
-        F.when(label == "Pass", F.lit("passed every filter"))
-        .when(label == "StrandBias", say("strand bias p", bias_p, config.strand_bias_threshold, "strand_bias_threshold"))
-        .when(label == "LowDuplex", say("duplex molecules", n_duplex, config.min_alt_duplex, "min_alt_duplex"))
-        .when((label == "LowConfidence") & (n_alt < config.min_alt_molecules), say("alt molecules", n_alt, config.min_alt_molecules, "min_alt_molecules"))
-        .when(label == "LowConfidence", say("confidence", conf, config.min_confidence, "min_confidence"))
-        .when(label == "HighVaf", say("VAF", vaf, config.max_vaf, "max_vaf"))
-        .when(label == "NotTargeted", F.lit("no listed variant matches; see ti_position_tolerance"))
-        .otherwise(label)
-    )
+        F.when(label == "Pass", F.lit("passed every filter")).when(label == "StrandBias", by_kind("strand bias p", bias_p, "strand_bias_threshold"))
+        .when(label == "LowDuplex", say("duplex molecules", n_duplex, config.min_alt_duplex, "min_alt_duplex")).when((label == "LowConfidence") & (n_alt < least), by_kind("alt molecules", n_alt, "min_alt_molecules"))
+        .when(label == "LowConfidence", by_kind("confidence", conf, "min_confidence")).when(label == "HighVaf", say("VAF", vaf, config.max_vaf, "max_vaf"))
+        .when(label == "NotTargeted", F.lit("no listed variant matches; see ti_position_tolerance")).otherwise(label)
+    )

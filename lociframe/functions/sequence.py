@@ -254,25 +254,46 @@ def longest_homopolymer(seq: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
 
 
-def repeat_fraction(seq: Column, run: int = 3) -> Column:
-    """Share of bases in homopolymers of at least ``run``."""
-    runs = F.regexp_extract_all(F.upper(seq), F.lit(rf"((.)\2{{{run - 1},}})"), F.lit(1))
-    total = F.aggregate(runs, F.lit(0), lambda a, x: a + F.length(x))
-    return F.when(F.length(seq) > 0, total / F.length(seq)).otherwise(0.0)
+def repeat_fraction(seq: Column, run: int = 3, units: int = 3) -> Column:
+    """Share of bases in homopolymers of at least ``run`` bases or dinucleotide repeats of at least ``units`` units."""
+
+    def starts(s: Column, unit: int, times: int) -> Column:
+        """At each place, whether the unit there occurs so many times in a row."""
+        size = unit * times
+        places = F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1)))
+        return F.transform(places, lambda i: (F.length(F.substring(s, i, F.lit(size))) == size) & (F.substring(s, i, F.lit(size)) == F.repeat(F.substring(s, i, F.lit(unit)), F.lit(times))))
+
+    def covered(x: Column) -> Column:
+        near = lambda flags, i, size: F.exists(F.slice(flags, F.greatest(i - size + 1, F.lit(1)), F.least(i, F.lit(size))), lambda f: f)
+        return F.size(F.filter(F.sequence(F.lit(1), F.size(x.one)), lambda i: near(x.one, i, run) | near(x.two, i, 2 * units)))
+
+    flags = let(F.upper(seq), lambda s: F.struct(starts(s, 1, run).alias("one"), starts(s, 2, units).alias("two")))
+    return F.when(F.length(seq) > 0, let(flags, covered) / F.length(seq)).otherwise(0.0)
 
 
 def dust_score(seq: Column, centre: Column | None = None, window: int = 64) -> Column:
-    """DUST score of the window around a place: sum of c (c - 1) / 2 over trinucleotide counts, over their number less one."""
+    """DUST score of the window around a place: sum of c (c - 1) / 2 over trinucleotide counts, over the window's length less two.
+
+    Sorted, equal trinucleotides are neighbours: each adds the number of its kind before it.
+    """
     seq = F.upper(seq)
     if centre is not None:
         seq = F.substring(seq, F.greatest(centre - window // 2 + 1, F.lit(1)).cast("int"), F.lit(window))
     else:
         seq = F.substring(seq, 1, window)
-    n = F.length(seq) - 2
-    tri = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(seq, i, F.lit(3)))
-    # c (c - 1) / 2 summed over kinds is the number of equal pairs: (sum of c over members - members) / 2.
-    same = F.aggregate(tri, F.lit(0), lambda acc, t: acc + F.size(F.filter(tri, lambda u: u == t)) - 1) / 2
-    return F.when(n >= 2, same / (n - 1)).otherwise(0.0)
+
+    def score(s: Column) -> Column:
+        n = F.length(s) - 2
+        tri = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(s, i, F.lit(3))))
+        start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("total"))
+
+        def step(acc: Column, t: Column) -> Column:
+            run = F.when(t == acc.last, acc.run + 1).otherwise(0)
+            return F.struct(t.alias("last"), run.alias("run"), (acc.total + run).alias("total"))
+
+        return F.when(n > 0, F.aggregate(tri, start, step, lambda acc: acc.total) / n).otherwise(0.0)
+
+    return let(seq, score)
 
 
 def gc_fraction(seq: Column) -> Column:

@@ -46,9 +46,12 @@ def call_variants(scored: DataFrame, config: CallConfig = CallConfig(), keys: li
     label = call_filter(F.col("confidence"), F.col("strand_bias_p"), F.col("n_molecules_alt"), F.col("n_duplex_alt"), F.col("vaf"), F.col("variant_type"), config)
     out = out.withColumn("filter", F.when(same, "LowConfidence").otherwise(label))
     head = keys if keys is not None else ["sample_id"]
+    duplex_ref = F.col("ref_min_duplex" if "ref_min_duplex" in out.columns else "ref_min_variant_specific_duplex")
+    error = F.col("mean_error_prob") if "mean_error_prob" in out.columns else F.lit(None).cast("double")
+    more = (duplex_ref.alias("n_duplex_ref"), F.greatest(F.lit(0), F.col("n_molecules_ref") - duplex_ref).alias("n_simplex_ref"), error.alias("mean_alt_error_prob"))
     return out.select(
         *head, "target_id", "variant_type", F.col("ref_path_seq").alias("ref_seq"), F.col("path_seq").alias("alt_seq"), "vaf", "vaf_ci_low", "vaf_ci_high", "n_molecules_ref", "n_molecules_alt",
-        "n_duplex_alt", "n_simplex_alt", F.col("min_simplex_fwd").alias("n_simplex_fwd_alt"), F.col("min_simplex_rev").alias("n_simplex_rev_alt"), "mean_variant_specific_molecules",
+        "n_duplex_alt", "n_simplex_alt", *more, F.col("min_simplex_fwd").alias("n_simplex_fwd_alt"), F.col("min_simplex_rev").alias("n_simplex_rev_alt"), "mean_variant_specific_molecules",
         "min_variant_specific_duplex", "strand_bias_p", "confidence", "filter", F.lit("CALLED").alias("call_source"),
     )
 
@@ -128,30 +131,38 @@ def nearest(left: DataFrame, right: DataFrame, value: str, keys: tuple[str, ...]
 
 
 def rescue_probe(targets: DataFrame, index: DataFrame, k: int = 31) -> DataFrame:
-    """Evidence for a listed variant by its own k-mers alone: targets with ref_seq and alt_seq.
+    """Evidence for a listed variant by its own k-mers alone: targets with ref_seq and alt_seq; by sample if the index has ``sample_id``.
 
     The least count is over the k-mers found (0 if none), duplex counts add up,
     the reference mean is over all its own k-mers with absent ones as 0.
-    Targets shorter than k or without own k-mers have no row.
+    Targets whose reference is shorter than k or without own k-mers have no row.
     """
+    targets = targets.where(F.length("ref_seq") >= k)
+    keys = ["sample_id"] if "sample_id" in index.columns else []
     side = lambda c: S.explode_kmers(targets.select("target_id", c), c, k).select("target_id", "kmer").distinct()
     alt, ref = side("alt_seq"), side("ref_seq")
     own_alt, own_ref = alt.join(ref, ["target_id", "kmer"], "left_anti"), ref.join(alt, ["target_id", "kmer"], "left_anti")
-    index = index.select("kmer", "n_molecules", "n_duplex")
-    a = own_alt.join(index, "kmer", "left").groupBy("target_id").agg(
-        F.coalesce(F.min("n_molecules"), F.lit(0)).alias("min_alt_molecules"), F.coalesce(F.sum("n_duplex"), F.lit(0)).alias("sum_alt_duplex"),
-        F.count("n_molecules").alias("kmers_found"), F.count("*").alias("kmers_total"),
-    )
-    r = own_ref.join(index, "kmer", "left").groupBy("target_id").agg(F.avg(F.coalesce("n_molecules", F.lit(0))).alias("mean_ref_molecules"))
-    out = a.join(r, "target_id", "left").withColumn("mean_ref_molecules", F.coalesce("mean_ref_molecules", F.lit(0.0)))
+    every = own_alt.groupBy("target_id").agg(F.count("*").alias("kmers_total"))
+    every = every.join(own_ref.groupBy("target_id").agg(F.count("*").alias("__ref")), "target_id", "left")
+    if keys:  # a row for each sample and target is what is asked for
+        every = every.crossJoin(index.select(*keys).distinct())
+    seen = index.select(*keys, "kmer", "n_molecules", "n_duplex")
+    by = [*keys, "target_id"]
+    a = own_alt.join(seen, "kmer").groupBy(*by).agg(F.min("n_molecules").alias("min_alt_molecules"), F.sum("n_duplex").alias("sum_alt_duplex"), F.count("*").alias("kmers_found"))
+    r = own_ref.join(seen, "kmer").groupBy(*by).agg(F.sum("n_molecules").alias("__sum"))
+    out = every.join(a, by, "left").join(r, by, "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("min_alt_molecules", "sum_alt_duplex", "kmers_found")})
+    out = out.withColumn("mean_ref_molecules", F.coalesce(F.col("__sum") / F.col("__ref"), F.lit(0.0)))
+    out = out.select(*by, "min_alt_molecules", "sum_alt_duplex", "kmers_found", "kmers_total", "mean_ref_molecules")
     return out.withColumn("approx_vaf", stats.approx_vaf(F.col("min_alt_molecules"), F.col("mean_ref_molecules")))
 
 
 def rescued(calls: DataFrame, probes: DataFrame) -> DataFrame:
-    """``calls`` with a row for each probed target that has no passing call: seen below threshold, by probe only, or not at all."""
-    passing = calls.where(F.col("filter") == "Pass").select("target_id").distinct()
-    seen = calls.select("target_id").distinct().withColumn("__called", F.lit(True))
-    rows = probes.join(passing, "target_id", "left_anti").join(seen, "target_id", "left")
+    """``calls`` with a row for each probed target (of each sample) that has no passing call: seen below threshold, by probe only, or not at all."""
+    by = [c for c in ("sample_id", "target_id") if c in probes.columns and c in calls.columns]
+    passing = calls.where(F.col("filter") == "Pass").select(*by).distinct()
+    seen = calls.select(*by).distinct().withColumn("__called", F.lit(True))
+    rows = probes.join(passing, by, "left_anti").join(seen, by, "left")
     source = F.when(F.col("__called"), "SUBTHRESHOLD").when(F.col("kmers_found") > 0, "RESCUED").otherwise("NO_EVIDENCE")
     rows = rows.withColumn("call_source", source).drop("__called").withColumnRenamed("min_alt_molecules", "rescue_min_alt_molecules").withColumnRenamed("sum_alt_duplex", "rescue_alt_duplex")
     rows = rows.withColumnRenamed("kmers_found", "rescue_kmers_found").withColumnRenamed("kmers_total", "rescue_kmers_total").withColumnRenamed("approx_vaf", "rescue_approx_vaf")
@@ -186,5 +197,7 @@ def fusion_vaf(junction: DataFrame, partners: DataFrame) -> DataFrame:
 
 
 def library_depth(junctions: DataFrame, molecules: DataFrame) -> DataFrame:
-    """Junction calls with all molecules of the library as their denominator (a single row)."""
-    return junctions.crossJoin(molecules.agg(F.count("*").alias("library_molecules")))
+    """Junction calls with all molecules of their sample's library as their denominator."""
+    if "sample_id" in molecules.columns and "sample_id" in junctions.columns:
+        return junctions.join(molecules.groupBy("sample_id").agg(F.count("*").alias("library_molecules")), "sample_id", "left")
+    return junctions.crossJoin(molecules.agg(F.count("*").alias("library_molecules")))  # a single row

@@ -188,9 +188,10 @@ def rank_paths(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def pathfind_stats(anchors: DataFrame, paths: DataFrame) -> DataFrame:
-    """Targets, those with variants, with a reference only or nothing, unusable or frequent anchors, spent budgets."""
-    per = paths.groupBy("target_id").agg(F.count_if(~F.col("is_reference")).alias("alts"), F.count_if("is_reference").alias("refs"), F.bool_or("budget_hit").alias("spent"))
-    all_ = anchors.join(per, "target_id", "left")
+    """Targets, those with variants, with a reference only or nothing, unusable or frequent anchors, spent budgets; by sample if both sides have it."""
+    keys = [c for c in ("sample_id",) if c in anchors.columns and c in paths.columns]
+    per = paths.groupBy(*keys, "target_id").agg(F.count_if(~F.col("is_reference")).alias("alts"), F.count_if("is_reference").alias("refs"), F.bool_or("budget_hit").alias("spent"))
+    all_ = anchors.join(per, [*keys, "target_id"], "left").groupBy(*keys)
     return all_.agg(
         F.count("*").alias("n_targets"), F.count_if(F.col("alts") > 0).alias("n_with_variants"), F.count_if((F.col("alts") == 0) & (F.col("refs") > 0)).alias("n_ref_only"),
         F.count_if(F.col("alts").isNull()).alias("n_no_paths"), F.count_if(F.col("start_kmer").isNull()).alias("n_no_anchor"),

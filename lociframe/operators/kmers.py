@@ -98,13 +98,19 @@ def junction_reads(reads: DataFrame, junctions: DataFrame, k: int = 31) -> DataF
 
 
 def validate_anchors(targets: DataFrame, index: DataFrame, k: int = 31, threshold: int = 100) -> DataFrame:
-    """First and last k-mer of each target with their counts; rarer than ``threshold`` is unique. Null for short targets and those with N there."""
+    """First and last k-mer of each target with their counts, by sample if the index has ``sample_id``.
+
+    Rarer than ``threshold`` is unique. Null for short targets and those with N there.
+    """
+    keys = ["sample_id"] if "sample_id" in index.columns else []
     ends = targets.withColumns({"start_kmer": F.upper(F.substring("seq", 1, k)), "end_kmer": F.upper(F.right("seq", F.lit(k)))})
     ok = (F.length("seq") >= k) & F.col("start_kmer").rlike("^[ACGT]+$") & F.col("end_kmer").rlike("^[ACGT]+$")
     out = ends.withColumns({c: F.when(ok, F.col(c)) for c in ("start_kmer", "end_kmer")})
+    if keys:  # a row for each sample and target is what is asked for
+        out = out.crossJoin(index.select(*keys).distinct())
     for end in ("start", "end"):
-        n = index.select(F.col("kmer").alias(f"__{end}"), F.col("n_molecules").alias(f"{end}_count"))
-        out = out.join(n, S.canonical(F.col(f"{end}_kmer")) == F.col(f"__{end}"), "left").drop(f"__{end}")
+        n = index.select(*keys, F.col("kmer").alias(f"__{end}"), F.col("n_molecules").alias(f"{end}_count"))
+        out = out.withColumn(f"__{end}", S.canonical(F.col(f"{end}_kmer"))).join(n, [*keys, f"__{end}"], "left").drop(f"__{end}")
         out = out.withColumn(f"{end}_count", F.when(F.col(f"{end}_kmer").isNotNull(), F.coalesce(f"{end}_count", F.lit(0))))
         out = out.withColumn(f"{end}_unique", F.col(f"{end}_count") < threshold)
     return out.withColumn("warning", F.when(~(F.col("start_unique") & F.col("end_unique")), F.lit("anchor occurs too often")))

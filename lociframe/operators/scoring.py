@@ -52,31 +52,61 @@ def best_parameter(scores: DataFrame, by: str, parameter: str) -> DataFrame:
     return means.groupBy(by).agg(F.max_by(parameter, F.struct("mean", (-F.col(parameter)).alias("x"))).alias("best"), F.max("mean").alias("mean"))
 
 
+#: Labels of shares in their order.
+VAF_LEVELS = ("0pc", "0p001pc", "0p01pc", "0p1pc", "0p25pc", "0p5pc", "1pc", "2pc")
+#: Fixed values of the reasons for disagreement: labels of low shares, classes that methods differ on, small input in ng.
+LOW_VAF, ODD_TYPES, LOW_INPUT = ("0p001pc", "0p01pc", "0p1pc", "0p25pc"), ("INDEL", "INS", "DEL", "SV", "INVDEL"), (5,)
+
+
 def concordance(truth: DataFrame, calls: DataFrame, keys: list[str]) -> DataFrame:
-    """Truth with its call, the last one of several (by ``ord``), and a category."""
+    """Each variant of the truth with its call, the last one of several (by ``ord``), and which methods found it.
+
+    ``truth`` says by ``alignment_detected`` whether alignment did; null is no.
+    """
     last = Window.partitionBy(*keys).orderBy(F.desc("ord"))
-    calls = calls.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "ord")
+    calls = calls.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "ord").withColumn("__hit", F.lit(True))
     out = truth.join(calls, keys, "left")
-    return out.withColumn("category", F.when(F.col("filter").isNull(), "missed").when(F.col("filter") == "Pass", "detected").otherwise("filtered"))
+    aligned, called = F.coalesce("alignment_detected", F.lit(False)), F.coalesce("__hit", F.lit(False))
+    which = F.when(aligned & called, "both_detected").when(aligned, "alignment_only").when(called, "call_only").otherwise("neither")
+    return out.withColumn("call_detected", called).withColumn("concordance", which).drop("__hit")
 
 
-def concordance_summary(rows: DataFrame, *by: str) -> DataFrame:
-    of = lambda c: F.count_if(F.col("category") == c)
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), of("detected").alias("detected"), of("filtered").alias("filtered"), of("missed").alias("missed"))
-    return out.withColumn("detected_rate", ratio(F.col("detected"), F.col("n")))
+def _level(label: str = "vaf_level") -> Column:
+    """A share label's place; unknown ones come last."""
+    at = F.array_position(F.array(*map(F.lit, VAF_LEVELS)), F.col(label))
+    return F.when(at > 0, at)
 
 
-def discordance_reason(row: dict[str, Column]) -> Column:
-    """Why two methods disagree on a variant: by what the missing side saw of it."""
-    n, dup, filt, vaf = row["n_alt"], row["n_duplex"], row["filter"], row["vaf"]
-    return (
-        F.when(filt.isNull() & (F.coalesce(n, F.lit(0)) == 0), "no_evidence").when(filt == "NotTargeted", "not_targeted").when(filt == "StrandBias", "strand_bias")
-        .when(n < 2, "single_molecule").when(dup == 0, "no_duplex").when(vaf < 0.001, "low_vaf").when(filt == "LowConfidence", "low_confidence").otherwise("other")
+def concordance_summary(rows: DataFrame) -> DataFrame:
+    """Counts and rates by vaf_level and variant_type, in the order of shares."""
+    of = lambda c: F.count_if(F.col("concordance") == c)
+    kinds = ("both_detected", "alignment_only", "call_only", "neither")
+    out = rows.groupBy("vaf_level", "variant_type").agg(F.count("*").alias("total_calls"), *(of(k).alias(k) for k in kinds))
+    both, n = F.col("both_detected"), F.col("total_calls")
+    aligned = both + F.col("alignment_only")
+    rates = {"alignment_sensitivity": aligned / n, "call_sensitivity": (both + F.col("call_only")) / n, "concordance_rate": F.when(aligned > 0, both / aligned)}
+    return out.withColumns(rates).orderBy(_level().asc_nulls_last(), "variant_type")
+
+
+def discordance(rows: DataFrame, depth_threshold: int = 100) -> DataFrame:
+    """Variants that one method alone found, with direction and the likeliest reason.
+
+    ``rows`` has concordance, alignment_depth (a number or null), vaf_level,
+    variant_type and input_ng. In this order: no depth or one below the
+    threshold, a share near the limit, a class that methods differ on, small input.
+    """
+    depth = F.col("alignment_depth")
+    reason = (
+        F.when(depth.isNull() | (depth < depth_threshold), "low_depth").when(F.col("vaf_level").isin(*LOW_VAF), "low_vaf")
+        .when(F.col("variant_type").isin(*ODD_TYPES), "variant_type").when(F.col("input_ng").isin(*LOW_INPUT), "input_amount").otherwise("unknown")
     )
+    odd = rows.where(F.col("concordance").isin("alignment_only", "call_only"))
+    return odd.withColumn("reason", reason).withColumnRenamed("concordance", "direction")
 
 
-def discordance_summary(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *by)
+def discordance_summary(details: DataFrame) -> DataFrame:
+    keys = ("reason", "direction", "variant_type")
+    return details.groupBy(*keys).agg(F.count("*").alias("count")).orderBy(*keys)
 
 
 def label_by_interval(variants: DataFrame, targets: DataFrame, width: int = 1000) -> DataFrame:

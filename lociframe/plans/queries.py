@@ -79,10 +79,9 @@ def kmer_min_evidence(spark, sf):
     return kmers.frequent(doc_index(spark, sf)).select("kmer", "n_molecules")
 
 
-@query(f"""WITH {I.SQL_DOCUMENTS}, {I.SQL_PANEL} SELECT DISTINCT kmer FROM (SELECT kmer FROM panel_kmers UNION ALL SELECT kmer FROM doc_kmers WHERE molecule_id % 50 = 1)""")
+@query(f"""WITH {I.SQL_DOCUMENTS}, {I.SQL_PANEL} SELECT kmer FROM panel_kmers UNION SELECT kmer FROM doc_kmers""")
 def allowlist_union(spark, sf):
-    sv = I.documents(spark, sf).where("molecule_id % 50 = 1")  # every fiftieth stands for a junction sequence
-    return kmers.allowlist(I.panel(spark, sf), sv)
+    return kmers.allowlist(I.panel(spark, sf), I.documents(spark, sf))  # documents stand for junction sequences
 
 
 @query("""WITH d AS (SELECT c_custkey AS id, substr(translate(md5(CAST(c_custkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 31) AS s FROM customer),
@@ -95,10 +94,15 @@ def kmer_codes(spark, sf):
     return d.select("id", S.reverse_complement(F.col("s")).alias("rc"), S.canonical(F.col("s")).alias("canonical"), S.canonical_strand(F.col("s")).alias("strand"), S.decode_kmer(code, 31).alias("decoded"), code.alias("code"))
 
 
-@query(f"""WITH {I.SQL_DOCUMENTS}, {I.SQL_PANEL}, {I.SQL_INDEX}, a AS (SELECT target_id, CASE WHEN length(seq) >= 31 THEN substr(seq, 1, 31) END AS s, CASE WHEN length(seq) >= 31 THEN substr(seq, length(seq) - 30) END AS e FROM panel)
-  SELECT target_id, CASE WHEN s IS NOT NULL THEN coalesce(i.n_molecules, 0) END AS start_count, CASE WHEN s IS NOT NULL THEN coalesce(j.n_molecules, 0) END AS end_count,
-    CASE WHEN s IS NOT NULL THEN coalesce(i.n_molecules, 0) < 5 END AS start_unique, CASE WHEN s IS NOT NULL THEN coalesce(j.n_molecules, 0) < 5 END AS end_unique
-  FROM a LEFT JOIN idx i ON i.kmer = least(s, reverse(translate(s, 'ACGT', 'TGCA'))) LEFT JOIN idx j ON j.kmer = least(e, reverse(translate(e, 'ACGT', 'TGCA')))""")
+_ENDS = """a AS (SELECT target_id, CASE WHEN length(seq) >= 31 THEN substr(seq, 1, 31) END AS s, CASE WHEN length(seq) >= 31 THEN substr(seq, length(seq) - 30) END AS e FROM panel),
+ends AS (SELECT target_id, least(s, reverse(translate(s, 'ACGT', 'TGCA'))) AS s, least(e, reverse(translate(e, 'ACGT', 'TGCA'))) AS e FROM a),
+seen AS MATERIALIZED (SELECT kmer, count(*) AS n FROM doc_kmers WHERE kmer IN (SELECT s FROM ends UNION SELECT e FROM ends) GROUP BY kmer)"""
+
+
+@query(f"""WITH {I.SQL_DOCUMENTS}, {I.SQL_PANEL}, {_ENDS}
+  SELECT target_id, CASE WHEN s IS NOT NULL THEN coalesce(i.n, 0) END AS start_count, CASE WHEN s IS NOT NULL THEN coalesce(j.n, 0) END AS end_count,
+    CASE WHEN s IS NOT NULL THEN coalesce(i.n, 0) < 5 END AS start_unique, CASE WHEN s IS NOT NULL THEN coalesce(j.n, 0) < 5 END AS end_unique
+  FROM ends LEFT JOIN seen i ON i.kmer = s LEFT JOIN seen j ON j.kmer = e""")
 def anchor_validation(spark, sf):
     return kmers.validate_anchors(I.panel(spark, sf), doc_index(spark, sf), threshold=5).select("target_id", "start_count", "end_count", "start_unique", "end_unique")
 
@@ -297,7 +301,7 @@ def posterior_confidence(spark, sf):
 _BIAS = f"""t AS (SELECT DISTINCT fwd AS a, rev AS b, CAST(20 AS BIGINT) AS c, CAST(20 AS BIGINT) AS d FROM calls), {_FISHER},
 f AS (SELECT a, b, least(1.0, sum(exp(lp)) FILTER (lp <= lo + 1e-10)) AS bias FROM l GROUP BY a, b)"""
 _FILTER = f"""x AS (SELECT calls.*, bias, {_CONF.replace("(v)", "(vaf)").replace("1 - v)", "1 - vaf)")} AS conf, variant_type IN ('LargeDeletion', 'Fusion') AS sv FROM calls JOIN f ON fwd = a AND rev = b),
-lab AS (SELECT *, CASE WHEN n_alt < CASE WHEN sv THEN 1 ELSE 2 END AND NOT (n_alt >= 1 AND n_duplex >= 1) THEN 'LowConfidence'
+lab AS (SELECT *, CASE WHEN n_alt < CASE WHEN sv THEN 1 ELSE 2 END AND NOT (n_alt = 1 AND n_duplex >= 1) THEN 'LowConfidence'
   WHEN NOT sv AND bias < 0.01 AND n_duplex < 2 THEN 'StrandBias' WHEN conf < CASE WHEN sv THEN 0.95 ELSE 0.99 END THEN 'LowConfidence' WHEN vaf > 0.05 THEN 'HighVaf' ELSE 'Pass' END AS filter FROM x)"""
 
 
@@ -367,11 +371,11 @@ def rescue_probe(spark, sf):
     return rounded(probes(spark, sf), "mean_ref_molecules", "approx_vaf")
 
 
-@query(f"""WITH {I.SQL_DOCUMENTS}, {I.SQL_PANEL}, {I.SQL_INDEX}, {_ALTS}, cl AS (SELECT 't' || o_orderkey AS target_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Pass' ELSE 'LowConfidence' END AS filter FROM orders WHERE o_orderkey < 20)
+@query(f"""WITH {I.SQL_DOCUMENTS}, {I.SQL_PANEL}, {I.SQL_INDEX}, {_ALTS}, cl AS (SELECT 't' || o_orderkey AS target_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Pass' ELSE 'LowConfidence' END AS filter FROM orders)
   SELECT target_id, filter, 'CALLED' AS call_source FROM cl UNION ALL SELECT target_id, NULL, CASE WHEN target_id IN (SELECT target_id FROM cl) THEN 'SUBTHRESHOLD' WHEN kmers_found > 0 THEN 'RESCUED' ELSE 'NO_EVIDENCE' END
   FROM pr WHERE kmers_total > 0 AND target_id NOT IN (SELECT target_id FROM cl WHERE filter = 'Pass')""")
 def rescue_labels(spark, sf):
-    o = I.table(spark, sf, "orders", "o_orderkey").where("o_orderkey < 20")
+    o = I.table(spark, sf, "orders", "o_orderkey")
     cl = o.select(F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("target_id"), F.when(F.col("o_orderkey") % 2 == 0, "Pass").otherwise("LowConfidence").alias("filter"), F.lit("CALLED").alias("call_source"))
     return calls.rescued(cl, probes(spark, sf)).select("target_id", "filter", "call_source")
 
@@ -523,43 +527,49 @@ def sweep_best(spark, sf):
     return rounded(scoring.best_parameter(replicates(spark, sf), "type", "param"), "mean")
 
 
-_CONC = """k AS (SELECT chrom, pos, ref, alt, arg_max(filter, call_id) AS filter FROM lab GROUP BY ALL),
-conc AS (SELECT t.*, k.filter, CASE WHEN k.filter IS NULL THEN 'missed' WHEN k.filter = 'Pass' THEN 'detected' ELSE 'filtered' END AS category FROM truth t LEFT JOIN k USING (chrom, pos, ref, alt))"""
+_CONC = """k AS (SELECT chrom, pos, ref, alt, arg_max(call_id, call_id) AS call_id FROM calls WHERE n_alt > 1 GROUP BY ALL),
+tr AS (SELECT *, ['0p1pc', '0p25pc', '1pc', '2pc'][vaf_class + 1] AS vaf_level, ['SNV', 'DEL', 'INDEL', 'MNV'][pos % 4 + 1] AS variant_type, [5, 15, 30][pos % 3 + 1] AS input_ng,
+  pos % 7 < 4 AS alignment_detected, CASE WHEN pos % 11 > 0 THEN pos % 500 END AS alignment_depth FROM truth),
+conc AS (SELECT tr.*, k.call_id, k.call_id IS NOT NULL AS call_detected, CASE WHEN alignment_detected AND k.call_id IS NOT NULL THEN 'both_detected' WHEN alignment_detected THEN 'alignment_only'
+  WHEN k.call_id IS NOT NULL THEN 'call_only' ELSE 'neither' END AS concordance FROM tr LEFT JOIN k USING (chrom, pos, ref, alt))"""
 
 
 def concordant(spark, sf):
-    rows = labelled(spark, sf).select("chrom", "pos", "ref", "alt", F.col("call_id").alias("ord"), "filter")
-    return scoring.concordance(I.truth_rows(spark, sf), rows, scoring.ALLELE)
+    pos = F.col("pos")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    truth = I.truth_rows(spark, sf).withColumns({
+        "vaf_level": pick(("0p1pc", "0p25pc", "1pc", "2pc"), F.col("vaf_class")), "variant_type": pick(("SNV", "DEL", "INDEL", "MNV"), pos % 4), "input_ng": pick((5, 15, 30), pos % 3),
+        "alignment_detected": pos % 7 < 4, "alignment_depth": F.when(pos % 11 > 0, pos % 500),
+    })
+    rows = I.call_rows(spark, sf).where("n_alt > 1").select("chrom", "pos", "ref", "alt", F.col("call_id").alias("ord"), "call_id")
+    return scoring.concordance(truth, rows, scoring.ALLELE)
 
 
-@query(f"WITH {I.SQL_CALLS}, {I.SQL_TRUTH}, {_BIAS}, {_FILTER}, {_CONC} SELECT chrom, pos, ref, alt, vaf_class, filter, category FROM conc")
+@query(f"WITH {I.SQL_CALLS}, {I.SQL_TRUTH}, {_CONC} SELECT chrom, pos, ref, alt, vaf_level, variant_type, alignment_detected, call_detected, call_id, concordance FROM conc")
 def concordance(spark, sf):
-    return concordant(spark, sf).select("chrom", "pos", "ref", "alt", "vaf_class", "filter", "category")
+    return concordant(spark, sf).select("chrom", "pos", "ref", "alt", "vaf_level", "variant_type", "alignment_detected", "call_detected", "call_id", "concordance")
 
 
-@query(f"""WITH {I.SQL_CALLS}, {I.SQL_TRUTH}, {_BIAS}, {_FILTER}, {_CONC} SELECT vaf_class, count(*) AS n, count(*) FILTER (category = 'detected') AS detected, count(*) FILTER (category = 'filtered') AS filtered,
-  count(*) FILTER (category = 'missed') AS missed, round(count(*) FILTER (category = 'detected') / count(*), 6) AS detected_rate FROM conc GROUP BY vaf_class""")
+@query(f"""WITH {I.SQL_CALLS}, {I.SQL_TRUTH}, {_CONC}, n AS (SELECT vaf_level, variant_type, count(*) AS total_calls, count(*) FILTER (concordance = 'both_detected') AS both_detected,
+  count(*) FILTER (concordance = 'alignment_only') AS alignment_only, count(*) FILTER (concordance = 'call_only') AS call_only, count(*) FILTER (concordance = 'neither') AS neither FROM conc GROUP BY ALL)
+  SELECT *, round((both_detected + alignment_only) / total_calls, 6) AS alignment_sensitivity, round((both_detected + call_only) / total_calls, 6) AS call_sensitivity,
+    round(both_detected / nullif(both_detected + alignment_only, 0), 6) AS concordance_rate FROM n""")
 def concordance_summary(spark, sf):
-    return rounded(scoring.concordance_summary(concordant(spark, sf), "vaf_class"), "detected_rate")
-
-
-_REASON = """reason AS (SELECT *, CASE WHEN filter = 'StrandBias' THEN 'strand_bias' WHEN n_alt < 2 THEN 'single_molecule' WHEN n_duplex = 0 THEN 'no_duplex' WHEN vaf < 0.001 THEN 'low_vaf'
-  WHEN filter = 'LowConfidence' THEN 'low_confidence' ELSE 'other' END AS reason FROM lab WHERE filter <> 'Pass')"""
+    return rounded(scoring.concordance_summary(concordant(spark, sf)), "alignment_sensitivity", "call_sensitivity", "concordance_rate")
 
 
-def reasons(spark, sf):
-    rows = labelled(spark, sf).where("filter <> 'Pass'")
-    return rows.withColumn("reason", scoring.discordance_reason({c: F.col(c) for c in ("n_alt", "n_duplex", "filter", "vaf")}))
+_REASON = """dis AS (SELECT *, concordance AS direction, CASE WHEN alignment_depth IS NULL OR alignment_depth < 100 THEN 'low_depth' WHEN vaf_level IN ('0p001pc', '0p01pc', '0p1pc', '0p25pc') THEN 'low_vaf'
+  WHEN variant_type IN ('INDEL', 'INS', 'DEL', 'SV', 'INVDEL') THEN 'variant_type' WHEN input_ng = 5 THEN 'input_amount' ELSE 'unknown' END AS reason FROM conc WHERE concordance IN ('alignment_only', 'call_only'))"""
 
 
-@query(f"WITH {I.SQL_CALLS}, {_BIAS}, {_FILTER}, {_REASON} SELECT call_id, reason FROM reason")
+@query(f"WITH {I.SQL_CALLS}, {I.SQL_TRUTH}, {_CONC}, {_REASON} SELECT chrom, pos, ref, alt, vaf_level, input_ng, direction, reason FROM dis")
 def discordance_reason(spark, sf):
-    return reasons(spark, sf).select("call_id", "reason")
+    return scoring.discordance(concordant(spark, sf)).select("chrom", "pos", "ref", "alt", "vaf_level", "input_ng", "direction", "reason")
 
 
-@query(f"WITH {I.SQL_CALLS}, {_BIAS}, {_FILTER}, {_REASON} SELECT reason, variant_type, count(*) AS n FROM reason GROUP BY ALL")
+@query(f"WITH {I.SQL_CALLS}, {I.SQL_TRUTH}, {_CONC}, {_REASON} SELECT reason, direction, variant_type, count(*) AS count FROM dis GROUP BY ALL")
 def discordance_summary(spark, sf):
-    return scoring.discordance_summary(reasons(spark, sf), "reason", "variant_type")
+    return scoring.discordance_summary(scoring.discordance(concordant(spark, sf)))
 
 
 @query(f"""WITH {I.SQL_CALLS}, e AS (SELECT 's' || (call_id % 50) AS sample_id, count(*) FILTER (variant_type = 'Fusion' AND n_alt > 3) AS calls, CAST(call_id % 50 AS BIGINT) * 2 AS events FROM calls GROUP BY ALL)
@@ -584,18 +594,39 @@ def ml_metrics(spark, sf):
 
 
 def feature_rows(spark, sf):
-    c = _with_stats(I.call_rows(spark, sf))
-    return c.select("call_id", "variant_type", F.repeat("ref", F.lit(3)).alias("ref_seq"), F.col("alt").alias("alt_seq"), "vaf", F.lit(0.0).alias("vaf_ci_low"), (F.col("vaf") + 0.1).alias("vaf_ci_high"), F.col("n_ref").alias("n_molecules_ref"), F.col("n_alt").alias("n_molecules_alt"),
-        F.col("n_duplex").alias("n_duplex_alt"), (F.col("n_alt") - F.col("n_duplex")).alias("n_simplex_alt"), F.col("fwd").alias("n_simplex_fwd_alt"), F.col("rev").alias("n_simplex_rev_alt"), F.col("bias").alias("strand_bias_p"), F.col("conf").alias("confidence"))
+    c, k = _with_stats(I.call_rows(spark, sf)), F.col("call_id")
+    return c.select("call_id", "variant_type", F.repeat("ref", (k % 5 + 1).cast("int")).alias("ref_seq"), F.repeat("alt", (k % 3 + 1).cast("int")).alias("alt_seq"), "vaf", (F.col("vaf") / 2).alias("vaf_ci_low"), (F.col("vaf") * 2 + k % 10 / 100).alias("vaf_ci_high"),
+        F.col("n_ref").alias("n_molecules_ref"), F.col("n_alt").alias("n_molecules_alt"), F.col("n_duplex").alias("n_duplex_alt"), (F.col("n_alt") - F.col("n_duplex")).alias("n_simplex_alt"),
+        F.col("fwd").alias("n_simplex_fwd_alt"), F.col("rev").alias("n_simplex_rev_alt"), F.col("bias").alias("strand_bias_p"), F.col("conf").alias("confidence"),
+        (k % 11).alias("n_duplex_ref"), (k % 17).alias("n_simplex_ref"), (k % 10 / 1000).alias("mean_alt_error_prob"), (k % 3).alias("min_variant_specific_duplex"))
 
 
-@query(f"""WITH {I.SQL_CALLS}, {_BIAS}, {_FILTER} SELECT call_id, n_alt + n_ref AS f_n_total, round(coalesce(n_duplex / nullif(n_alt, 0), 0), 6) AS f_duplex_share, round(n_duplex / (n_alt - n_duplex + 1), 6) AS f_duplex_enrichment,
-  round(coalesce(least(fwd, rev) / nullif(greatest(fwd, rev), 0), 0), 6) AS f_strand_balance, round(0.0 - log10(greatest(bias, 1e-300)), 6) AS f_log_bias, CAST(conf > 0.999 AS INT) AS f_confidence_above_999, -2 AS f_len_change, 3.0 AS f_len_ratio,
-  list_position(['SNV', 'MNV', 'Insertion', 'Deletion', 'LargeDeletion', 'TandemDuplication', 'Inversion', 'Fusion'], variant_type) - 1 AS f_class, round(ln(1 + n_alt), 6) AS f_log_alt, 0.1 AS f_ci_width_over FROM lab""")
+_FEAT = f"""v AS (SELECT call_id, variant_type, vaf, vaf / 2 AS lo, vaf * 2 + call_id % 10 / 100 AS hi, CAST(n_ref AS DOUBLE) AS nref, CAST(n_alt AS DOUBLE) AS nalt, CAST(n_duplex AS DOUBLE) AS ndupalt, CAST(n_alt - n_duplex AS DOUBLE) AS nsimalt, bias AS sbp, conf,
+  CAST(call_id % 5 + 1 AS DOUBLE) AS ref_len, CAST(call_id % 3 + 1 AS DOUBLE) AS alt_len, fwd, rev, call_id % 11 AS dref, call_id % 17 AS sref, call_id % 10 / 1000 AS err, call_id % 3 AS own FROM lab)"""
+
+
+@query(f"""WITH {I.SQL_CALLS}, {_BIAS}, {_FILTER}, {_FEAT}
+  SELECT call_id, round(vaf, 6) AS vaf, nref, nalt, ndupalt, nsimalt, round(sbp, 6) AS sbp, round(conf, 6) AS conf, ref_len, alt_len, round(ndupalt / (nalt + 1e-9), 6) AS duplex_frac, CAST(ndupalt > 0 AS DOUBLE) AS has_duplex, round(hi - lo, 6) AS ci_width, nref + nalt AS alt_depth,
+    round(ln(nalt + 1), 6) AS log_nalt, round(ln(nref + 1), 6) AS log_nref, round(ln(nref + nalt + 1), 6) AS log_alt_depth, round(ln(vaf + 1e-6), 6) AS log_vaf, round(vaf * conf, 6) AS vaf_times_conf, round(vaf * nalt, 6) AS vaf_times_nalt,
+    round(nalt / (conf + 1e-9), 2) AS nalt_over_conf, round((hi - lo) / (vaf + 1e-9), 2) AS ci_width_rel, round(nalt / (nref + 1), 6) AS snr, round(conf * conf, 6) AS conf_sq, nalt * nalt AS nalt_sq, round(vaf * vaf, 6) AS vaf_sq,
+    round(ref_len / (alt_len + 1), 6) AS ref_alt_len_ratio, abs(ref_len - alt_len) AS indel_size, round(ndupalt / (vaf * (nref + nalt) + 1e-9), 6) AS duplex_enrichment, round(nsimalt / (nalt + 1e-9), 6) AS simplex_only_frac,
+    CAST(conf > 0.99 AS DOUBLE) AS conf_above_99, CAST(conf > 0.999 AS DOUBLE) AS conf_above_999, CAST(sbp > 0.05 AS DOUBLE) AS sbp_above_05, CAST(CASE variant_type WHEN 'SNV' THEN 1 WHEN 'Deletion' THEN 3 ELSE 0 END AS DOUBLE) AS variant_class_enc FROM v""")
 def ml_features_33(spark, sf):
-    out = ml.call_features(feature_rows(spark, sf)).withColumn("f_ci_width_over", F.round(F.col("f_ci_width") - F.col("f_vaf"), 6))
-    names = ("f_duplex_share", "f_duplex_enrichment", "f_strand_balance", "f_log_bias", "f_log_alt")
-    return rounded(out, *names).select("call_id", "f_n_total", *names, "f_confidence_above_999", "f_len_change", "f_len_ratio", "f_class", "f_ci_width_over")
+    out = ml.call_features(feature_rows(spark, sf), {"SNV": 1, "Deletion": 3})
+    coarse = ("nalt_over_conf", "ci_width_rel")
+    return out.select("call_id", *(F.round(c, 2 if c in coarse else 6).alias(c) for c in ml.CALL_FEATURES))
+
+
+@query(f"""WITH {I.SQL_CALLS}, {_BIAS}, {_FILTER}, {_FEAT}, y AS (SELECT *, ndupalt / (ndupalt + dref + 1e-9) AS dv, nsimalt / (nsimalt + sref + 1e-9) AS sv FROM v)
+  SELECT call_id, round(dv, 6) AS duplex_vaf, round(sv, 6) AS simplex_vaf, round(dv - sv, 6) AS duplex_simplex_vaf_delta, round(abs(vaf - dv), 6) AS vaf_duplex_agreement, round(ndupalt / (nalt + 1e-9), 6) AS duplex_enrichment,
+    round(least(fwd, rev) / (fwd + rev + 1e-9), 6) AS strand_balance, round((fwd - rev) / (fwd + rev + 1e-9), 6) AS strand_asymmetry, ndupalt + dref AS duplex_depth, round(dref / (dref + ndupalt + 1e-9), 6) AS duplex_ref_frac,
+    round(own / (ndupalt + 1e-9), 2) AS variant_specific_duplex_frac, round((1 - err) * conf, 6) AS qual_confidence_interaction, round((1 - err) * vaf, 6) AS qual_vaf_interaction, round(ln(1 + ndupalt + dref), 6) AS log_duplex_depth, round(ln(1 + nsimalt + sref), 6) AS log_simplex_depth,
+    round(ref_len / (alt_len + 1e-9), 6) AS ref_alt_len_ratio, CASE WHEN ref_len = 1 AND alt_len = 1 THEN 'SNV' WHEN greatest(ref_len, alt_len) <= 5 THEN 'short_indel' ELSE 'medium_indel' END AS variant_class,
+    CASE WHEN sbp < 0.01 THEN 'low' WHEN sbp < 0.05 THEN 'medium' ELSE 'high' END AS sbp_cat, CAST(conf >= 0.99 AS INT) AS conf_above_99, CAST(sbp >= 0.05 AS INT) AS sbp_above_05 FROM y""")
+def ml_features_script(spark, sf):
+    out = ml.script_features(feature_rows(spark, sf))
+    six = ("duplex_vaf", "simplex_vaf", "duplex_simplex_vaf_delta", "vaf_duplex_agreement", "duplex_enrichment", "strand_balance", "strand_asymmetry", "duplex_ref_frac", "qual_confidence_interaction", "qual_vaf_interaction", "log_duplex_depth", "log_simplex_depth", "ref_alt_len_ratio")
+    return out.select("call_id", *(F.round(c, 6).alias(c) for c in six), "duplex_depth", F.round("variant_specific_duplex_frac", 2).alias("variant_specific_duplex_frac"), "variant_class", "sbp_cat", "conf_above_99", "sbp_above_05")
 
 
 _WIN = "w AS (SELECT c_custkey AS id, translate(md5(CAST(c_custkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') || translate(md5(CAST(c_custkey AS VARCHAR)), '0123456789abcdef', 'AACCAACCGGTTGGTT') AS s FROM customer)"
@@ -606,23 +637,43 @@ def windows(spark, sf):
     return I.table(spark, sf, "customer", "c_custkey").select(F.col("c_custkey").alias("id"), F.concat(F.translate(F.md5(k), "0123456789abcdef", "ACGTACGTACGTACGT"), F.translate(F.md5(k), "0123456789abcdef", "AACCAACCGGTTGGTT")).alias("s"))
 
 
-@query(f"""WITH {_WIN}, v AS (SELECT id, s, substr(s, 33, 1) AS r, substr('ACGT', CAST(id % 4 + 1 AS INT), 1) AS a FROM w), t AS (SELECT *, CASE WHEN r IN ('A', 'G') THEN translate(r, 'ACGT', 'TGCA') || '>' || translate(a, 'ACGT', 'TGCA') ELSE r || '>' || a END AS sub FROM v)
-  SELECT id, sub AS subst_type, substr(s, 32, 3) AS trinuc, CAST(substr(s, 33, 2) = 'CG' AS INT) AS is_cpg, round(length(regexp_replace(s, '[^GC]', '', 'g')) / 64.0, 6) AS gc, round(length(regexp_replace(substr(s, 23, 21), '[^GC]', '', 'g')) / 21.0, 6) AS gc_near,
-    CAST((r IN ('A', 'G')) = (a IN ('A', 'G')) AS INT) AS is_transition FROM t""")
+_DUST = "SELECT id, round(sum(c * (c - 1) / 2) / (any_value(n) - 2), 6) AS dust FROM (SELECT id, n, tri, count(*) AS c FROM (SELECT id, length(x) AS n, substr(x, i, 3) AS tri FROM (SELECT *, unnest(range(1, length(x) - 1)) AS i FROM {})) GROUP BY ALL) GROUP BY id"
+_RUNS = "regexp_extract_all(s, 'A+|C+|G+|T+')"
+#: Share of bases that some homopolymer of 3 or dinucleotide repeat of 6 bases covers.
+_REPEATS = """round(len(list_filter(range(1, length(s) + 1), lambda i: len(list_filter(range(greatest(i - 2, 1), i + 1), lambda j: length(substr(s, j, 3)) = 3 AND substr(s, j, 3) = repeat(substr(s, j, 1), 3))) > 0
+  OR len(list_filter(range(greatest(i - 5, 1), i + 1), lambda j: length(substr(s, j, 6)) = 6 AND substr(s, j, 6) = repeat(substr(s, j, 2), 3))) > 0)) / length(s), 6)"""
+
+
+@query(f"""WITH {_WIN}, v AS (SELECT id, s, CASE id % 5 WHEN 0 THEN substr(s, 1, id % 64) || substr(s, id % 64 + 2) WHEN 1 THEN substr(s, 1, id % 64) || 'AC' || substr(s, id % 64 + 1)
+    ELSE substr(s, 1, id % 64) || substr('ACGT', CAST(id % 4 + 1 AS INT), 1) || substr(s, id % 64 + 2) END AS a FROM w),
+  p AS (SELECT *, length(s) AS n, length(a) AS m, len(list_filter(range(1, 65), lambda i: i <= length(a) AND substr(s, 1, i) = substr(a, 1, i))) AS pre, len(list_filter(range(1, 65), lambda i: i <= length(a) AND right(s, i) = right(a, i))) AS tail FROM v),
+  q AS (SELECT *, n = m AND pre + tail = n - 1 AS snv, substr(s, pre + 1, 1) || '>' || substr(a, pre + 1, 1) AS change, greatest(n - least(tail, least(n, m) - pre), pre) AS stop, substr(s, greatest(pre - 31, 1), 64) AS x FROM p),
+  d AS ({_DUST.format("q")})
+  SELECT id, CASE WHEN snv THEN list_position(['C>A', 'C>G', 'C>T', 'T>A', 'T>C', 'T>G', 'G>T', 'G>C', 'G>A', 'A>T', 'A>G', 'A>C'], change) - 1 ELSE 12 END AS subst_type,
+    CASE WHEN snv AND pre BETWEEN 1 AND 62 THEN (strpos('ACGT', substr(s, pre, 1)) - 1) * 16 + (strpos('ACGT', substr(s, pre + 1, 1)) - 1) * 4 + strpos('ACGT', substr(s, pre + 2, 1)) - 1 ELSE 64 END AS trinuc_context,
+    CASE WHEN snv AND (change = 'C>T' AND substr(s, pre + 2, 1) = 'G' OR change = 'G>A' AND pre > 0 AND substr(s, pre, 1) = 'C') THEN 1 ELSE 0 END AS is_cpg, round(length(regexp_replace(s, '[^GC]', '', 'g')) / 64.0, 6) AS gc_content_ref,
+    greatest(length(regexp_extract(substr(s, 1, pre), '(A+|C+|G+|T+)$')), length(regexp_extract(substr(s, stop + 1), '^(A+|C+|G+|T+)'))) AS homopolymer_run,
+    CAST(id % 7 AS DOUBLE) AS n_simplex_fwd_alt, CAST(id % 5 AS DOUBLE) AS n_simplex_rev_alt, CAST(id % 11 AS DOUBLE) AS n_duplex_ref, 0.0 AS n_simplex_ref, id % 10 / 1000 AS mean_alt_error_prob, CAST(id % 3 AS DOUBLE) AS min_variant_specific_duplex, id % 9 / 2 AS mean_variant_specific_molecules,
+    round((id % 7 - id % 5) / (id % 7 + id % 5 + 1e-9), 6) AS strand_asymmetry_alt, round(id % 4 / (id % 4 + id % 11 + 1e-9), 6) AS duplex_vaf, round(id % 6 / (id % 6 + 1e-9), 6) AS simplex_vaf,
+    round(id % 4 / (id % 4 + id % 11 + 1e-9) - id % 6 / (id % 6 + 1e-9), 6) AS duplex_simplex_vaf_delta, dust AS dust_score, {_REPEATS} AS repeat_fraction FROM q JOIN d USING (id)""")
 def ml_features_16(spark, sf):
-    rows = windows(spark, sf).select("id", F.col("s").alias("window"), F.substring("s", 33, 1).alias("ref"), F.substring(F.lit("ACGT"), (F.col("id") % 4 + 1).cast("int"), F.lit(1)).alias("alt"), F.lit(32).alias("at"))
-    return ml.context_features(rows).select("id", "subst_type", "trinuc", "is_cpg", "gc", "gc_near", "is_transition")
-
-
-@query(f"""WITH {_WIN}, t AS (SELECT id, substr(s, i, 3) AS tri, count(*) AS c FROM (SELECT *, unnest(range(1, 63)) AS i FROM w) GROUP BY ALL) SELECT id, round(sum(c * (c - 1) / 2) / 61, 6) AS dust FROM t GROUP BY id""")
+    k, s, at = F.col("id"), F.col("s"), (F.col("id") % 64).cast("int")
+    head, rest = F.substring(s, F.lit(1), at), lambda n: F.substring(s, at + n, F.lit(64))
+    alt = F.when(k % 5 == 0, F.concat(head, rest(2))).when(k % 5 == 1, F.concat(head, F.lit("AC"), rest(1))).otherwise(F.concat(head, F.substring(F.lit("ACGT"), (k % 4 + 1).cast("int"), F.lit(1)), rest(2)))
+    rows = windows(spark, sf).select(
+        "id", s.alias("ref_seq"), alt.alias("alt_seq"), (k % 7).alias("n_simplex_fwd_alt"), (k % 5).alias("n_simplex_rev_alt"), (k % 11).alias("n_duplex_ref"), (k % 10 / 1000).alias("mean_alt_error_prob"),
+        (k % 3).alias("min_variant_specific_duplex"), (k % 9 / 2).alias("mean_variant_specific_molecules"), (k % 4).alias("n_duplex_alt"), (k % 6).alias("n_simplex_alt"),
+    )
+    names = (*ml.CONTEXT_FEATURES, *ml.LOCUS_FEATURES)
+    return rounded(ml.context_features(rows).select("id", *names), "gc_content_ref", *names[12:])
+
+
+@query(f"WITH {_WIN}, y AS (SELECT id, s AS x FROM w) {_DUST.format('y')}")
 def dust_score(spark, sf):
     return windows(spark, sf).select("id", F.round(S.dust_score(F.col("s")), 6).alias("dust"))
 
 
-_RUNS = "regexp_extract_all(s, 'A+|C+|G+|T+')"
-
-
-@query(f"""WITH {_WIN} SELECT id, round(coalesce(list_sum(list_transform(list_filter({_RUNS}, lambda x: length(x) >= 3), lambda x: length(x))), 0) / 64.0, 6) AS repeat_fraction, CAST(list_max(list_transform({_RUNS}, lambda x: length(x))) AS INT) AS longest FROM w""")
+@query(f"""WITH {_WIN} SELECT id, {_REPEATS} AS repeat_fraction, CAST(list_max(list_transform({_RUNS}, lambda x: length(x))) AS INT) AS longest FROM w""")
 def repeat_fraction(spark, sf):
     return windows(spark, sf).select("id", F.round(S.repeat_fraction(F.col("s")), 6).alias("repeat_fraction"), S.longest_homopolymer(F.col("s")).alias("longest"))
 
@@ -683,8 +734,8 @@ def vcf_records(spark, sf):
 
 @query(f"""WITH {I.SQL_CALLS}, f AS (SELECT 'e' || call_id AS event, chrom AS ca, pos AS pa, ref AS ba, fwd % 2 = 1 AS ta, 'chr' || (call_id % 5) AS cb, call_id * 3 % 9000 AS pb, alt AS bb, rev % 2 = 1 AS tb FROM calls WHERE variant_type = 'Fusion'),
   x AS (SELECT *, cb || ':' || pb AS qa, ca || ':' || pa AS qb FROM f)
-  SELECT ca AS chrom, pa AS pos, event || '_a' AS id, ba AS ref, CASE WHEN NOT ta AND NOT tb THEN ba || '[' || qa || '[' WHEN NOT ta THEN ba || ']' || qa || ']' WHEN tb THEN ']' || qa || ']' || ba ELSE '[' || qa || '[' || ba END AS alt FROM x
-  UNION ALL SELECT cb, pb, event || '_b', bb, CASE WHEN tb AND ta THEN bb || '[' || qb || '[' WHEN tb THEN bb || ']' || qb || ']' WHEN NOT ta THEN ']' || qb || ']' || bb ELSE '[' || qb || '[' || bb END FROM x""")
+  SELECT ca AS chrom, pa AS pos, event || '_a' AS id, ba AS ref, CASE WHEN NOT ta AND NOT tb THEN ba || '[' || qa || '[' WHEN NOT ta THEN ba || ']' || qa || ']' WHEN NOT tb THEN ']' || qa || ']' || ba ELSE '[' || qa || '[' || ba END AS alt FROM x
+  UNION ALL SELECT cb, pb, event || '_b', bb, CASE WHEN NOT ta AND NOT tb THEN ']' || qb || ']' || bb WHEN NOT ta THEN bb || ']' || qb || ']' WHEN NOT tb THEN bb || '[' || qb || '[' ELSE '[' || qb || '[' || bb END FROM x""")
 def bnd_pairs(spark, sf):
     f = I.call_rows(spark, sf).where("variant_type = 'Fusion'").select(F.concat(F.lit("e"), F.col("call_id").cast("string")).alias("event"), F.col("chrom").alias("chrom_a"), F.col("pos").alias("pos_a"), F.col("ref").alias("base_a"), (F.col("fwd") % 2 == 1).alias("turned_a"),
         F.concat(F.lit("chr"), (F.col("call_id") % 5).cast("string")).alias("chrom_b"), (F.col("call_id") * 3 % 9000).alias("pos_b"), F.col("alt").alias("base_b"), (F.col("rev") % 2 == 1).alias("turned_b"))

@@ -41,15 +41,24 @@ class PairedFastq(DataSource):
         return _PairReader(self.options)
 
 
+#: Bits of ``read_ord`` for the place in a pair of files; above them is the number of the pair within its sample.
+LANE_BITS = 40
+
+
 class _PairReader(DataSourceReader):
     def __init__(self, options):
         self.pairs = [tuple(p.split(",")) for p in options["pairs"].split(";") if p]
 
     def partitions(self):
-        return [InputPartition(p) for p in self.pairs]
+        lanes: dict[str, int] = {}
+        out = []
+        for sample, *paths in self.pairs:
+            lane = lanes[sample] = lanes.get(sample, -1) + 1
+            out.append(InputPartition((sample, lane, *paths)))
+        return out
 
     def read(self, partition):
-        sample, *paths = partition.value
+        sample, lane, *paths = partition.value
         opened = []
         for p in paths:
             raw = open(p, "rb")  # noqa: SIM115
@@ -57,7 +66,7 @@ class _PairReader(DataSourceReader):
             opened.append(io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if zipped else raw, "ascii"))
         sides = [_records(f) for f in opened]
         for n, (a, b) in enumerate(zip(*sides, strict=True)):  # differing numbers of reads raise
-            yield (sample, n, *a, *b)
+            yield (sample, lane << LANE_BITS | n, *a, *b)
 
 
 def read_fastq_pairs(spark: SparkSession, pairs: list[tuple[str, str, str]]) -> DataFrame:

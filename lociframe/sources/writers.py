@@ -89,22 +89,24 @@ def vcf_records(calls: DataFrame) -> DataFrame:
     )
 
 
-def breakend_pair(fusions: DataFrame) -> DataFrame:
+#: How both ends of a fusion are written, by which of the partners is reversed (F or R); t is the base, p the mate's place.
+BREAKENDS = {"FF": ("t[p[", "]p]t"), "FR": ("t]p]", "t]p]"), "RF": ("]p]t", "t[p["), "RR": ("[p[t", "[p[t")}
+
+
+def breakend_pair(fusions: DataFrame, standard: bool = False) -> DataFrame:
     """Two mated records per fusion (event, chrom_a, pos_a, base_a, turned_a, and so for b).
 
-    An end whose sequence is kept up to the break reads ``t[p[`` or, with the
-    other side turned over, ``t]p]``; one kept from the break on ``]p]t`` or ``[p[t``.
+    ``BREAKENDS`` says how. The VCF standard's own reading of a reversed first
+    partner has RF and RR the other way round: ``standard`` writes that.
     """
-    place = lambda s: F.concat(F.col(f"chrom_{s}"), F.lit(":"), F.col(f"pos_{s}").cast("string"))
+    which = lambda s: F.when(F.col(f"turned_{s}"), "R").otherwise("F")
+    turn = F.concat(which("a"), which("b"))
+    forms = {k: BREAKENDS[{"RF": "RR", "RR": "RF"}.get(k, k) if standard else k] for k in BREAKENDS}
 
     def alt(me: str, other: str) -> Column:
-        b, p = F.col(f"base_{me}"), place(other)
-        wrap = lambda c: F.concat(F.lit(c), p, F.lit(c))
-        mine, its = F.col(f"turned_{me}"), F.col(f"turned_{other}")
-        first = me == "a"
-        keep = (~mine) if first else mine
-        opened = F.when(mine == its, "same").otherwise("turned")
-        return F.when(keep & (opened == "same"), F.concat(b, wrap("["))).when(keep, F.concat(b, wrap("]"))).when(opened == "same", F.concat(wrap("]"), b)).otherwise(F.concat(wrap("["), b))
+        place = F.concat(F.col(f"chrom_{other}"), F.lit(":"), F.col(f"pos_{other}").cast("string"))
+        form = F.create_map(*(F.lit(x) for k, v in forms.items() for x in (k, v[me == "b"])))[turn]
+        return F.replace(F.replace(form, F.lit("t"), F.col(f"base_{me}")), F.lit("p"), place)
 
     def end(me: str, other: str) -> Column:
         return F.struct(

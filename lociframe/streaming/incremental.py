@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import kmers
 
-FAMILY = "umi_a string, umi_b string, fwd_reads long, rev_reads long, first_ord long"
+FAMILY = "sample_id string, umi_a string, umi_b string, fwd_reads long, rev_reads long, first_ord long"
 
 
 class IncrementalIndex:
@@ -40,9 +40,9 @@ class IncrementalIndex:
 
 
 def stream_families(stream: DataFrame, bucket_bases: int = 3) -> DataFrame:
-    """Running strand counts of UMI families (umi_a, umi_b, strand, read_ord), as updates.
+    """Running strand counts of UMI families (umi_a, umi_b, strand, read_ord, and sample_id, else null), as updates.
 
-    State is kept per bucket of UMIs, whose number and size the UMI length bounds.
+    State is kept per sample and bucket of UMIs, whose number and size the UMI length bounds.
     """
 
     def update(key, batches: Iterator, state):
@@ -57,9 +57,10 @@ def stream_families(stream: DataFrame, bucket_bases: int = 3) -> DataFrame:
                 changed.add((a, b))
         rows = [(*k, *v) for k, v in known.items()]
         state.update(tuple(map(list, zip(*rows))))
-        out = [(*k, *known[k]) for k in sorted(changed)]
-        yield pd.DataFrame(out, columns=["umi_a", "umi_b", "fwd_reads", "rev_reads", "first_ord"])
+        out = [(key[0], *k, *known[k]) for k in sorted(changed)]
+        yield pd.DataFrame(out, columns=["sample_id", "umi_a", "umi_b", "fwd_reads", "rev_reads", "first_ord"])
 
     lists = "umi_a array<string>, umi_b array<string>, fwd array<long>, rev array<long>, ord array<long>"
-    keyed = stream.select("umi_a", "umi_b", "strand", "read_ord", F.substring("umi_a", 1, bucket_bases).alias("bucket"))
-    return keyed.groupBy("bucket").applyInPandasWithState(update, FAMILY, lists, "update", "NoTimeout")
+    sample = F.col("sample_id") if "sample_id" in stream.columns else F.lit(None).cast("string").alias("sample_id")
+    keyed = stream.select(sample, "umi_a", "umi_b", "strand", "read_ord", F.substring("umi_a", 1, bucket_bases).alias("bucket"))
+    return keyed.groupBy("sample_id", "bucket").applyInPandasWithState(update, FAMILY, lists, "update", "NoTimeout")

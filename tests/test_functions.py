@@ -149,6 +149,21 @@ def test_filters(spark, given, config, want):
     assert value(spark, alleles.call_filter(*map(F.lit, given), alleles.CallConfig().merged(**config))) == want
 
 
+def test_one_molecule_with_a_duplex_passes_two_do_not(spark):
+    config = alleles.CallConfig(min_alt_molecules=3)
+    label = lambda n: value(spark, alleles.call_filter(*map(F.lit, (1.0, 1.0, n, 1, 0.01, "SNV")), config))
+    assert [label(n) for n in (0, 1, 2, 3)] == ["LowConfidence", "Pass", "LowConfidence", "Pass"]
+    say = lambda kind: value(spark, alleles.why_filtered(*map(F.lit, ("LowConfidence", 0.9, 1.0, 5, 1, 0.01, kind))))
+    assert "0.95; see sv_min_confidence" in say("Fusion") and "0.99; see min_confidence" in say("SNV")
+
+
+def test_difficulty(spark):
+    share = lambda x: value(spark, S.repeat_fraction(F.lit(x)))
+    assert share("ACGACGAC" + "ATATAT" + "GCGATC") == 0.3 and share("AAAAACGTCAGTCAGTCAGC") == 0.25 and share("ATATATTTGC") == 0.8 and share("ATAT") == 0 and share("") == 0
+    dust = lambda x: value(spark, S.dust_score(F.lit(x)))
+    assert dust("A" * 64) == 62 * 61 / 2 / 62 and dust("ACGT") == 0 and dust("AC") == 0 and dust("AAAA") == 0.5
+
+
 def test_windows(spark):
     err = F.array(*(F.lit(x) for x in (0.1, 0.2, 0.3)))
     assert value(spark, S.window_error(err, F.lit(0), 2)) == pytest.approx(0.15) and value(spark, S.window_error(err, F.lit(2), 2)) == pytest.approx(0.15)

@@ -77,6 +77,25 @@ def test_anchors(spark, n, threshold, start, end):
     assert (got["t"].start_unique, got["t"].end_unique) == (start, end) and (got["t"].warning is None) == (start and end) and got["short"].start_count is None
 
 
+def test_samples_are_kept_apart(spark):
+    """Two samples in one job give what two jobs of one sample give."""
+    ref, alt = "ACGGTACCATGA", "ACGGTATCATGA"
+    targets = spark.createDataFrame([("t", ref, alt), ("short", "AC", alt), ("u", alt, ref)], "target_id string, ref_seq string, alt_seq string")
+    rows = [(1, alt, "Duplex"), (2, alt, "Duplex"), (3, ref, "SimplexFwd"), (4, ref[:8], "Duplex")]
+    one = {s: spark.createDataFrame([(s, *r) for r in part], "sample_id string, molecule_id long, seq string, family_type string") for s, part in (("a", rows), ("b", rows[:3]), ("c", rows[2:]))}
+    index = {s: kmers.evidence(kmers.read_kmers(df, 5)) for s, df in one.items()}
+    both = index["a"].union(index["b"]).union(index["c"])
+    found = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    probes = calls.rescue_probe(targets, both, 5)
+    assert found(probes) == sorted((r for i in index.values() for r in found(calls.rescue_probe(targets, i, 5))), key=repr) and probes.where("target_id = 'short'").isEmpty()
+    made = spark.createDataFrame([("a", "t", "Pass"), ("b", "t", "LowConfidence")], "sample_id string, target_id string, filter string").withColumn("call_source", F.lit("CALLED"))
+    got = {(r.sample_id, r.target_id): r.call_source for r in calls.rescued(made, probes).where("filter is null").collect()}
+    assert got == {("b", "t"): "SUBTHRESHOLD", ("c", "t"): "NO_EVIDENCE", ("a", "u"): "RESCUED", ("b", "u"): "RESCUED", ("c", "u"): "RESCUED"}
+    panel = targets.select("target_id", F.col("ref_seq").alias("seq"))
+    cols = ("sample_id", "target_id", "start_count", "end_count")
+    assert found(kmers.validate_anchors(panel, both, 5).select(*cols)) == sorted((r for i in index.values() for r in found(kmers.validate_anchors(panel, i, 5).select(*cols))), key=repr)
+
+
 def brute_paths(start, end, nodes, most):
     out, stack = [], [[start]]
     while stack:
@@ -159,6 +178,8 @@ def test_sources(spark, tmp_path):
     b.write_text("@1\nCCC\n+\nIII\n@2\nGG\n+\nII\n")
     got = [tuple(r) for r in files.read_fastq_pairs(spark, [("s", str(a), str(b))]).orderBy("read_ord").collect()]
     assert got == [("s", 0, "ACG", "III", "CCC", "III"), ("s", 1, "TT", "II", "GG", "II")]
+    lanes = files.read_fastq_pairs(spark, [("s", str(a), str(b)), ("t", str(a), str(b)), ("s", str(a), str(b))]).select("sample_id", "read_ord").collect()
+    assert len(set(lanes)) == 6 and sorted(r.read_ord for r in lanes if r.sample_id == "t") == [0, 1]
     b.write_text("@1\nCCC\n+\nIII\n")
     with pytest.raises(Exception, match="zip"):
         files.read_fastq_pairs(spark, [("s", str(a), str(b))]).collect()
@@ -196,13 +217,13 @@ def test_whole_run(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    parsed = reads.passed(reads.parse_reads(inputs.reads(spark, SF))).select("umi_a", "umi_b", "strand", "read_ord")
+    parsed = reads.passed(reads.parse_reads(inputs.reads(spark, SF))).select("sample_id", "umi_a", "umi_b", "strand", "read_ord")
     parsed.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(parsed.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = incremental.stream_families(stream).writeStream.outputMode("update").format("memory").queryName("fams").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
-    got = spark.table("fams").groupBy("umi_a", "umi_b").agg(F.max("fwd_reads").alias("f"), F.max("rev_reads").alias("r"))
-    want = parsed.groupBy("umi_a", "umi_b").agg(F.count_if(F.col("strand") == "Forward").alias("f"), F.count_if(F.col("strand") == "Reverse").alias("r"))
+    got = spark.table("fams").groupBy("sample_id", "umi_a", "umi_b").agg(F.max("fwd_reads").alias("f"), F.max("rev_reads").alias("r"))
+    want = parsed.groupBy("sample_id", "umi_a", "umi_b").agg(F.count_if(F.col("strand") == "Forward").alias("f"), F.count_if(F.col("strand") == "Reverse").alias("r"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
