@@ -103,10 +103,12 @@ def classify(ref: Column, alt: Column, target_id: Column | None = None) -> Colum
             .when(change <= -SV_LENGTH, "LargeDeletion").when(change < 0, "Deletion").when(change < SV_LENGTH, "Insertion").otherwise("Longer")
         )
 
-    plain = let(let(given, middle), kind)
-    stretch = let(let(given, middle), lambda x: x.ma)
-    copied = mostly_copied(F.when(F.length(alt) - F.length(ref) >= SV_LENGTH, stretch), F.upper(ref))
-    out = F.when(plain != "Longer", plain).when(copied, "TandemDuplication").otherwise("NovelInsertion")
+    def named(y: Column) -> Column:
+        copied = mostly_copied(F.when(y.plain == "Longer", y.stretch), y.r)
+        return F.when(y.plain != "Longer", y.plain).when(copied, "TandemDuplication").otherwise("NovelInsertion")
+
+    seen = let(let(given, middle), lambda x: F.struct(kind(x).alias("plain"), x.ma.alias("stretch"), x.r.alias("r")))
+    out = let(seen, named)
     return out if target_id is None else F.when(target_id.contains("__fusion"), "Fusion").otherwise(out)
 
 

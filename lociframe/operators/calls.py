@@ -22,10 +22,11 @@ def pair_with_reference(scored: DataFrame, keys: list[str] | None = None) -> Dat
 
 def figures(pairs: DataFrame, kind: Column) -> DataFrame:
     """Molecule counts of both sides: least along the path, or for structural classes the rounded own and mean figures."""
-    sv = kind.isin(*STRUCTURAL)
+    pairs = pairs.withColumn("variant_type", kind)
+    sv = F.col("variant_type").isin(*STRUCTURAL)
     alt = F.when(sv, F.round("mean_variant_specific_molecules").cast("bigint")).otherwise(F.col("min_molecules"))
     ref = F.when(sv, F.round("ref_mean_molecules").cast("bigint")).otherwise(F.col("ref_min_molecules"))
-    out = pairs.withColumn("variant_type", kind).withColumn("n_molecules_alt", alt).withColumn("n_molecules_ref", ref)
+    out = pairs.withColumn("n_molecules_alt", alt).withColumn("n_molecules_ref", ref)
     out = out.withColumn("n_duplex_alt", F.col("min_variant_specific_duplex"))
     return out.withColumn("n_simplex_alt", F.greatest(F.lit(0), F.col("n_molecules_alt") - F.col("n_duplex_alt")))
 
@@ -169,10 +170,22 @@ def rescued(calls: DataFrame, probes: DataFrame) -> DataFrame:
     return calls.unionByName(rows.drop("mean_ref_molecules"), allowMissingColumns=True)
 
 
+def windows_of(targets: DataFrame, listed: DataFrame, width: int = 1000) -> DataFrame:
+    """Targets (target_id, seq, chrom, start) with the listed variants (pos, ref, alt) that begin in them.
+
+    Targets are dealt to every bin of ``width`` they touch, a variant looks at its own.
+    """
+    last = F.col("start") + F.length("seq") - 1
+    bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.greatest(last, F.col("start")) / width)))
+    t = targets.select("target_id", "seq", "chrom", "start", last.alias("__last"), bins.alias("__bin"))
+    v = listed.select("chrom", "pos", "ref", "alt").withColumn("__bin", F.floor(F.col("pos") / width))
+    return t.join(v, ["chrom", "__bin"]).where(F.col("pos").between(F.col("start"), F.col("__last"))).drop("__bin", "__last")
+
+
 def alternatives_of(entries: DataFrame) -> DataFrame:
     """(target_id, ref_seq, alt_seq) of targets and listed variants: the first target whose window holds a variant.
 
-    ``entries`` joins targets (target_id, seq, chrom, start) and variants (pos, ref, alt) by chromosome.
+    ``entries`` has targets (target_id, seq, chrom, start) with the variants (pos, ref, alt) in them.
     """
     alt = S.build_alt(F.col("seq"), F.col("start"), F.col("pos"), F.col("ref"), F.col("alt"))
     rows = entries.withColumn("alt_seq", alt).where("alt_seq is not null")

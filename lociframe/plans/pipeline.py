@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import calls, graph, kmers, reads
+from ..sources.shared import written
 from .config import RunConfig
 
 
@@ -28,13 +29,13 @@ class Run:
     calls: DataFrame
 
 
-def assemble(read_pairs: DataFrame, config: RunConfig = RunConfig()) -> tuple[DataFrame, DataFrame]:
-    """Parsed reads, and molecules with their consensus."""
+def assemble(read_pairs: DataFrame, config: RunConfig = RunConfig(), keep: Callable[[DataFrame], DataFrame] = written) -> tuple[DataFrame, DataFrame]:
+    """Parsed reads, and molecules with their consensus; ``keep`` holds on to reads that several steps take."""
     parsed = reads.parse_reads(read_pairs, config.layout, config.min_umi_quality, config.min_template_length)
-    good = reads.passed(parsed)
+    good = keep(reads.passed(parsed))
     seeds = reads.cluster_umis(reads.umi_counts(good), config.max_hamming_distance)
     rows = good.join(seeds.select("sample_id", "umi_a", "umi_b", "seed_a", "seed_b"), ["sample_id", "umi_a", "umi_b"])
-    return parsed, reads.molecules(reads.split_families(rows), config.min_family_size)
+    return parsed, reads.molecules(keep(reads.split_families(keep(rows))), config.min_family_size)
 
 
 def index(molecules: DataFrame, targets: DataFrame, config: RunConfig = RunConfig(), *extra: DataFrame, two_pass: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -45,11 +46,11 @@ def index(molecules: DataFrame, targets: DataFrame, config: RunConfig = RunConfi
     return rows, kmers.evidence(rows)
 
 
-def find_paths(targets: DataFrame, occurrences: DataFrame, evidence: DataFrame, config: RunConfig = RunConfig(), junctions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def find_paths(targets: DataFrame, occurrences: DataFrame, evidence: DataFrame, config: RunConfig = RunConfig(), junctions: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = written) -> tuple[DataFrame, DataFrame]:
     """Paths per sample and target, and their evidence, best first."""
-    nodes = graph.target_nodes(targets, occurrences, config.kmer_size, config.graph_min_molecules)
+    nodes = keep(graph.target_nodes(targets, occurrences, config.kmer_size, config.graph_min_molecules))
     extra = graph.JUNCTION_EXTRA if junctions is not None else 0
-    paths = graph.walk_paths(targets, nodes, config.kmer_size, config.max_paths, extra=extra)
+    paths = keep(graph.walk_paths(targets, nodes, config.kmer_size, config.max_paths, extra=extra))
     if junctions is not None:
         samples = occurrences.select("sample_id").distinct()
         made = graph.tandem_duplications(targets, junctions).join(F.broadcast(samples)).select("sample_id", "target_id", "path_seq")
@@ -58,25 +59,25 @@ def find_paths(targets: DataFrame, occurrences: DataFrame, evidence: DataFrame,
     return paths, graph.rank_paths(graph.path_evidence(paths, evidence, config.kmer_size))
 
 
-def run(read_pairs: DataFrame, targets: DataFrame, config: RunConfig = RunConfig(), listed: DataFrame | None = None, junctions: DataFrame | None = None, alternatives: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> Run:
+def run(read_pairs: DataFrame, targets: DataFrame, config: RunConfig = RunConfig(), listed: DataFrame | None = None, junctions: DataFrame | None = None, alternatives: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = written) -> Run:
     """All stages; ``listed`` variants switch to tumour-informed calls, with rescue if the configuration asks for it.
 
     Each stage's result is read several times by the next, so ``keep`` holds on
-    to it: cached by default (memory, then disk); on a large cluster pass a
-    function that writes a table and reads it.
+    to it: by default it is written to the shared folder and read back, which
+    keeps plans short and survives lost executors.
     """
-    parsed, molecules = assemble(read_pairs, config)
+    parsed, molecules = assemble(read_pairs, config, keep)
     molecules = keep(molecules)
     extra = [x.select(F.col(c).alias("seq")) for x, c in ((junctions, "seq"), (alternatives, "alt_seq")) if x is not None]
     occurrences, evidence = index(molecules, targets, config, *extra)
     occurrences = keep(occurrences)
     evidence = keep(kmers.evidence(occurrences))
-    paths, scored = find_paths(targets, occurrences, evidence, config, junctions)
+    paths, scored = find_paths(targets, occurrences, evidence, config, junctions, keep)
     scored = keep(scored)
-    found = calls.call_variants(scored, config.call)
+    found = keep(calls.call_variants(scored, config.call))
     if listed is not None:
         found = calls.targeted(found, listed, config.ti_position_tolerance, alternatives)
         if config.ti_rescue:
-            region = targets.select("target_id", "seq", "chrom", "start").join(listed.select("chrom", "pos", "ref", "alt"), "chrom")
-            found = calls.rescued(found, calls.rescue_probe(calls.alternatives_of(region), evidence, config.kmer_size))
+            probes = calls.rescue_probe(calls.alternatives_of(calls.windows_of(targets, listed)), evidence, config.kmer_size)
+            found = calls.rescued(keep(found), probes)
     return Run(parsed, molecules, evidence, paths, scored, found)

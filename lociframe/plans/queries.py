@@ -747,15 +747,15 @@ def bnd_pairs(spark, sf):
 
 @query(f"WITH {I.SQL_DOCUMENTS}, {I.SQL_INDEX} SELECT kmer, n_molecules, n_duplex, n_simplex_fwd, n_simplex_rev FROM idx")
 def stream_index(spark, sf):
-    import os
-    import uuid
-
+    from ..sources.shared import new_path
     from ..streaming.incremental import IncrementalIndex
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = os.path.join(base, f"lociframe-stream-{uuid.uuid4().hex}")
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    source = spark.readStream.schema(schema).parquet(sf, pathGlobFilter="documents.parquet") if not os.path.isdir(f"{sf}/documents.parquet") else spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet")
+    path, table = new_path(spark, "stream"), f"{sf}/documents.parquet"
+    schema = spark.read.parquet(table).schema
+    # A table of one file is named by its folder and a pattern, one of many by itself.
+    one = spark._jvm.org.apache.hadoop.fs.Path(table)
+    one = one.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(one).isFile()
+    source = spark.readStream.schema(schema).parquet(sf, pathGlobFilter="documents.parquet") if one else spark.readStream.schema(schema).parquet(table)
     rows = source.select(F.col("doc_id").alias("molecule_id"), I.letters(F.col("text")).alias("seq"), I.family(F.col("doc_id")).alias("family_type"))
     index = IncrementalIndex(spark, f"{path}/index", keys=NO_SAMPLE)
     index.start(rows, f"{path}/checkpoint").awaitTermination()

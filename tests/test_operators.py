@@ -211,9 +211,21 @@ def test_config(tmp_path):
 def test_whole_run(spark, tmp_path):
     spark.range(240).selectExpr("id as event_id", "id div 4 as user_id").coalesce(2).write.parquet(str(tmp_path / "events.parquet"))
     rows, targets = inputs.mutated_reads(spark, str(tmp_path))
-    run = pipeline.run(rows, targets, config.RunConfig(ti_rescue=True))
-    got = run.calls.collect()
+    got = pipeline.run(rows, targets, config.RunConfig(ti_rescue=True)).calls.collect()
     assert got and {r.variant_type for r in got} == {"SNV"} and all(r.n_molecules_alt >= 2 for r in got if r["filter"] == "Pass")
+    hit = next(r for r in got if r["filter"] == "Pass")
+    start = int(hit.target_id.split(":")[1].split("-")[0])
+    seqs = {r.start: r.seq for r in targets.collect()}
+    other = next(s for s in seqs if s != start)
+    swap = lambda s, at: (s[at], "ACGT"["CGTA".index(s[at])])
+    listed = spark.createDataFrame([("chr1", start + 60, hit.ref_seq[60], hit.alt_seq[60]), ("chr1", other + 20, *swap(seqs[other], 20))], "chrom string, pos long, ref string, alt string")
+    out = pipeline.run(rows, targets, config.RunConfig(ti_rescue=True), listed).calls
+    found = out.collect()
+    assert [r.target_id for r in found if r["filter"] == "Pass"] == [hit.target_id] and {r.call_source for r in found if r["filter"] is None} <= {"SUBTHRESHOLD", "NO_EVIDENCE"}
+    assert sum(r["filter"] is None for r in found) == 1
+    records = writers.vcf_records(calls.with_alleles(out.where("filter is not null")))
+    writers.write_vcf(records, str(tmp_path / "out.vcf"))
+    assert files.read_vcf(spark, str(tmp_path / "out.vcf")).where("pos > 1").count() == sum(r["filter"] is not None for r in found)
 
 
 def test_streams(spark, tmp_path):
