@@ -28,9 +28,11 @@ def target_nodes(targets: DataFrame, occurrences: DataFrame, k: int = 31, least:
     """
     wanted = S.explode_kmers(targets.select("target_id", "seq"), "seq", k).select("target_id", "kmer").distinct()
     touched = occurrences.join(wanted, "kmer").select("sample_id", "molecule_id", "target_id").distinct()
-    counted = occurrences.groupBy("sample_id", "kmer").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    near = occurrences.select("sample_id", "molecule_id", "kmer").distinct().join(touched, ["sample_id", "molecule_id"])
-    near = near.select("sample_id", "target_id", "kmer").distinct().join(counted, ["sample_id", "kmer"])
+    near = occurrences.join(touched, ["sample_id", "molecule_id"]).select("sample_id", "target_id", "kmer").distinct()
+    # Only k-mers that some target sees are counted, so all others meet no shuffle.
+    counted = occurrences.join(near.select("sample_id", "kmer").distinct(), ["sample_id", "kmer"], "left_semi")
+    counted = counted.groupBy("sample_id", "kmer").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    near = near.join(counted, ["sample_id", "kmer"])
     both = F.explode(F.array_distinct(F.array("kmer", S.reverse_complement(F.col("kmer")))))
     return near.select("sample_id", "target_id", both.alias("kmer"), "n")
 

@@ -11,6 +11,7 @@ from ..functions import alleles, stats
 from ..functions import sequence as S
 from ..operators import calls, explore, graph, kmers, ml, reads, scoring
 from ..sources import writers
+from ..sources.shared import new_path, written
 from . import inputs as I
 from . import pipeline
 
@@ -41,6 +42,11 @@ def doc_index(spark, sf):
     return kmers.evidence(doc_kmers(spark, sf), NO_SAMPLE)
 
 
+def listed_index(spark, sf, *sequences: DataFrame):
+    """The index of the k-mers of given sequences only: others are not looked up, so they meet no shuffle."""
+    return kmers.evidence(kmers.on_list(doc_kmers(spark, sf), kmers.allowlist(*sequences)), NO_SAMPLE)
+
+
 # --- k-mers
 
 
@@ -104,7 +110,8 @@ seen AS MATERIALIZED (SELECT kmer, count(*) AS n FROM doc_kmers WHERE kmer IN (S
     CASE WHEN s IS NOT NULL THEN coalesce(i.n, 0) < 5 END AS start_unique, CASE WHEN s IS NOT NULL THEN coalesce(j.n, 0) < 5 END AS end_unique
   FROM ends LEFT JOIN seen i ON i.kmer = s LEFT JOIN seen j ON j.kmer = e""")
 def anchor_validation(spark, sf):
-    return kmers.validate_anchors(I.panel(spark, sf), doc_index(spark, sf), threshold=5).select("target_id", "start_count", "end_count", "start_unique", "end_unique")
+    p = I.panel(spark, sf)
+    return kmers.validate_anchors(p, listed_index(spark, sf, p), threshold=5).select("target_id", "start_count", "end_count", "start_unique", "end_unique")
 
 
 @query(f"""WITH {I.SQL_DOCUMENTS}, {I.SQL_PANEL}, w AS (SELECT DISTINCT target_id, kmer FROM panel_kmers)
@@ -362,7 +369,8 @@ pr AS (SELECT target_id, coalesce(min(n_molecules) FILTER (side = 'alt'), 0) AS
 def probes(spark, sf):
     p = I.panel(spark, sf).where("length(seq) >= 31")
     alt = F.concat(F.substring("seq", 1, 39), F.translate(F.substring("seq", 40, 1), "ACGT", "CGTA"), F.substring("seq", 41, 1 << 30))
-    return calls.rescue_probe(p.select("target_id", F.col("seq").alias("ref_seq"), alt.alias("alt_seq")), doc_index(spark, sf))
+    pairs = p.select("target_id", F.col("seq").alias("ref_seq"), alt.alias("alt_seq"))
+    return calls.rescue_probe(pairs, listed_index(spark, sf, p, pairs.select(F.col("alt_seq").alias("seq"))))
 
 
 @query(f"""WITH {I.SQL_DOCUMENTS}, {I.SQL_PANEL}, {I.SQL_INDEX}, {_ALTS} SELECT target_id, min_alt_molecules, sum_alt_duplex, kmers_found, kmers_total, round(mean_ref, 6) AS mean_ref_molecules,
@@ -461,7 +469,7 @@ def scored(spark, sf):
     p = I.panel(spark, sf)
     alt = F.concat(F.substring("seq", 1, 39), F.translate(F.substring("seq", 40, 1), "ACGT", "CGTA"), F.substring("seq", 41, 1 << 30))
     paths = p.select("target_id", F.col("seq").alias("path_seq"), F.lit(True).alias("is_reference")).unionByName(p.select("target_id", alt.alias("path_seq"), F.lit(False).alias("is_reference")))
-    return graph.path_evidence(paths, doc_index(spark, sf), keys=NO_SAMPLE)
+    return graph.path_evidence(paths, listed_index(spark, sf, paths.select(F.col("path_seq").alias("seq"))), keys=NO_SAMPLE)
 
 
 @query(f"WITH {I.SQL_DOCUMENTS}, {I.SQL_PANEL}, {I.SQL_INDEX}, {_PATHS} SELECT * FROM ev")
@@ -476,7 +484,7 @@ def path_ranking(spark, sf):
 
 @query()
 def variant_calls(spark, sf):
-    return calls.call_variants(scored(spark, sf), keys=NO_SAMPLE).drop("ref_seq", "alt_seq")
+    return calls.call_variants(written(scored(spark, sf)), keys=NO_SAMPLE).drop("ref_seq", "alt_seq")
 
 
 @query()
@@ -747,7 +755,6 @@ def bnd_pairs(spark, sf):
 
 @query(f"WITH {I.SQL_DOCUMENTS}, {I.SQL_INDEX} SELECT kmer, n_molecules, n_duplex, n_simplex_fwd, n_simplex_rev FROM idx")
 def stream_index(spark, sf):
-    from ..sources.shared import new_path
     from ..streaming.incremental import IncrementalIndex
 
     path, table = new_path(spark, "stream"), f"{sf}/documents.parquet"
