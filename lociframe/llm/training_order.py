@@ -116,7 +116,7 @@ def ordered(seqs: DataFrame, key: int = KEY, shard: int = SHARD) -> DataFrame:
 
         return pd.Series(slots(number.to_numpy(), total, key))
 
-    out = seqs.join(F.broadcast(counts), "task").withColumn("number", F.col("before") + F.col("place"))
+    out = seqs.join(counts, "task").withColumn("number", F.col("before") + F.col("place"))
     out = out.withColumn("slot", place("number"))
     return out.withColumn("shard", F.floor(F.col("slot") / shard)).withColumn("record", F.pmod("slot", F.lit(shard)))
 
@@ -135,7 +135,8 @@ def write_shards(ordered: DataFrame, path: str, shard: int = SHARD) -> None:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([whole(x.as_py()) for x in part.column(2)], pa.binary())], ["shard", "slot", "value"])
 
     n = max(1, -(-ordered.count() // shard))
-    rows = ordered.select("shard", "slot", "ids").repartition(n, "shard").mapInArrow(unpacked, "shard long, slot long, value binary")
+    # A shard is a range of slots and a partition of its own, so tasks are alike and each writes one file in order.
+    rows = ordered.select("shard", "slot", "ids").repartitionById(n, F.col("shard").cast("int")).mapInArrow(unpacked, "shard long, slot long, value binary")
     rows = rows.sortWithinPartitions("shard", "slot")
     rows.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").text(path)
 
