@@ -17,12 +17,18 @@ CALL_COLUMNS = (
     "n_duplex_alt", "n_simplex_alt", "strand_bias_p", "confidence", "filter",
 )
 FORMATS = {"tsv": ".tsv", "csv": ".csv", "json": ".json", "vcf": ".vcf"}
-VCF_HEAD = ["##fileformat=VCFv4.3"] + [
+VCF_HEAD = ["##fileformat=VCFv4.3", "##source=lociframe"] + [
     f'##INFO=<ID={i},Number={n},Type={t},Description="{d}">'
     for i, n, t, d in (
         ("VAF", 1, "Float", "Share of molecules"), ("VAF_LO", 1, "Float", "Lower end of its interval"), ("VAF_HI", 1, "Float", "Upper end of its interval"), ("NREF", 1, "Integer", "Reference molecules"),
         ("NALT", 1, "Integer", "Alternative molecules"), ("NDUPALT", 1, "Integer", "Alternative duplexes"), ("NSIMALT", 1, "Integer", "Alternative simplexes"), ("SBP", 1, "Float", "Strand bias p"),
-        ("CONF", 1, "Float", "Confidence"), ("SVTYPE", 1, "String", "Type"), ("SVLEN", 1, "Integer", "Length"), ("MATEID", 1, "String", "Mate"), ("EVENT", 1, "String", "Event"), ("NOVEL", 0, "Flag", "Novel insertion"),
+        ("CONF", 1, "Float", "Confidence"), ("SVTYPE", 1, "String", "Type"), ("SVLEN", 1, "Integer", "Length"), ("MATEID", 1, "String", "Mate"), ("EVENT", 1, "String", "Event"), ("NOVEL", 1, "Integer", "1 for a novel insertion"),
+    )
+] + [
+    f'##FILTER=<ID={i},Description="{d}">'
+    for i, d in (
+        ("PASS", "Passed every filter"), ("StrandBias", "Strands disagree"), ("LowConfidence", "Too few molecules or too low a confidence"), ("LowDuplex", "Too few duplexes"),
+        ("CollisionRisk", "UMIs may collide"), ("HighVaf", "Share above the largest allowed"), ("NotTargeted", "Not on the list of variants"),
     )
 ] + ["#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"]
 SYMBOLS = {"LargeDeletion": "DEL", "TandemDuplication": "DUP", "Inversion": "INV", "NovelInsertion": "INS", "InvDel": "INVDEL"}
@@ -42,22 +48,32 @@ def output_paths(path: str, formats: list[str]) -> dict[str, str]:
     return {formats[0]: path} if len(formats) == 1 else {f: os.path.splitext(path)[0] + FORMATS[f] for f in formats}
 
 
+#: Columns of a call table that have six places.
+SIX_PLACES = ("vaf", "vaf_ci_low", "vaf_ci_high", "strand_bias_p", "confidence")
+
+
 def call_table(calls: DataFrame) -> DataFrame:
+    """The fixed columns, then scores and rescue figures; a passed filter reads PASS."""
     extra = [c for c in calls.columns if c.startswith(("ml_", "rescue_")) or c == "call_source"]
-    return calls.select(*CALL_COLUMNS, *extra)
+    label = F.when(F.col("filter") == "Pass", "PASS").otherwise(F.col("filter")).alias("filter")
+    return calls.select(*(label if c == "filter" else F.round(c, 6).alias(c) if c in SIX_PLACES else F.col(c) for c in CALL_COLUMNS), *extra)
 
 
 def write_table(df: DataFrame, path: str, form: str = "tsv") -> None:
-    flat = df.select(*(F.to_json(c).alias(c) if t.startswith(("struct", "array", "map")) else F.col(c) for c, t in df.dtypes))
+    """TSV and CSV with a header, their ``SIX_PLACES`` columns written so; JSON as one array, ``[`` and ``]`` without rows."""
     if form == "json":
-        flat.write.mode("overwrite").json(path)
-    else:
-        flat.write.mode("overwrite").csv(path, sep="\t" if form == "tsv" else ",", header=True, quote="" if form == "tsv" else '"')
+        return write_json(df, path)
+    text = lambda c, t: F.to_json(c).alias(c) if t.startswith(("struct", "array", "map")) else _number(c).alias(c) if c in SIX_PLACES else F.col(c)
+    flat = df.select(*(text(c, t) for c, t in df.dtypes))
+    flat.write.mode("overwrite").csv(path, sep="\t" if form == "tsv" else ",", header=True, quote="" if form == "tsv" else '"')
 
 
-def json_array(df: DataFrame) -> str:
-    """All rows as one JSON array; for reports of calls, whose number a panel bounds."""
-    return "[" + ",\n".join(df.toJSON().collect()) + "]"
+def write_json(df: DataFrame, path: str) -> None:
+    """One file with one JSON array, a row a line: for tables that a panel bounds. Written by a task, not by the driver."""
+    rows = df.coalesce(1).select(F.monotonically_increasing_id().alias("k"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("v"))
+    rows = rows.select(F.lit(1).alias("n"), "k", F.concat(F.when(F.col("k") > 0, ",").otherwise(""), "v").alias("value"))
+    ends = df.sparkSession.createDataFrame([(0, 0, "["), (2, 0, "]")], "n int, k long, value string")
+    ends.unionByName(rows).repartition(1).sortWithinPartitions("n", "k").select("value").write.mode("overwrite").text(path)
 
 
 def _number(c: str) -> Column:
@@ -80,7 +96,7 @@ def vcf_records(calls: DataFrame) -> DataFrame:
     kind = F.create_map(*(F.lit(x) for kv in SYMBOLS.items() for x in kv))[F.col("variant_type")]
     change = F.length("alt_seq") - F.length("ref_seq")
     length = F.when(kind == "INV", 0).otherwise(change)
-    sv = F.concat(F.lit("SVTYPE="), kind, F.lit(";SVLEN="), length.cast("string"), F.when(kind == "INS", ";NOVEL").otherwise(""))
+    sv = F.concat(F.lit("SVTYPE="), kind, F.lit(";SVLEN="), length.cast("string"), F.when(kind == "INS", ";NOVEL=1").otherwise(""))
     ref = F.coalesce(a["ref"], F.col("ref_seq"))
     return calls.select(
         F.coalesce(a["chrom"], F.col("target_id")).alias("chrom"), F.coalesce(a["pos"], F.lit(1)).alias("pos"), F.lit(".").alias("id"),

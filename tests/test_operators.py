@@ -171,6 +171,36 @@ def test_formats():
     assert writers.output_paths("a/b.out", ["tsv"]) == {"tsv": "a/b.out"} and writers.output_paths("a/b.out", ["tsv", "vcf"]) == {"tsv": "a/b.tsv", "vcf": "a/b.vcf"}
 
 
+def test_call_sinks(spark, tmp_path):
+    import json
+
+    row = ("chr1:5-9", "SNV", "ACGTA", "ACTTA", 1 / 3, 0.1, 0.6, 20, 10, 3, 7, 0.5, 1.0, "Pass")
+    df = spark.createDataFrame([row], "target_id string, variant_type string, ref_seq string, alt_seq string, vaf double, vaf_ci_low double, vaf_ci_high double, n_molecules_ref long, n_molecules_alt long, n_duplex_alt long, n_simplex_alt long, strand_bias_p double, confidence double, filter string")
+    whole = lambda form: "".join(p.read_text() for p in sorted((tmp_path / form).glob("part-*")))
+    for form in ("tsv", "csv", "json"):
+        writers.write_table(writers.call_table(df.coalesce(1)), str(tmp_path / form), form)
+    assert whole("tsv").splitlines() == ["\t".join(writers.CALL_COLUMNS), "chr1:5-9\tSNV\tACGTA\tACTTA\t0.333333\t0.100000\t0.600000\t20\t10\t3\t7\t0.500000\t1.000000\tPASS"]
+    assert json.loads(whole("json"))[0]["vaf"] == 0.333333 and whole("csv").splitlines()[1].startswith("chr1:5-9,SNV")
+    writers.write_table(writers.call_table(df.limit(0)), str(tmp_path / "none"), "json")
+    assert json.loads(whole("none")) == []
+    writers.write_vcf(writers.vcf_records(calls.with_alleles(df)), str(tmp_path / "vcf"))
+    lines = whole("vcf").splitlines()
+    assert lines[0] == "##fileformat=VCFv4.3" and lines[1].startswith("##source=") and sum(x.startswith("##FILTER") for x in lines) == 7
+    assert lines[-1] == "chr1\t7\t.\tG\tT\t.\tPASS\tVAF=0.333333;VAF_LO=0.100000;VAF_HI=0.600000;NREF=20;NALT=10;NDUPALT=3;NSIMALT=7;SBP=0.500000;CONF=1.000000"
+
+
+def test_scores_by_a_model(spark, tmp_path):
+    """A file that is no model leaves calls without scores; features that a model asks for are there by name."""
+    df = spark.createDataFrame([("SNV", "ACGTA", "ACTTA", 0.5, 10, 5)], "variant_type string, ref_seq string, alt_seq string, vaf double, n_molecules_alt long, n_duplex_alt long")
+    (tmp_path / "m.onnx").write_bytes(b"no model")
+    (tmp_path / "m.json").write_text('{"feature_names": ["vaf", "nalt"]}')
+    with pytest.warns(UserWarning, match="cannot be loaded"):
+        r = ml.score_calls(df, str(tmp_path / "m.onnx"), str(tmp_path / "m.json")).first()
+    assert r.ml_prob is None and r.ml_filter is None and r.n_molecules_alt == 10
+    f = ml.context_features(ml.call_features(df)).first()
+    assert (f.nalt, f.duplex_frac, f.subst_type, f.trinuc_context, f.is_cpg, f.log_vaf) == (10.0, pytest.approx(0.5), 6, 16 * 1 + 4 * 2 + 3, 0, pytest.approx(-0.693145, abs=1e-5))
+
+
 def test_sources(spark, tmp_path):
     a, b = tmp_path / "r1.fq.gz", tmp_path / "r2.fq"
     with gzip.open(a, "wt") as f:
