@@ -24,6 +24,8 @@ LENGTH, END, KEY = 2048, 2, 20_240_229
 ROUNDS = 6
 #: Sequences in a shard.
 SHARD = 4096
+#: Rows of task offsets, 16 bytes each, that are sent to every task; more are joined by a shuffle.
+MOST_TASKS = 200_000
 
 SEQUENCES = "task long, place long, doc_ids array<long>, n_tokens long, ids_crc32 long, ids binary"
 
@@ -116,7 +118,8 @@ def ordered(seqs: DataFrame, key: int = KEY, shard: int = SHARD) -> DataFrame:
 
         return pd.Series(slots(number.to_numpy(), total, key))
 
-    out = seqs.join(counts, "task").withColumn("number", F.col("before") + F.col("place"))
+    small = seqs.select("task").distinct().count() <= MOST_TASKS
+    out = seqs.join(F.broadcast(counts) if small else counts, "task").withColumn("number", F.col("before") + F.col("place"))
     out = out.withColumn("slot", place("number"))
     return out.withColumn("shard", F.floor(F.col("slot") / shard)).withColumn("record", F.pmod("slot", F.lit(shard)))
 
