@@ -69,7 +69,7 @@ class WordBpe:
             for word, x in zip(part, pieces):
                 if x is None:
                     self.known[word] = self.whole(word)
-                elif len(x) > 1:
+                elif x != [word]:  # else it is there
                     self.known[word] = b"".join(map(self.known.__getitem__, x))
 
     def whole(self, text: str) -> bytes:
