@@ -58,9 +58,9 @@ def minimal_allele(target_id: Column, ref: Column, alt: Column) -> Column:
 
 
 def trimmed(ref: Column, alt: Column) -> Column:
-    """struct<ref, alt> without their common suffix, at least a base of each staying."""
-    s = F.least(common_suffix(ref, alt), F.least(F.length(ref), F.length(alt)) - 1)
-    return F.struct(F.substring(ref, F.lit(1), F.length(ref) - s).alias("ref"), F.substring(alt, F.lit(1), F.length(alt) - s).alias("alt"))
+    """struct<ref, alt> without their common suffix; of a side that is all suffix its first base stays."""
+    left = lambda x, s: F.when(F.length(x) > s, F.substring(x, F.lit(1), F.length(x) - s)).otherwise(F.substring(x, 1, 1))
+    return let(common_suffix(ref, alt), lambda s: F.struct(left(ref, s).alias("ref"), left(alt, s).alias("alt")))
 
 
 def mostly_copied(inserted: Column, reference: Column) -> Column:

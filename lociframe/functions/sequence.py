@@ -217,6 +217,12 @@ def junction(left: Column, right: Column, kind: Column, flank: int) -> Column:
     )
 
 
+def fusion_junction(a: Column, b: Column, orientation: Column, flank: int) -> Column:
+    """Junction of two partners: the end of ``a`` and the beginning of ``b``, each turned over if its letter of FF, FR, RF or RR is R; else null."""
+    side = lambda s, at: F.when(F.substring(orientation, at, 1) == "R", reverse_complement(s)).otherwise(F.upper(s))
+    return F.when(orientation.isin("FF", "FR", "RF", "RR"), F.concat(F.right(side(a, 1), F.lit(flank)), F.substring(side(b, 2), 1, flank)))
+
+
 def info_map(info: Column) -> Column:
     """VCF INFO as a map."""
     return F.str_to_map(info, F.lit(";"), F.lit("="))

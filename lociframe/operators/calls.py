@@ -105,8 +105,8 @@ def targeted(calls: DataFrame, listed: DataFrame, tolerance: int = 0, alternativ
         calls = calls.join(near, ["chrom", "pos"], "left")
         hit = hit | F.coalesce("__near", F.lit(False))
     if alternatives is not None:
-        seqs = alternatives.select("target_id", F.upper("alt_seq").alias("__seq")).distinct().withColumn("__alt", F.lit(True))
-        calls = calls.join(seqs, (calls["target_id"] == seqs["target_id"]) & (F.upper("alt_seq") == F.col("__seq")), "left").drop(seqs["target_id"]).drop("__seq")
+        seqs = alternatives.select(F.col("target_id").alias("__target"), F.upper("alt_seq").alias("__seq")).distinct().withColumn("__alt", F.lit(True))
+        calls = calls.join(seqs, (F.col("target_id") == F.col("__target")) & (F.upper("alt_seq") == F.col("__seq")), "left").drop("__target", "__seq")
         hit = hit | F.coalesce("__alt", F.lit(False))
     out = calls.withColumn("filter", F.when((F.col("filter") == "Pass") & ~hit, "NotTargeted").otherwise(F.col("filter")))
     return out.drop("__exact", "__near", "__alt")

@@ -167,10 +167,11 @@ def split_families(reads: DataFrame, bits: int = 4) -> DataFrame:
 
 
 def families(reads: DataFrame) -> DataFrame:
-    """One row per family: strand counts, type and a stable id."""
+    """One row per family: strand counts, type, a stable id and, where reads have them, the first read's skipped bases."""
     keys = ["sample_id", "seed_a", "seed_b", "part"]
     of = lambda s: F.count_if(F.col("strand") == s)
-    out = reads.groupBy(*keys).agg(of("Forward").alias("fwd_reads"), of("Reverse").alias("rev_reads"), F.min("read_ord").alias("first_ord"))
+    skip = [F.min_by("skip_r1", "read_ord").alias("skip")] if "skip_r1" in reads.columns else []
+    out = reads.groupBy(*keys).agg(of("Forward").alias("fwd_reads"), of("Reverse").alias("rev_reads"), F.min("read_ord").alias("first_ord"), *skip)
     return out.withColumns({"family_type": S.family_type(F.col("fwd_reads"), F.col("rev_reads")), "molecule_id": S.stable_hash(*map(F.col, keys))})
 
 
@@ -262,13 +263,13 @@ def consensus_reads(molecules: DataFrame) -> DataFrame:
 def molecule_dump(molecules: DataFrame) -> DataFrame:
     """Thirteen text columns per molecule; a dot where there is no value, means at six places."""
     mean = lambda c: F.coalesce(F.format_string("%.6f", F.aggregate(F.col(f"{c}.err"), F.lit(0.0), lambda a, x: a + x) / F.size(f"{c}.err")), F.lit("."))
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
+    count = lambda c, n: F.when(F.col(c).isNotNull(), n).otherwise(F.lit(0)).cast("string")
     seq = lambda c: F.coalesce(F.col(f"{c}.seq"), F.lit("."))
     return molecules.select(
-        F.hex("molecule_id").alias("molecule_id"), text("seed_a").alias("umi_fwd"), text("seed_b").alias("umi_rev"), text("family_type").alias("family_type"),
-        text("fwd_reads").alias("fwd_reads"), text("rev_reads").alias("rev_reads"), text("part").alias("collision_part"),
-        seq("consensus_fwd").alias("consensus_fwd"), seq("consensus_rev").alias("consensus_rev"), seq("duplex_consensus").alias("duplex_consensus"),
-        mean("consensus_fwd").alias("mean_err_fwd"), mean("consensus_rev").alias("mean_err_rev"), mean("duplex_consensus").alias("mean_err_duplex"),
+        F.hex("molecule_id").alias("molecule_id"), F.col("seed_a").alias("umi_fwd"), F.col("seed_b").alias("umi_rev"), F.col("duplex_consensus").isNotNull().cast("string").alias("has_duplex"),
+        count("consensus_fwd", F.col("fwd_reads")).alias("fwd_n_reads"), count("consensus_rev", F.col("rev_reads")).alias("rev_n_reads"), count("duplex_consensus", F.col("fwd_reads") + F.col("rev_reads")).alias("duplex_n_reads"),
+        seq("consensus_fwd").alias("fwd_seq"), seq("consensus_rev").alias("rev_seq"), seq("duplex_consensus").alias("duplex_seq"),
+        mean("consensus_fwd").alias("fwd_mean_error"), mean("consensus_rev").alias("rev_mean_error"), mean("duplex_consensus").alias("duplex_mean_error"),
     )
 
 

@@ -328,12 +328,6 @@ def call_qc(spark, sf):
     return calls.call_stats(labelled(spark, sf))
 
 
-@query()
-def vaf_beta_ci(spark, sf):
-    rows = I.call_rows(spark, sf).select("n_alt", (F.col("n_alt") + F.col("n_ref")).alias("n")).distinct()
-    return rows.select("n_alt", "n", stats.vaf_interval(F.col("n_alt"), F.col("n")).alias("i")).select("n_alt", "n", "i.vaf", F.round("i.low", 8).alias("low"), F.round("i.high", 8).alias("high"))
-
-
 def allele_pairs(spark, sf):
     """Pairs of sequences of one target that differ by a stretch: a base, a deletion, an insertion, or a turned one."""
     c = I.table(spark, sf, "customer", "c_custkey")
@@ -346,18 +340,6 @@ def allele_pairs(spark, sf):
     return c.select(k.alias("id"), F.concat(F.lit("chr"), (k % 9).cast("string"), F.lit(":1000-1127")).alias("target_id"), seq.alias("ref_seq"), alt.alias("alt_seq"))
 
 
-@query()
-def minimal_alleles(spark, sf):
-    p = allele_pairs(spark, sf).withColumn("a", alleles.minimal_allele(F.col("target_id"), F.col("ref_seq"), F.col("alt_seq")))
-    return p.select("id", "a.chrom", "a.pos", "a.ref", "a.alt")
-
-
-@query()
-def variant_classes(spark, sf):
-    p = allele_pairs(spark, sf)
-    return p.select("id", alleles.classify(F.col("ref_seq"), F.col("alt_seq")).alias("variant_type"), alleles.size_class(F.col("ref_seq"), F.col("alt_seq")).alias("size_class"))
-
-
 _ALTS = """alts AS (SELECT target_id, seq AS ref_seq, substr(seq, 1, 39) || translate(substr(seq, 40, 1), 'ACGT', 'CGTA') || substr(seq, 41) AS alt_seq FROM panel WHERE length(seq) >= 31),
 k2 AS (SELECT target_id, side, least(raw, reverse(translate(raw, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT target_id, side, substr(s, i, 31) AS raw FROM
   (SELECT target_id, 'alt' AS side, alt_seq AS s, unnest(range(1, length(alt_seq) - 29)) AS i FROM alts UNION ALL SELECT target_id, 'ref', ref_seq, unnest(range(1, length(ref_seq) - 29)) FROM alts))),

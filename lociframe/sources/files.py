@@ -61,7 +61,7 @@ class _PairReader(DataSourceReader):
         sample, lane, *paths = partition.value
         opened = []
         for p in paths:
-            raw = open(p, "rb")  # noqa: SIM115
+            raw = open(p.removeprefix("file://").removeprefix("file:"), "rb")  # noqa: SIM115
             zipped = raw.peek(2)[:2] == b"\x1f\x8b"
             opened.append(io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if zipped else raw, "ascii"))
         sides = [_records(f) for f in opened]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..functions.stats import collision_probability
 
 #: Columns of a call table in their order, and forms of output.
 CALL_COLUMNS = (
@@ -163,13 +164,33 @@ def write_calls(calls: DataFrame, path: str, formats: str | None = None) -> dict
     return paths
 
 
-def write_qc(stats: DataFrame, path: str) -> dict:
-    """A stage's one row of figures as pretty JSON on the driver."""
-    row = stats.first()
-    out = row.asDict(recursive=True) if row else {}
-    with open(path, "w") as f:
-        json.dump(out, f, indent=2, default=str)
-    return out
+#: A QC record's stage and its figures, by the names of records and of this library's counters.
+QC_STAGES = {
+    "assembly": ("molecule_assembly", {
+        "n_input_read_pairs": "n_processed", "n_molecules": "n_molecules", "n_duplex": "n_duplex", "n_simplex_fwd": "n_simplex_fwd", "n_simplex_rev": "n_simplex_rev", "n_singletons": "n_singletons",
+        "duplex_fraction": "duplex_fraction", "mean_family_size": "mean_family_size", "n_dropped_reads": "n_dropped_reads",
+    }),
+    "index": ("kmer_indexing", {"n_target_kmers": "n_target_kmers", "n_kmers_observed": "n_observed", "mean_molecule_depth": "mean_depth"}),
+    "pathfind": ("graph_walking", {
+        "n_targets_queried": "n_targets", "n_targets_with_variants": "n_with_variants", "n_anchors_non_unique": "n_non_unique_anchors", "n_targets_walk_budget_exceeded": "n_budget_hit",
+    }),
+    "call": ("variant_calling", {"n_variants_called": "n_calls", "n_pass": "n_pass", "n_filtered": "n_filtered"}),
+}
+VERSION = "0.1.0"
+
+
+def qc_record(stats: DataFrame, stage: str) -> DataFrame:
+    """A stage's counters (of each sample, where they have one) as its QC record: stage, version, figures (0 for none), passed."""
+    name, figures = QC_STAGES[stage]
+    if stage == "assembly":
+        stats = stats.withColumn("n_dropped_reads", F.col("n_processed") - F.col("n_passed"))
+    keys = [c for c in ("sample_id",) if c in stats.columns]
+    return stats.select(*keys, F.lit(name).alias("stage"), F.lit(VERSION).alias("version"), *(F.coalesce(F.col(c), F.lit(0)).alias(n) for n, c in figures.items()), F.lit(True).alias("passed"))
+
+
+def write_qc(record: DataFrame, path: str) -> None:
+    """QC records as pretty JSON, one after another in one file (a record for a sample); written by a task to any file system."""
+    record.coalesce(1).select(F.to_json(F.struct(*record.columns), {"pretty": "true"}).alias("value")).write.mode("overwrite").text(path)
 
 
 class Metrics:
@@ -192,11 +213,28 @@ class Metrics:
         return "\n".join(f"{s['stage']:<12}{s['elapsed_s']:>10.2f}{s['cpu_s']:>10.2f}{s['peak_kb'] / 1024:>10.0f}" for s in self.stages)
 
 
+#: Family types as a read's tag has them.
+FAMILY_TAGS = {"Duplex": "DUPLEX", "SimplexFwd": "SIMPLEX_FWD", "SimplexRev": "SIMPLEX_REV", "Singleton": "SINGLETON"}
+
+
 def annotated_fastq(molecules: DataFrame) -> DataFrame:
-    """FASTQ text of consensus reads with SAM-like tags."""
+    """FASTQ text of consensus reads with SAM-like tags.
+
+    DS counts the reads of families seen on both strands, 0 for others. CP is
+    the chance that two of the sample's molecules share a UMI pair. SK are the
+    first read's skipped bases, left out where the layout has none.
+    """
     best = F.coalesce("duplex_consensus", "consensus_fwd", "consensus_rev")
     quality = F.array_join(F.transform(best["err"], lambda e: F.char(33 + F.round(S.prob_to_phred(e)).cast("int"))), "")
     mean = F.aggregate(best["err"], F.lit(0.0), lambda a, x: a + x) / F.size(best["err"])
     tag = lambda t, v: F.concat(F.lit(t), v.cast("string"))
-    tags = F.concat_ws("\t", tag("MI:Z:", F.hex("molecule_id")), tag("RX:Z:", F.concat("seed_a", F.lit("-"), "seed_b")), tag("FS:i:", F.col("fwd_reads") + F.col("rev_reads")), tag("SF:i:", F.col("fwd_reads")), tag("SR:i:", F.col("rev_reads")), tag("FT:Z:", F.col("family_type")), tag("CQ:f:", F.format_string("%.6f", mean)), tag("CP:i:", F.col("part")))
+    of_sample = molecules.groupBy("sample_id").agg(F.count("*").alias("__m"))
+    molecules = molecules.join(of_sample, "sample_id")
+    size, both = F.col("fwd_reads") + F.col("rev_reads"), F.col("family_type") == "Duplex"
+    family = F.create_map(*(F.lit(x) for kv in FAMILY_TAGS.items() for x in kv))[F.col("family_type")]
+    skip = [F.when(F.col("skip") != "", tag("SK:Z:", F.col("skip")))] if "skip" in molecules.columns else []
+    tags = F.concat_ws(
+        "\t", tag("MI:Z:", F.hex("molecule_id")), tag("RX:Z:", F.concat("seed_a", F.lit("-"), "seed_b")), tag("FS:i:", size), tag("DS:i:", F.when(both, size).otherwise(0)), tag("SF:i:", F.col("fwd_reads")),
+        tag("SR:i:", F.col("rev_reads")), tag("FT:Z:", family), tag("CQ:f:", F.format_string("%.6f", mean)), tag("CP:f:", F.format_string("%.6f", collision_probability(F.col("__m")))), *skip,
+    )
     return molecules.where(best.isNotNull()).select(F.concat_ws("\n", F.concat(F.lit("@"), F.hex("molecule_id"), F.lit("\t"), tags), best["seq"], F.lit("+"), quality).alias("value"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lociframe.functions.alleles import CallConfig
 from lociframe.operators import calls, explore, graph, kmers, ml, reads, scoring
 from lociframe.plans import config, inputs, pipeline, queries
+from lociframe.plans import column_queries, file_queries  # noqa: F401
 from lociframe.sources import files, writers
 from lociframe.streaming import incremental
 
@@ -279,7 +280,7 @@ def test_scoring_extras(spark):
     assert [x.quintile for x in ml.quintile(df, "v").orderBy("v").collect()] == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
 
 
-QUICK = ("kmer_codes", "parse_drop_stats", "family_types", "fingerprint_compat", "ssc_consensus", "duplex_consensus", "call_filter", "ti_exact", "nearest_partner", "path_ranking", "concordance", "ml_metrics", "bnd_pairs", "explore_histogram")
+QUICK = ("kmer_codes", "parse_drop_stats", "family_types", "fingerprint_compat", "ssc_consensus", "duplex_consensus", "call_filter", "ti_exact", "nearest_partner", "path_ranking", "concordance", "ml_metrics", "bnd_pairs", "explore_histogram", "minimal_alleles", "variant_classes", "alt_windows", "junction_sequences", "molecule_columns", "log_variants_filtered", "qc_assembly", "ti_sequence_listed", "calls_tsv", "calls_vcf", "fasta_targets", "fastq_pairs", "stage_tables", "qc_files")
 
 
 @pytest.mark.parametrize("name", QUICK)
@@ -296,3 +297,50 @@ def test_against_sql(spark, name):
     want = sorted(tuple(norm(v) for v in (float(x) if type(x).__name__ == "Decimal" else x for x in r)) for r in relation.fetchall())
     assert sorted(columns) == sorted(got.columns)
     assert sorted((tuple(norm(v) for v in r) for r in got.select(*columns).collect()), key=repr) == sorted(want, key=repr)
+
+
+def _near(x, y, bits=4):
+    turned = (y << 32 | y >> 32) & (1 << 64) - 1
+    return bin(x ^ y).count("1") <= bits or bin(x ^ turned).count("1") <= bits
+
+
+def test_umi_clusters_of_the_query(spark):
+    """Each UMI pair by plain loops: most reads first, the first seed of its bucket within two letters."""
+    counts = reads.umi_counts(reads.passed(queries.parsed(spark, SF))).collect()
+    seeds, want = {}, set()
+    for r in sorted(counts, key=lambda r: (-r.n, r.first_ord)):
+        held = seeds.setdefault((r.sample_id, r.umi_a[:3]), [])
+        far = lambda s, r=r: sum(a != b for a, b in zip(s[0] + s[1], r.umi_a + r.umi_b))
+        seed = next((s for s in held if far(s) <= 2), None)
+        if seed is None:
+            seed = (r.umi_a, r.umi_b)
+            held.append(seed)
+        want.add((r.sample_id, r.umi_a, r.umi_b, *seed))
+    got = queries.QUERIES["umi_directional_clusters"](spark, SF)
+    assert {tuple(r) for r in got.select("sample_id", "umi_a", "umi_b", "seed_a", "seed_b").collect()} == want
+
+
+def test_family_parts_of_the_query(spark):
+    """Each read joins the first part of its family whose first read it is compatible with."""
+    rows = reads.passed(queries.parsed(spark, SF)).select("sample_id", "umi_a", "umi_b", "read_ord", "fingerprint").collect()
+    heads, want = {}, set()
+    for r in sorted(rows, key=lambda r: r.read_ord):
+        fp, held = r.fingerprint & (1 << 64) - 1, heads.setdefault((r.sample_id, r.umi_a, r.umi_b), [])
+        part = next((i for i, h in enumerate(held) if _near(h, fp)), None)
+        if part is None:
+            part = len(held)
+            held.append(fp)
+        want.add((r.sample_id, r.read_ord, part))
+    assert {tuple(r) for r in queries.QUERIES["family_split"](spark, SF).select("sample_id", "read_ord", "part").collect()} == want
+
+
+def test_logs_written(spark, tmp_path):
+    from lociframe.operators import logs
+
+    drops = logs.reads_dropped(queries.parsed(spark, SF))
+    merges = logs.umi_merges(queries.QUERIES["umi_directional_clusters"](spark, SF))
+    logs.write_logs(str(tmp_path), reads_dropped=drops, umi_clustering=merges)
+    n = {r.log: r.n for r in spark.read.json(f"{tmp_path}/summary").collect()}
+    assert n["reads_dropped"] == drops.count() == spark.read.csv(f"{tmp_path}/reads_dropped", sep="\t", header=True).count()
+    assert spark.read.text(f"{tmp_path}/full_trace").count() == sum(n.values())
+    assert logs.kmers_skipped(spark.createDataFrame([("s", 1, "A" * 40), ("s", 2, "ACG"), ("s", 3, ("A" * 20 + "N") * 3)], "sample_id string, molecule_id long, seq string")).count() == 2
