@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import mixing, packing, pii, quality, simhash, spotsigs, suffix_dedup, training_order, urls, warc
+from . import merkle, mixing, packing, pii, quality, simhash, spotsigs, suffix_dedup, training_order, urls, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,10 +18,12 @@ QUERIES = {
     "op8_spotsigs": spotsigs.op8_spotsigs,
     "op9_warc": warc.op9_warc,
     "op10_pii": pii.op10_pii,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 ORACLE_SQL = {
     "op3_url_filters": urls.OP3_SQL,
     "op6_mixing_sources": mixing.OP6_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
 }
