@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import merkle, mixing, packing, pii, quality, simhash, spotsigs, suffix_dedup, training_order, urls, warc
+from . import kd_clusters, merkle, mixing, packing, pii, quality, signature_join, simhash, spotsigs, suffix_dedup, training_order, urls, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -19,6 +19,8 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_pii": pii.op10_pii,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_signature_join": signature_join.op12_signature_join,
+    "op13_kd_clusters": kd_clusters.op13_kd_clusters,
 }
 
 ORACLE_SQL = {
@@ -26,4 +28,6 @@ ORACLE_SQL = {
     "op6_mixing_sources": mixing.OP6_SQL,
     "op9_warc": warc.OP9_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_signature_join": signature_join.OP12_SQL,
+    "op13_kd_clusters": kd_clusters.OP13_SQL,
 }

@@ -32,7 +32,7 @@ CHAINS = (4, 8, 16, 32)
 BLOCK, SETS = 1024, 256
 
 
-def shingles(text: bytes):
+def shingles(text: bytes, size: int = SHINGLE):
     """Sorted distinct hashes of a text's shingles of words, A-Z lower-cased; a shorter text is one shingle, no words none."""
     import numpy as np
     from xxhash import xxh64_intdigest
@@ -41,7 +41,7 @@ def shingles(text: bytes):
     if not words:
         return np.empty(0, np.int64)
     each = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
-    k = min(SHINGLE, len(words))
+    k = min(size, len(words))
     n = len(words) - k + 1
     out = np.full(n, k, np.uint64)
     for i in range(k):
