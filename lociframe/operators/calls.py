@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..functions import stats
 from ..functions.alleles import STRUCTURAL, CallConfig, call_filter, classify, minimal_allele
+from . import ranges
 
 
 def pair_with_reference(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -89,6 +90,20 @@ def near_matches(left: DataFrame, right: DataFrame, tolerance: int, how: str = "
     return hit if how == "inner" else left.join(hit.select(*keys, "pos").distinct(), [*keys, "pos"], how)
 
 
+def containing(sequences: DataFrame, targets: DataFrame, key: str, k: int = 31) -> DataFrame:
+    """(key, target_id, pos): every place of a sequence (key, seq) at which a target (target_id, seq) of k letters or more lies whole.
+
+    Sequences meet targets by the targets' first k-mer, at all of its places;
+    only then are the letters after it compared.
+    """
+    t = targets.select("target_id", F.upper("seq").alias("__target")).where(F.length("__target") >= k)
+    first = t.select("target_id", F.substring("__target", 1, k).alias("__kmer"))
+    rows = S.explode_kmers(sequences.select(key, "seq"), "seq", k, canonical=None, raw="__kmer").select(key, "pos", "__kmer")
+    hits = rows.join(first, "__kmer").select(key, "pos", "target_id")
+    both = hits.join(sequences.select(key, F.upper("seq").alias("__seq")), key).join(t, "target_id")
+    return both.where(F.substring(F.col("__seq"), F.col("pos") + 1, F.length("__target")) == F.col("__target")).select(key, "target_id", "pos")
+
+
 def targeted(calls: DataFrame, listed: DataFrame, tolerance: int = 0, alternatives: DataFrame | None = None) -> DataFrame:
     """Calls that passed everything else become NotTargeted unless the list has them.
 
@@ -115,15 +130,13 @@ def targeted(calls: DataFrame, listed: DataFrame, tolerance: int = 0, alternativ
 def nearest(left: DataFrame, right: DataFrame, value: str, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """``left`` with the value of the row of ``right`` whose ``mid`` is nearest to its own, the smaller one of two; null without any.
 
-    One sort of both sides together: the last row before and the first after.
+    One sort of both sides together, by ranges: the last row before and the
+    first after, whichever range they are in.
     """
     a = left.select(*keys, "mid", F.struct(*(c for c in left.columns)).alias("row"), F.lit(None).cast(right.schema[value].dataType).alias("v"), F.lit(1).alias("side"))
     b = right.groupBy(*keys, "mid").agg(F.min(value).alias("v")).select(*keys, "mid", F.lit(None).cast(a.schema["row"].dataType).alias("row"), "v", F.lit(0).alias("side"))
-    both = a.unionByName(b)
     place = F.when(F.col("side") == 0, F.struct(F.col("mid").alias("at"), F.col("v").alias("v")))
-    before = Window.partitionBy(*keys).orderBy("mid", "side").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy(F.desc("mid"), "side").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("p", F.last(place, ignorenulls=True).over(before)).withColumn("n", F.last(place, ignorenulls=True).over(after)).where("side = 1")
+    both = ranges.filled(a.unionByName(b), list(keys), ["mid", "side"], {"p": place}, {"n": place}).where("side = 1")
     pick = F.when(F.col("n").isNull() | (F.col("mid") - F.col("p.at") <= F.col("n.at") - F.col("mid")), F.col("p")).otherwise(F.col("n"))
     return both.select("row.*", pick["v"].alias(value))
 

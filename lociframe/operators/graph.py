@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from .kmers import lookup
 
-#: Bounds of a walk.
+#: Bounds of a walk, and of each walk that leaves the reference path.
 MAX_PATHS, EXTRA_LENGTH, MAX_EXPANSIONS, JUNCTION_EXTRA, SOFT_REACH = 100, 50, 2_000_000, 250, 10
+SUB_EXPANSIONS = 300_000
 
 
 def edges(nodes: DataFrame, k: int) -> DataFrame:
@@ -88,6 +89,72 @@ def walk(start: str, end: str, counts: dict[str, int], max_length: int, max_path
     return paths, False
 
 
+def off_reference(reference: list[str], counts: dict[str, int], max_length: int, max_expansions: int = MAX_EXPANSIONS, sub_expansions: int = SUB_EXPANSIONS, by_evidence: bool = False):
+    """(left, right, k-mers between) of each stretch that leaves the reference path at one place and rejoins it further on, and whether a budget ended a walk.
+
+    Each branch of a place is walked depth first, over nodes that are not of the
+    reference, with ``sub_expansions`` steps of its own; a branch that spends
+    them ends without the others being lost. Nodes from which the reference
+    cannot be reached again within ``max_length`` k-mers, the whole path's
+    length, are not entered. A k-mer that the reference repeats is rejoined at
+    its first place after the one left.
+    """
+    places: dict[str, list[int]] = {}
+    for i, x in enumerate(reference):
+        places.setdefault(x, []).append(i)
+    n = len(reference)
+    # Steps from a node back to the reference, by layers.
+    back, layer, far = {}, [x for x in places if x in counts], 0
+    while layer and far < max_length:
+        far += 1
+        layer = list(dict.fromkeys(b + x[:-1] for x in layer for b in "ACGT"))
+        layer = [x for x in layer if x in counts and x not in places and x not in back]
+        back.update(dict.fromkeys(layer, far))
+
+    def following(x: str) -> list[str]:
+        out = [x[1:] + b for b in "ACGT" if x[1:] + b in counts]
+        return sorted(out, key=lambda y: -counts[y]) if by_evidence else out
+
+    found, total, ended = [], 0, False
+    for i in range(n - 1):
+        if reference[i] not in counts:
+            continue
+        for branch in following(reference[i]):
+            if branch == reference[i + 1]:
+                continue
+            path, seen, spent, stack = [], set(), 0, [iter([branch])]
+            while stack:
+                node = next(stack[-1], None)
+                if node is None:
+                    stack.pop()
+                    if path:
+                        seen.discard(path.pop())
+                    continue
+                spent += 1
+                total += 1
+                if spent > sub_expansions or total > max_expansions:
+                    ended = True
+                    break
+                if node in places:
+                    j = next((j for j in places[node] if j > i), None)
+                    if j is not None and i + 1 + len(path) + n - j <= max_length:
+                        found.append((i, j, list(path)))
+                    continue
+                # At best the end of the reference is what is rejoined.
+                if node in seen or node not in back or i + 2 + len(path) + back[node] > max_length:
+                    continue
+                path.append(node)
+                seen.add(node)
+                stack.append(iter(following(node)))
+            if total > max_expansions:
+                return found, True
+    return found, ended
+
+
+def spelled(kmers: list[str]) -> str:
+    return kmers[0] + "".join(x[-1] for x in kmers[1:]) if kmers else ""
+
+
 def soft_anchors(seq: str, k: int, counts: dict[str, int], reach: int = SOFT_REACH) -> tuple[int, int] | None:
     """Places of the first and last k-mer of a target that are in the graph, not further inward than ``reach``."""
     n = len(seq) - k + 1
@@ -99,14 +166,55 @@ def soft_anchors(seq: str, k: int, counts: dict[str, int], reach: int = SOFT_REA
 
 
 PATHS = "sample_id string, target_id string, path_seq string, is_reference boolean, n_kmers int, budget_hit boolean"
+ALTERNATIVES = "sample_id string, target_id string, left int, right int, stretch string, path_seq string, n_kmers int, budget_hit boolean"
+
+
+def length_limit(t, seq: str, k: int, extra: int = 0) -> int:
+    """Most k-mers of a target's path: its id's, else its own length and some more."""
+    return int(t.limit) if t.limit == t.limit and t.limit is not None else len(seq) - (k - 1) + EXTRA_LENGTH + extra
+
+
+def by_target(targets: DataFrame, nodes: DataFrame, group, schema: str) -> DataFrame:
+    """``group`` over each sample's targets (target_id, seq, limit) and their nodes, one group each."""
+    samples = nodes.select(F.col("sample_id").alias("sample_id"), F.col("target_id").alias("target_id")).distinct()  # columns of its own
+    wanted = targets.select("target_id", "seq", S.path_limit(F.col("target_id")).alias("limit")).join(samples, "target_id")
+    keys = ["sample_id", "target_id"]
+    return wanted.groupBy(*keys).cogroup(nodes.groupBy(*keys)).applyInPandas(group, schema)
 
 
-def walk_paths(targets: DataFrame, nodes: DataFrame, k: int = 31, max_paths: int = MAX_PATHS, max_expansions: int = MAX_EXPANSIONS, by_evidence: bool = False, extra: int = 0) -> DataFrame:
+def find_alternatives(targets: DataFrame, nodes: DataFrame, k: int = 31, max_expansions: int = MAX_EXPANSIONS, sub_expansions: int = SUB_EXPANSIONS, by_evidence: bool = False, extra: int = 0) -> DataFrame:
+    """Stretches that leave a target's own path and rejoin it, each joined into the target as a path of its own.
+
+    ``left`` and ``right`` are the places of the k-mers left and rejoined,
+    ``stretch`` has the letters between. Stretches of one path that don't
+    overlap are rows of their own and are not combined.
+    """
+
+    def group(key, pdf_targets, pdf_nodes):
+        import pandas as pd
+
+        counts = dict(zip(pdf_nodes.kmer, pdf_nodes.n))
+        rows = []
+        for t in pdf_targets.itertuples():
+            seq = t.seq.upper()
+            reference = [seq[i : i + k] for i in range(len(seq) - k + 1)]
+            found, spent = off_reference(reference, counts, length_limit(t, seq, k, extra), max_expansions, sub_expansions, by_evidence)
+            for i, j, between in found:
+                whole = spelled([*reference[: i + 1], *between, *reference[j:]])
+                rows.append((key[0], t.target_id, i, j, "".join(x[-1] for x in between), whole, i + 1 + len(between) + len(reference) - j, spent))
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in ALTERNATIVES.split(", ")])
+
+    return by_target(targets, nodes, group, ALTERNATIVES)
+
+
+def walk_paths(targets: DataFrame, nodes: DataFrame, k: int = 31, max_paths: int = MAX_PATHS, max_expansions: int = MAX_EXPANSIONS, by_evidence: bool = False, extra: int = 0, sub_expansions: int = SUB_EXPANSIONS) -> DataFrame:
     """Paths of each sample's targets: one walk per group, in its own task.
 
     Targets need target_id and seq. Their length, an id's ``_maxpathN``, and
     ``extra`` bound a path. Paths are completed by the target's ends where
     anchors lie inward, and the first that equals the target is the reference.
+    Where the walk's budget ends it, the stretches that leave the target's own
+    path are walked one by one with budgets of their own and added.
     """
 
     def group(key, pdf_targets, pdf_nodes):
@@ -119,20 +227,23 @@ def walk_paths(targets: DataFrame, nodes: DataFrame, k: int = 31, max_paths: int
             at = soft_anchors(seq, k, counts)
             if at is None:
                 continue
-            limit = t.limit if t.limit == t.limit and t.limit is not None else len(seq) - (k - 1) + EXTRA_LENGTH + extra
-            found, spent = walk(seq[at[0] : at[0] + k], seq[at[1] : at[1] + k], counts, int(limit), max_paths, max_expansions, by_evidence)
+            limit = length_limit(t, seq, k, extra)
+            found, spent = walk(seq[at[0] : at[0] + k], seq[at[1] : at[1] + k], counts, limit, max_paths, max_expansions, by_evidence)
+            if spent and len(found) < max_paths:
+                own = [seq[i : i + k] for i in range(at[0], at[1] + 1)]
+                known = {tuple(p) for p in found}
+                more = [[*own[: i + 1], *between, *own[j:]] for i, j, between in off_reference(own, counts, limit, max_expansions, sub_expansions, by_evidence)[0]]
+                more = [own, *more] if all(x in counts for x in own) else [p for p in more if all(x in counts for x in p)]
+                found += [p for p in more if tuple(p) not in known][: max_paths - len(found)]
             reference = False
             for p in found:
-                whole = seq[: at[0]] + p[0] + "".join(x[-1] for x in p[1:]) + seq[at[1] + k :]
+                whole = seq[: at[0]] + spelled(p) + seq[at[1] + k :]
                 is_ref = not reference and whole == seq
                 reference |= is_ref
                 rows.append((key[0], t.target_id, whole, is_ref, len(p), spent))
         return pd.DataFrame(rows, columns=[f.split()[0] for f in PATHS.split(", ")])
 
-    samples = nodes.select(F.col("sample_id").alias("sample_id"), F.col("target_id").alias("target_id")).distinct()  # columns of its own
-    wanted = targets.select("target_id", "seq", S.path_limit(F.col("target_id")).alias("limit")).join(samples, "target_id")
-    keys = ["sample_id", "target_id"]
-    return wanted.groupBy(*keys).cogroup(nodes.groupBy(*keys)).applyInPandas(group, PATHS)
+    return by_target(targets, nodes, group, PATHS)
 
 
 def tandem_duplication(target: str, junction: str) -> str | None:

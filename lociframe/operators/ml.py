@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..sources.shared import written
+from .scoring import group_fold, ml_metrics
 
 #: Added to divisors and logarithms; a fixed value.
 TINY = 1e-9
@@ -202,5 +204,36 @@ def train_classifier(features: DataFrame, names: list[str], label: str = "label"
     return Pipeline(stages=stages).fit(features)
 
 
+def out_of_fold(features: DataFrame, names: list[str], group: str, label: str = "label", folds: int = 5, rounds: int = 20) -> DataFrame:
+    """``features`` with ``fold`` and ``prob``, the chance of class 1 by a model that saw no row of the row's group.
+
+    One model per fold, fitted on the other folds and kept to score its own. A
+    fold whose others have one class only, or no rows, takes that class's share.
+    ``features`` is read once per fold and should be written.
+    """
+    from functools import reduce
+
+    from pyspark.ml.functions import vector_to_array
+
+    rows = features.withColumn("fold", group_fold(F.col(group), folds))
+    sides = {r.fold: (r.p, r.n) for r in rows.groupBy("fold").agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count("*").alias("n")).collect()}  # a row per fold
+    scored = []
+    for fold in sorted(sides):
+        pos, all_ = (sum(v[i] for f, v in sides.items() if f != fold) for i in (0, 1))
+        own = rows.where(F.col("fold") == fold)
+        if 0 < pos < all_:
+            model = train_classifier(rows.where(F.col("fold") != fold), names, label, rounds)
+            scored.append(model.transform(own).withColumn("prob", vector_to_array("probability")[1]).select(*rows.columns, "prob"))
+        else:
+            scored.append(own.withColumn("prob", F.lit(float(pos) / all_ if all_ else 0.0)))
+    return reduce(DataFrame.unionByName, scored) if scored else rows.withColumn("prob", F.lit(0.0))
+
+
+def cross_validate(features: DataFrame, names: list[str], group: str, label: str = "label", folds: int = 5, rounds: int = 20, threshold: float = 0.5, keep=written) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold rows and their figures by fold; groups are never split."""
+    scored = keep(out_of_fold(keep(features), names, group, label, folds, rounds))
+    return scored, ml_metrics(scored.withColumnRenamed(label, "label") if label != "label" else scored, threshold, ["fold"])
+
+
 def rank_within(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))

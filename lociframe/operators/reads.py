@@ -1,13 +1,14 @@
-"""From read pairs to UMI families: parsing, grouping, clustering, splitting."""
+"""From read pairs to UMI families: parsing, grouping, clustering. ``assembly`` splits and calls families."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from . import ranges
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,8 @@ def umi_counts(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("sample_id", "umi_a", "umi_b").agg(F.count("*").alias("n"), F.min("read_ord").alias("first_ord"))
 
 
-BUCKET_BASES = 3
+#: Bases of a bucket; most bases of a UMI whose buckets one task can take.
+BUCKET_BASES, SHORT = 3, 6
 
 
 def umi_neighbours(counts: DataFrame, distance: int = 1) -> DataFrame:
@@ -135,37 +137,6 @@ def cluster_umis(counts: DataFrame, distance: int = 1, bucketed: bool = True) ->
     return rows.groupBy(*keys).applyInPandas(group if not bucketed else (lambda key, pdf: group(pdf)), schema)
 
 
-def split_families(reads: DataFrame, bits: int = 4) -> DataFrame:
-    """``reads`` (seed_a, seed_b, fingerprint, read_ord) with ``part``: the first group of the cluster whose first read is compatible.
-
-    Parts beyond the first are UMI collisions. Clusters hold the reads of one
-    UMI pair, a bounded number at any usual depth.
-    """
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    keys = ["sample_id", "seed_a", "seed_b"]
-    schema = StructType([*reads.select(*keys, "read_ord", "fingerprint").schema.fields, StructField("part", LongType())])
-
-    def group(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values("read_ord", kind="stable").reset_index(drop=True)
-        fps = pdf.fingerprint.to_numpy(np.int64).view(np.uint64)
-        part, heads = np.full(len(fps), -1, np.int64), 0
-        while (part < 0).any():
-            first = int(np.flatnonzero(part < 0)[0])
-            turned = (fps << np.uint64(32)) | (fps >> np.uint64(32))
-            near = (np.bitwise_count(fps ^ fps[first]) <= bits) | (np.bitwise_count(turned ^ fps[first]) <= bits)
-            part[near & (part < 0)] = heads
-            part[first] = heads
-            heads += 1
-        pdf["part"] = part
-        return pdf
-
-    found = reads.select(*keys, "read_ord", "fingerprint").groupBy(*keys).applyInPandas(group, schema)
-    return reads.join(found.select("sample_id", "read_ord", "part"), ["sample_id", "read_ord"])
-
-
 def families(reads: DataFrame) -> DataFrame:
     """One row per family: strand counts, type, a stable id and, where reads have them, the first read's skipped bases."""
     keys = ["sample_id", "seed_a", "seed_b", "part"]
@@ -199,31 +170,6 @@ def assembly_stats(parsed: DataFrame, families: DataFrame, kept: DataFrame) -> D
 MIN_BASE_QUALITY, MAX_QUALITY = 10, 60
 
 
-def strand_consensus(reads: DataFrame, keys: list[str], seq: str = "seq", qual: str = "qual", min_quality: int = MIN_BASE_QUALITY, cap: int = MAX_QUALITY) -> DataFrame:
-    """(keys, seq, err): the base of the greatest weight at each position, weights being 1 - error.
-
-    Bases below ``min_quality`` are masked; a position with masked bases only is
-    N with error 1. Of equal weights the first letter wins. Sums are taken per
-    base before positions meet, so deep families aggregate like any others.
-    """
-    # Positions are cut out of bytes, one row each, within generated code.
-    n = F.length(seq)
-    each = reads.where(n > 0).select(*keys, F.upper(seq).cast("binary").alias("__s"), F.col(qual).cast("binary").alias("__q"), F.explode(F.sequence(F.lit(1), n)).alias("__p"))
-    base, code = F.substring(F.col("__s"), F.col("__p"), F.lit(1)).cast("string"), F.ascii(F.substring(F.col("__q"), F.col("__p"), F.lit(1)).cast("string"))
-    each = each.select(*keys, (F.col("__p") - 1).alias("pos"), base.alias("base"), (code - 33).alias("q"))
-    weight = F.when(F.col("q") < min_quality, 0.0).otherwise(1 - S.phred_to_prob(F.least(F.col("q"), F.lit(cap))))
-    each = each.select(*keys, "pos", "base", weight.alias("w"))
-    sums = each.select(*keys, "pos", *(F.when(F.col("base") == b, F.col("w")).otherwise(0.0).alias(b) for b in "ACGT"))
-    sums = sums.groupBy(*keys, "pos").agg(*(F.sum(b).alias(b) for b in "ACGT"))
-    total = F.col("A") + F.col("C") + F.col("G") + F.col("T")
-    best = F.greatest("A", "C", "G", "T")
-    base = F.when(total <= 0, "N").when(F.col("A") == best, "A").when(F.col("C") == best, "C").when(F.col("G") == best, "G").otherwise("T")
-    err = F.when(total <= 0, 1.0).otherwise(F.greatest(1 - best / total, F.lit(10.0 ** (-cap / 10))))
-    rows = sums.select(*keys, F.struct("pos", base.alias("base"), err.alias("err")).alias("p"))
-    rows = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    return rows.select(*keys, F.array_join("ps.base", "").alias("seq"), F.col("ps.err").alias("err"))
-
-
 def duplex_consensus(fwd: Column, fwd_err: Column, rev: Column, rev_err: Column, mask: bool = False) -> Column:
     """struct<seq, err>, as far as both strands go: agreement multiplies errors; else the better base, or N with ``mask``."""
     n = F.least(F.length(fwd), F.length(rev))
@@ -240,20 +186,6 @@ def duplex_consensus(fwd: Column, fwd_err: Column, rev: Column, rev_err: Column,
     return F.when(n > 0, F.struct(F.array_join(F.transform(both, lambda p: p.b), "").alias("seq"), F.transform(both, lambda p: p.e).alias("err")))
 
 
-def molecules(reads: DataFrame, min_family_size: int = 1, **consensus) -> DataFrame:
-    """Families with their strands' consensus (read 1 of forward reads, read 2 of reverse ones) and, for duplexes, both strands' consensus."""
-    keys = ["sample_id", "seed_a", "seed_b", "part"]
-    fams = large_enough(families(reads), min_family_size)
-    fwd = F.col("strand") == "Forward"
-    oriented = reads.select(*keys, "strand", F.when(fwd, F.col("template_r1")).otherwise(F.col("template_r2")).alias("seq"), F.when(fwd, F.col("qual_r1")).otherwise(F.col("qual_r2")).alias("qual"))
-    called = strand_consensus(oriented, [*keys, "strand"], **consensus)
-    side = lambda s: F.first(F.when(F.col("strand") == s, F.struct("seq", "err")), ignorenulls=True)
-    called = called.groupBy(*keys).agg(side("Forward").alias("consensus_fwd"), side("Reverse").alias("consensus_rev"))
-    out = fams.join(called, keys, "left")
-    duplex = duplex_consensus(F.col("consensus_fwd.seq"), F.col("consensus_fwd.err"), F.col("consensus_rev.seq"), F.col("consensus_rev.err"))
-    return out.withColumn("duplex_consensus", F.when(F.col("family_type") == "Duplex", duplex))
-
-
 def consensus_reads(molecules: DataFrame) -> DataFrame:
     """(sample_id, molecule_id, family_type, seq, err): the best consensus of each molecule, both strands' first."""
     best = F.coalesce("duplex_consensus", "consensus_fwd", "consensus_rev")
@@ -275,5 +207,4 @@ def molecule_dump(molecules: DataFrame) -> DataFrame:
 
 def ranked_by_count(counts: DataFrame) -> DataFrame:
     """Places of UMI pairs, most reads first, then first come."""
-    order = Window.partitionBy("sample_id").orderBy(F.desc("n"), "first_ord")
-    return counts.withColumn("rank", F.row_number().over(order))
+    return ranges.ranked(counts, ["sample_id"], F.desc("n"), "first_ord").withColumn("rank", F.col("rank").cast("int"))

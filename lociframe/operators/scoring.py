@@ -130,31 +130,33 @@ def fusion_scores(expected: DataFrame, calls: DataFrame) -> DataFrame:
     return out.withColumns({"tp": F.least(e, c), "fp": F.greatest(c - e, F.lit(0)), "fn": F.greatest(e - c, F.lit(0))})
 
 
-def ml_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """AUROC, AUPRC and the figures at a threshold of (label, prob) rows.
+def ml_metrics(scored: DataFrame, threshold: float = 0.5, keys: list[str] | None = None) -> DataFrame:
+    """AUROC, AUPRC and the figures at a threshold of (label, prob) rows, by ``keys`` if there are any.
 
     Rows of one probability count together; the curves are sums over distinct
     probabilities, which partial sums by a thousandth keep from one task.
     """
-    per = scored.groupBy("prob").agg(F.sum(F.col("label").cast("bigint")).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+    keys = keys or []
+    per = scored.groupBy(*keys, "prob").agg(F.sum(F.col("label").cast("bigint")).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
     per = per.withColumn("band", F.floor(F.col("prob") * 1000))
-    bands = per.groupBy("band").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
-    above = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)  # a thousand rows
-    bands = bands.select("band", F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("ap"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("an"))
-    within = Window.partitionBy("band").orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
-    per = per.join(bands, "band").withColumns({"tp": F.col("ap") + F.sum("p").over(within), "fp": F.col("an") + F.sum("n").over(within)})
+    bands = per.groupBy(*keys, "band").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)  # a thousand rows
+    bands = bands.select(*keys, "band", F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("ap"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("an"))
+    within = Window.partitionBy(*keys, "band").orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
+    per = per.join(bands, [*keys, "band"]).withColumns({"tp": F.col("ap") + F.sum("p").over(within), "fp": F.col("an") + F.sum("n").over(within)})
     area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2))
     ap = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
     hit = F.col("prob") >= threshold
     s = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
-    out = per.agg(area.alias("area"), ap.alias("ap"), F.sum("p").alias("pos"), F.sum("n").alias("neg"), s("p", hit).alias("tp"), s("n", hit).alias("fp"))
+    out = per.groupBy(*keys).agg(area.alias("area"), ap.alias("ap"), F.sum("p").alias("pos"), F.sum("n").alias("neg"), s("p", hit).alias("tp"), s("n", hit).alias("fp"))
     precision, recall = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("pos"))
+    counts = [F.col("pos").alias("n_pos"), (F.col("pos") + F.col("neg")).alias("n_total")] if keys else []
     return out.select(
-        ratio(F.col("area"), F.col("pos") * F.col("neg")).alias("auroc"), ratio(F.col("ap"), F.col("pos")).alias("auprc"), precision.alias("precision"), recall.alias("recall"),
-        ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("pos")).alias("f1"),
+        *keys, ratio(F.col("area"), F.col("pos") * F.col("neg")).alias("auroc"), ratio(F.col("ap"), F.col("pos")).alias("auprc"), precision.alias("precision"), recall.alias("recall"),
+        ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("pos")).alias("f1"), *counts,
     )
 
 
 def group_fold(sample: Column, n: int = 5) -> Column:
-    """Fold of a sample: all its rows are in one."""
-    return F.pmod(F.xxhash64(sample), F.lit(n))
+    """Fold of a sample, by its MD5: all its rows are in one, and any engine gives it the same."""
+    return (F.conv(F.substring(F.md5(sample.cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") % n).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alleles, stats
 from ..functions import sequence as S
-from ..operators import calls, graph, kmers, logs, reads
+from ..operators import assembly, calls, graph, kmers, logs, reads
 from ..sources import writers
 from . import inputs as I
 from .queries import _BIAS, _ENDS, _FILTER, _SSC, allele_pairs, labelled, listed_index, parsed, query, rounded
@@ -228,7 +228,7 @@ def umi_ranking(spark, sf):
 
 def _molecules(spark, sf):
     """Molecules of whole UMI pairs: no clusters, no parts, so that SQL can follow."""
-    return reads.molecules(reads.passed(parsed(spark, sf)).withColumns({"seed_a": F.col("umi_a"), "seed_b": F.col("umi_b"), "part": F.lit(0)}))
+    return assembly.molecules(reads.passed(parsed(spark, sf)).withColumns({"seed_a": F.col("umi_a"), "seed_b": F.col("umi_b")}), bits=64)
 
 
 _MOLS = f"""{_SSC}, p AS (SELECT sample_id, umi_a, umi_b, f.seq AS fs, r.seq AS rs, f.err AS fe, r.err AS re, unnest(range(1, least(length(f.seq), length(r.seq)) + 1)) AS i

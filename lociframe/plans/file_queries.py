@@ -143,10 +143,10 @@ def result_files(spark, sf):
     return out.withColumn("vaf", F.round("vaf", 6))
 
 
-@query(f"WITH {I.SQL_DOCUMENTS}, {I.SQL_INDEX} SELECT kmer, n_molecules, 'index' AS stage, 31 AS k FROM idx WHERE n_molecules > 1")
+@query(f"WITH {I.SQL_DOCUMENTS}, {I.SQL_INDEX} SELECT kmer, n_molecules, 'index' AS stage, 31 AS k FROM idx")
 def stage_tables(spark, sf):
     path = new_path(spark, "index")
-    files.write_stage(doc_index(spark, sf).where("n_molecules > 1").select("kmer", "n_molecules"), path, "index", k=I.K)
+    files.write_stage(doc_index(spark, sf).select("kmer", "n_molecules"), path, "index", k=I.K)
     head = files.stage_header(spark, path)
     return files.read_stage(spark, path, "index").select("kmer", "n_molecules", F.lit(head["stage"]).alias("stage"), F.lit(head["k"]).alias("k"))
 

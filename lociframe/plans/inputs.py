@@ -153,13 +153,54 @@ calls AS (SELECT *, n_alt / (n_alt + n_ref) AS vaf FROM c0)"""
 
 def truth_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Variants known to be there, drawn from line items: places by part, chromosomes by supplier."""
-    li = table(spark, sf, "lineitem", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    li = table(spark, sf, "lineitem", "l_partkey", "l_suppkey", "l_quantity")
     p = F.col("l_partkey")
-    return li.where("l_linenumber = 1").select(
+    return li.select(
         F.concat(F.lit("chr"), (F.col("l_suppkey") % 5).cast("string")).alias("chrom"), (p * 7 % 9000).alias("pos"), F.substring(F.lit("ACGT"), (p * 7 % 4 + 1).cast("int"), F.lit(1)).alias("ref"),
         F.substring(F.lit("CGTAG"), (p * 7 % 5 + 1).cast("int"), F.lit(1)).alias("alt"), (F.col("l_quantity").cast("int") % 4).alias("vaf_class"),
     ).distinct()
 
 
 SQL_TRUTH = """truth AS (SELECT DISTINCT 'chr' || (l_suppkey % 5) AS chrom, l_partkey * 7 % 9000 AS pos, substr('ACGT', CAST(l_partkey * 7 % 4 + 1 AS INT), 1) AS ref,
-  substr('CGTAG', CAST(l_partkey * 7 % 5 + 1 AS INT), 1) AS alt, CAST(l_quantity AS INT) % 4 AS vaf_class FROM lineitem WHERE l_linenumber = 1)"""
+  substr('CGTAG', CAST(l_partkey * 7 % 5 + 1 AS INT), 1) AS alt, CAST(l_quantity AS INT) % 4 AS vaf_class FROM lineitem)"""
+
+
+def user_molecules(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Molecules (sample_id, target_id, molecule_id, seq), one per event, and targets (target_id, seq), one per user.
+
+    Every 23rd molecule differs from its target by a base, of these every other one by a base that is missing.
+    """
+    e = spread(table(spark, sf, "events", "event_id", "user_id"))
+    user, at = F.col("user_id").cast("string"), ((F.col("event_id") * 29 + F.col("user_id")) % 128).cast("int")
+    t = F.concat(*(dna(F.concat(user, F.lit(x))) for x in "abcd"))
+    base = F.when(F.col("event_id") % 46 == 0, F.lit("")).otherwise(F.translate(F.substring(t, at + 1, F.lit(1)), "ACGT", "CGTA"))
+    changed = F.concat(F.substring(t, F.lit(1), at), base, F.substring(t, at + 2, F.lit(128)))
+    e = e.select(F.concat(F.lit("u"), user).alias("target_id"), F.col("event_id").alias("molecule_id"), t.alias("target"), F.when(F.col("event_id") % 23 == 0, changed).otherwise(t).alias("seq"))
+    return e.select(F.lit("s").alias("sample_id"), "target_id", "molecule_id", "seq"), e.select("target_id", F.col("target").alias("seq")).distinct()
+
+
+SQL_USER_MOLECULES = f"""um0 AS (SELECT event_id, 'u' || user_id AS target_id, {" || ".join(_T.format(x) for x in "abcd")} AS t, (event_id * 29 + user_id) % 128 AS p FROM events),
+um AS (SELECT target_id, event_id, t, CASE WHEN event_id % 23 = 0 THEN substr(t, 1, p) || CASE WHEN event_id % 46 = 0 THEN '' ELSE translate(substr(t, p + 1, 1), 'ACGT', 'CGTA') END || substr(t, p + 2) ELSE t END AS seq FROM um0),
+targets AS MATERIALIZED (SELECT DISTINCT target_id, t AS seq FROM um),
+nodes AS MATERIALIZED (SELECT target_id, raw, substr(raw, 1, 30) AS front, count(*) AS n FROM (SELECT target_id, substr(seq, i, 31) AS raw FROM (SELECT *, unnest(range(1, greatest(length(seq) - 29, 1))) AS i FROM um)) GROUP BY ALL)"""
+
+
+def long_umis(spark: SparkSession, sf: str) -> DataFrame:
+    """(sample_id, umi_a, umi_b, n, first_ord): UMI pairs of twice 12 bases, one per user; every fifth event has a base changed, every 15th two."""
+    e = spread(table(spark, sf, "events", "event_id", "user_id"))
+    change = lambda s, at: F.concat(F.substring(s, F.lit(1), at), F.translate(F.substring(s, at + 1, F.lit(1)), "ACGT", "CGTA"), F.substring(s, at + 2, F.lit(24)))
+    p = (F.col("event_id") % 24).cast("int")
+    u = F.substring(dna(F.concat(F.col("user_id").cast("string"), F.lit("u"))), 1, 24)
+    e = e.select("event_id", F.concat(F.lit("s"), (F.col("user_id") % 2).cast("string")).alias("sample_id"), F.when(F.col("event_id") % 5 == 0, change(u, p)).otherwise(u).alias("u"), p.alias("p"))
+    e = e.withColumn("u", F.when(F.col("event_id") % 15 == 0, change(F.col("u"), (F.col("p") + 7) % 24)).otherwise(F.col("u")))
+    return e.groupBy("sample_id", F.substring("u", 1, 12).alias("umi_a"), F.substring("u", 13, 12).alias("umi_b")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_ord"))
+
+
+def _changed(s: str, at: str) -> str:
+    return f"substr({s}, 1, {at}) || translate(substr({s}, {at} + 1, 1), 'ACGT', 'CGTA') || substr({s}, {at} + 2)"
+
+
+SQL_LONG_UMIS = f"""lu AS (SELECT event_id, 's' || (user_id % 2) AS sample_id, event_id % 24 AS p, substr({_T.format("u")}, 1, 24) AS u FROM events),
+lu1 AS (SELECT event_id, sample_id, p, CASE WHEN event_id % 5 = 0 THEN {_changed("u", "p")} ELSE u END AS u FROM lu),
+lu2 AS (SELECT event_id, sample_id, CASE WHEN event_id % 15 = 0 THEN {_changed("u", "(p + 7) % 24")} ELSE u END AS u FROM lu1),
+long_umis AS MATERIALIZED (SELECT sample_id, substr(u, 1, 12) AS umi_a, substr(u, 13, 12) AS umi_b, count(*) AS n, min(event_id) AS first_ord FROM lu2 GROUP BY ALL)"""

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import calls, graph, kmers, reads
+from ..operators import assembly, calls, graph, kmers, reads, umis
 from ..sources.shared import written
 from .config import RunConfig
 
@@ -33,9 +33,11 @@ def assemble(read_pairs: DataFrame, config: RunConfig = RunConfig(), keep: Calla
     """Parsed reads, and molecules with their consensus; ``keep`` holds on to reads that several steps take."""
     parsed = reads.parse_reads(read_pairs, config.layout, config.min_umi_quality, config.min_template_length)
     good = keep(reads.passed(parsed))
-    seeds = reads.cluster_umis(reads.umi_counts(good), config.max_hamming_distance)
+    counts = reads.umi_counts(good)
+    # Short UMIs have few enough pairs in a bucket; longer ones meet by shared segments.
+    seeds = (reads if config.layout.umi <= reads.SHORT else umis).cluster_umis(counts, config.max_hamming_distance)
     rows = good.join(seeds.select("sample_id", "umi_a", "umi_b", "seed_a", "seed_b"), ["sample_id", "umi_a", "umi_b"])
-    return parsed, reads.molecules(keep(reads.split_families(keep(rows))), config.min_family_size)
+    return parsed, assembly.molecules(keep(rows), config.min_family_size)
 
 
 def index(molecules: DataFrame, targets: DataFrame, config: RunConfig = RunConfig(), *extra: DataFrame, two_pass: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -52,8 +54,8 @@ def find_paths(targets: DataFrame, occurrences: DataFrame, evidence: DataFrame,
     extra = graph.JUNCTION_EXTRA if junctions is not None else 0
     paths = keep(graph.walk_paths(targets, nodes, config.kmer_size, config.max_paths, extra=extra))
     if junctions is not None:
-        samples = occurrences.select("sample_id").distinct()
-        made = graph.tandem_duplications(targets, junctions).join(F.broadcast(samples)).select("sample_id", "target_id", "path_seq")
+        samples = nodes.select("sample_id", "target_id").distinct()
+        made = graph.tandem_duplications(targets, junctions).join(samples, "target_id").select("sample_id", "target_id", "path_seq")
         made = made.join(paths.select("sample_id", "target_id", "path_seq"), ["sample_id", "target_id", "path_seq"], "left_anti")
         paths = paths.unionByName(made.withColumns({"is_reference": F.lit(False), "n_kmers": F.length("path_seq") - config.kmer_size + 1, "budget_hit": F.lit(False)}))
     return paths, graph.rank_paths(graph.path_evidence(paths, evidence, config.kmer_size))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alleles, stats
 from ..functions import sequence as S
-from ..operators import calls, explore, graph, kmers, ml, reads, scoring
+from ..operators import assembly, calls, explore, graph, kmers, ml, ranges, reads, scoring, umis
 from ..sources import writers
 from ..sources.shared import new_path, written
 from . import inputs as I
@@ -158,11 +158,34 @@ def umi_hamming_pairs(spark, sf):
     return found.select("sample_id", "umi_a_1", "umi_b_1", "umi_a_2", "umi_b_2", F.col("distance").cast("bigint").alias("distance"))
 
 
-@query()
+def _greedy(rows: str, group: str, distance: int) -> str:
+    """SQL of the greedy rule: UMI pairs one by one in their order, each with the seeds so far; ``rows`` has sample_id, umi_a, umi_b, n, first_ord."""
+    return f"""ordered AS MATERIALIZED (SELECT *, {group} AS grp, row_number() OVER (PARTITION BY sample_id, {group} ORDER BY n DESC, first_ord) AS r FROM {rows}),
+  rec(sample_id, grp, r, umi_a, umi_b, n, first_ord, seeds, seed) AS (
+    SELECT sample_id, grp, r, umi_a, umi_b, n, first_ord, [umi_a || umi_b], umi_a || umi_b FROM ordered WHERE r = 1
+    UNION ALL
+    SELECT sample_id, grp, r, umi_a, umi_b, n, first_ord, CASE WHEN near IS NULL THEN list_append(seeds, umi_a || umi_b) ELSE seeds END, coalesce(near, umi_a || umi_b)
+    FROM (SELECT o.*, p.seeds, list_filter(p.seeds, lambda s: hamming(s, o.umi_a || o.umi_b) <= {distance})[1] AS near FROM rec p JOIN ordered o ON o.sample_id = p.sample_id AND o.grp = p.grp AND o.r = p.r + 1))
+  SELECT sample_id, umi_a, umi_b, n, first_ord, substr(seed, 1, length(umi_a)) AS seed_a, substr(seed, length(umi_a) + 1) AS seed_b FROM rec"""
+
+
+@query(f"""WITH RECURSIVE {I.SQL_READS}, u AS (SELECT sample_id, umi_a, umi_b, count(*) AS n, min(read_ord) AS first_ord FROM good GROUP BY ALL), {_greedy("u", "substr(umi_a, 1, 3)", 2)}""")
 def umi_directional_clusters(spark, sf):
     return reads.cluster_umis(reads.umi_counts(reads.passed(parsed(spark, sf))), 2)
 
 
+@query(f"""WITH RECURSIVE {I.SQL_LONG_UMIS}, {_greedy("long_umis", "0", 2)}""")
+def umi_long_clusters(spark, sf):
+    return umis.cluster_umis(I.long_umis(spark, sf), 2)
+
+
+@query(f"""WITH {I.SQL_LONG_UMIS}, o AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY n DESC, first_ord) AS r FROM long_umis)
+  SELECT a.sample_id, a.umi_a AS umi_a_1, a.umi_b AS umi_b_1, b.umi_a AS umi_a_2, b.umi_b AS umi_b_2, CAST(hamming(a.umi_a || a.umi_b, b.umi_a || b.umi_b) AS INTEGER) AS distance
+  FROM o a JOIN o b ON a.sample_id = b.sample_id AND a.r < b.r WHERE hamming(a.umi_a || a.umi_b, b.umi_a || b.umi_b) <= 3""")
+def umi_long_pairs(spark, sf):
+    return umis.neighbours(I.long_umis(spark, sf), 3).select("sample_id", "umi_a_1", "umi_b_1", "umi_a_2", "umi_b_2", F.col("distance").cast("int").alias("distance"))
+
+
 def _end(s):
     return f"rpad(translate(substr({s}, 1, 8), 'ACGT', '0123'), 8, '0')"
 
@@ -182,22 +205,28 @@ def endpoint_fingerprints(spark, sf):
 @query(f"""WITH {I.SQL_READS}, {_FP}, v AS (SELECT sample_id, read_ord, CAST(u AS UBIGINT) AS u, lead(CAST(u AS UBIGINT)) OVER (PARTITION BY sample_id ORDER BY read_ord) AS w FROM fp)
   SELECT sample_id, read_ord, bit_count(xor(u, w)) <= 4 AS direct, bit_count(xor(u, w)) <= 4 OR bit_count(xor(u, CAST((CAST(w AS HUGEINT) % 4294967296) * 4294967296 + CAST(w AS HUGEINT) // 4294967296 AS UBIGINT))) <= 4 AS either FROM v WHERE w IS NOT NULL""")
 def fingerprint_compat(spark, sf):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("sample_id").orderBy("read_ord")
-    rows = parsed(spark, sf).select("sample_id", "read_ord", "fingerprint", F.lead("fingerprint").over(order).alias("w")).where("w is not null")
+    rows = written(ranges.ranked(parsed(spark, sf).select("sample_id", "read_ord", "fingerprint"), ["sample_id"], "read_ord"))
+    rows = rows.join(rows.select("sample_id", (F.col("rank") - 1).alias("rank"), F.col("fingerprint").alias("w")), ["sample_id", "rank"])
     a, b = F.col("fingerprint"), F.col("w")
     return rows.select("sample_id", "read_ord", S.compatible(a, b).alias("direct"), S.duplex_compatible(a, b).alias("either"))
 
 
 def family_reads(spark, sf):
     rows = reads.passed(parsed(spark, sf)).withColumns({"seed_a": F.col("umi_a"), "seed_b": F.col("umi_b")})
-    return reads.split_families(rows)
-
-
-@query()
+    return rows
+
+
+@query(f"""WITH RECURSIVE {I.SQL_READS}, {_FP}, fr AS MATERIALIZED (SELECT g.sample_id, g.umi_a, g.umi_b, g.read_ord, CAST(fp.u AS UBIGINT) AS u, CAST(CAST(fp.u AS HUGEINT) % 4294967296 * 4294967296 + CAST(fp.u AS HUGEINT) // 4294967296 AS UBIGINT) AS turned,
+    row_number() OVER (PARTITION BY g.sample_id, g.umi_a, g.umi_b ORDER BY g.read_ord) AS r FROM good g JOIN fp ON fp.sample_id = g.sample_id AND fp.read_ord = g.read_ord),
+  rec(sample_id, umi_a, umi_b, read_ord, r, heads, part) AS (
+    SELECT sample_id, umi_a, umi_b, read_ord, r, [u], CAST(0 AS BIGINT) FROM fr WHERE r = 1
+    UNION ALL
+    SELECT sample_id, umi_a, umi_b, read_ord, r, CASE WHEN hit > 0 THEN heads ELSE list_append(heads, u) END, CAST(CASE WHEN hit > 0 THEN hit - 1 ELSE len(heads) END AS BIGINT)
+    FROM (SELECT f.*, p.heads, coalesce(list_position(list_transform(p.heads, lambda h: bit_count(xor(h, f.u)) <= 4 OR bit_count(xor(h, f.turned)) <= 4), true), 0) AS hit
+      FROM rec p JOIN fr f ON f.sample_id = p.sample_id AND f.umi_a = p.umi_a AND f.umi_b = p.umi_b AND f.r = p.r + 1))
+  SELECT sample_id, read_ord, part FROM rec""")
 def family_split(spark, sf):
-    return family_reads(spark, sf).select("sample_id", "read_ord", "part")
+    return assembly.split_families(family_reads(spark, sf).select(*assembly.FAMILY, "read_ord", "fingerprint")).select("sample_id", "read_ord", "part")
 
 
 _SSC = """b AS (SELECT sample_id, umi_a, umi_b, strand, pos, substr(CASE WHEN strand = 'Forward' THEN template_r1 ELSE template_r2 END, pos + 1, 1) AS base, 1 - pow(10.0, -q / 10.0) AS w
@@ -209,14 +238,15 @@ ssc AS (SELECT sample_id, umi_a, umi_b, strand, string_agg(base, '' ORDER BY pos
 
 @query(f"WITH {I.SQL_READS}, {_SSC} SELECT sample_id, umi_a, umi_b, strand, seq, round(list_avg(err), 6) AS mean_err FROM ssc")
 def ssc_consensus(spark, sf):
-    return _consensus(spark, sf).select("sample_id", "umi_a", "umi_b", "strand", "seq", F.round(_mean("err"), 6).alias("mean_err"))
+    side = lambda s, c: F.struct(F.lit(s).alias("strand"), F.col(c).alias("c"))
+    rows = _called(spark, sf).select("sample_id", "umi_a", "umi_b", F.explode(F.array(side("Forward", "consensus_fwd"), side("Reverse", "consensus_rev"))).alias("s"))
+    rows = rows.where("s.c is not null").select("sample_id", "umi_a", "umi_b", "s.strand", "s.c.*")
+    return rows.select("sample_id", "umi_a", "umi_b", "strand", "seq", F.round(_mean("err"), 6).alias("mean_err"))
 
 
-def _consensus(spark, sf):
-    rows = reads.passed(parsed(spark, sf))
-    fwd = F.col("strand") == "Forward"
-    rows = rows.withColumns({"seq": F.when(fwd, F.col("template_r1")).otherwise(F.col("template_r2")), "qual": F.when(fwd, F.col("qual_r1")).otherwise(F.col("qual_r2"))})
-    return reads.strand_consensus(rows, ["sample_id", "umi_a", "umi_b", "strand"])
+def _called(spark, sf):
+    """Consensus of whole UMI pairs: no clusters, no parts."""
+    return assembly.called(family_reads(spark, sf), bits=64).withColumnsRenamed({"seed_a": "umi_a", "seed_b": "umi_b"})
 
 
 def _mean(err):
@@ -229,10 +259,8 @@ def _mean(err):
     CASE WHEN substr(fs, i, 1) = substr(rs, i, 1) THEN fe[i] * re[i] ELSE least(fe[i], re[i]) END AS err FROM p)
   SELECT sample_id, umi_a, umi_b, string_agg(base, '' ORDER BY i) AS seq, round(avg(err), 6) AS mean_err FROM d GROUP BY ALL""")
 def duplex_consensus(spark, sf):
-    both = _consensus(spark, sf)
-    side = lambda s, p: both.where(F.col("strand") == s).select("sample_id", "umi_a", "umi_b", F.col("seq").alias(f"{p}s"), F.col("err").alias(f"{p}e"))
-    pair = side("Forward", "f").join(side("Reverse", "r"), ["sample_id", "umi_a", "umi_b"])
-    pair = pair.withColumn("d", reads.duplex_consensus(F.col("fs"), F.col("fe"), F.col("rs"), F.col("re")))
+    pair = _called(spark, sf).where("consensus_fwd is not null and consensus_rev is not null")
+    pair = pair.withColumn("d", reads.duplex_consensus(F.col("consensus_fwd.seq"), F.col("consensus_fwd.err"), F.col("consensus_rev.seq"), F.col("consensus_rev.err")))
     return pair.select("sample_id", "umi_a", "umi_b", "d.seq", F.round(_mean(F.col("d.err")), 6).alias("mean_err"))
 
 
@@ -247,7 +275,7 @@ def assembly_stats(spark, sf):
 
 @query()
 def molecule_table(spark, sf):
-    return reads.molecule_dump(reads.molecules(family_reads(spark, sf)))
+    return reads.molecule_dump(assembly.molecules(family_reads(spark, sf)))
 
 
 _RK = """rk AS (SELECT kmer, family_type, err FROM (SELECT family_type, err, substr(seq, i, 31) AS raw, least(substr(seq, i, 31), reverse(translate(substr(seq, i, 31), 'ACGT', 'TGCA'))) AS kmer
@@ -383,14 +411,10 @@ def ti_tolerance(spark, sf):
     return calls.near_matches(I.call_rows(spark, sf), I.truth_rows(spark, sf), 3).select("call_id")
 
 
-@query(f"""WITH {I.SQL_DOCUMENTS}, {I.SQL_PANEL}, d AS (SELECT molecule_id, 't' || (molecule_id % 40) AS target_id, seq FROM docs)
-  SELECT molecule_id FROM d WHERE EXISTS (SELECT 1 FROM panel p WHERE p.target_id = d.target_id AND strpos(d.seq, substr(p.seq, 1, 40)) > 0 AND substr(d.seq, strpos(d.seq, substr(p.seq, 1, 40)), length(p.seq)) = p.seq)""")
+@query(f"""WITH {I.SQL_DOCUMENTS}, {I.SQL_PANEL} SELECT molecule_id FROM docs d WHERE EXISTS (SELECT 1 FROM panel p WHERE length(p.seq) >= 31 AND contains(d.seq, p.seq))""")
 def ti_sequence(spark, sf):
-    d = I.documents(spark, sf).withColumn("target_id", F.concat(F.lit("t"), (F.col("molecule_id") % 40).cast("string")))
-    p = I.panel(spark, sf).withColumnRenamed("seq", "alt_seq")
-    found = d.join(p, "target_id")
-    at = F.instr("seq", F.substring("alt_seq", 1, 40))
-    return found.where((at > 0) & (F.substring(F.col("seq"), at, F.length("alt_seq")) == F.col("alt_seq"))).select("molecule_id").distinct()
+    found = calls.containing(I.documents(spark, sf).select("molecule_id", "seq"), I.panel(spark, sf), "molecule_id", I.K)
+    return found.select("molecule_id").distinct()
 
 
 @query(f"""WITH {I.SQL_CALLS}, {I.SQL_TRUTH}, d AS (SELECT chrom, pos, count(*) AS depth FROM truth GROUP BY ALL) SELECT call_id, (SELECT arg_min(depth, (abs(d.pos - c.pos), d.pos)) FROM d WHERE d.chrom = c.chrom) AS depth FROM calls c""")
@@ -580,6 +604,34 @@ def ml_metrics(spark, sf):
     return rounded(scoring.ml_metrics(rows), "auroc", "auprc", "precision", "recall", "f1")
 
 
+_FOLDS = """f AS (SELECT (o_orderkey * 7919 % 1000) / 1000.0 AS prob, CASE WHEN o_orderkey % 13 + o_custkey % 4 > 8 THEN 1 ELSE 0 END AS label, CAST(CAST('0x' || substr(md5('s' || (o_custkey % 40)), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold FROM orders)"""
+
+
+@query(f"""WITH {_FOLDS}, p AS (SELECT fold, prob, sum(label) AS p, count(*) - sum(label) AS n FROM f GROUP BY fold, prob),
+  c AS (SELECT *, sum(p) OVER (PARTITION BY fold ORDER BY prob DESC) AS tp, sum(n) OVER (PARTITION BY fold ORDER BY prob DESC) AS fp FROM p),
+  a AS (SELECT fold, sum(n * (tp - p / 2)) AS area, sum(p * tp / (tp + fp)) AS ap, sum(p) AS pos, sum(n) AS neg, coalesce(sum(p) FILTER (prob >= 0.5), 0) AS tp, coalesce(sum(n) FILTER (prob >= 0.5), 0) AS fp FROM c GROUP BY fold)
+  SELECT fold, round(area / (pos * neg), 6) AS auroc, round(ap / pos, 6) AS auprc, round(tp / (tp + fp), 6) AS precision, round(tp / pos, 6) AS recall, round(2 * tp / (tp + fp + pos), 6) AS f1, CAST(pos AS BIGINT) AS n_pos, CAST(pos + neg AS BIGINT) AS n_total FROM a""")
+def fold_metrics(spark, sf):
+    """Figures by fold of given scores; folds keep samples whole."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = I.table(spark, sf, "orders", "o_orderkey", "o_custkey").select(
+        (k * 7919 % 1000 / F.lit(1000.0)).alias("prob"), (k % 13 + c % 4 > 8).cast("int").alias("label"), scoring.group_fold(F.concat(F.lit("s"), (c % 40).cast("string"))).alias("fold")
+    )
+    return rounded(scoring.ml_metrics(o, keys=["fold"]), "auroc", "auprc", "precision", "recall", "f1")
+
+
+@query("""SELECT CAST(CAST('0x' || substr(md5('s' || (o_custkey % 40)), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold, count(*) AS n_rows, count(*) FILTER (o_orderkey % 13 + o_custkey % 4 > 8) AS n_pos, true AS better_than_chance, true AS within_one FROM orders GROUP BY ALL""")
+def cross_validation(spark, sf):
+    """Boosted trees fitted on the other folds and scored on their own; labels follow counts that the features show."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = I.table(spark, sf, "orders", "o_orderkey", "o_custkey").select(
+        F.concat(F.lit("s"), (c % 40).cast("string")).alias("sample_id"), (k % 13).cast("double").alias("nalt"), (c % 4).cast("double").alias("ndup"), (k % 13 + c % 4 > 8).cast("int").alias("label")
+    )
+    scored, metrics = ml.cross_validate(o, ["nalt", "ndup"], "sample_id", rounds=5)
+    rows = scored.groupBy("fold").agg(F.count("*").alias("n_rows"), F.sum(F.col("label").cast("bigint")).alias("n_pos"), F.bool_and(F.col("prob").between(0, 1)).alias("within_one"))
+    return rows.join(metrics.select("fold", (F.col("auroc") > 0.9).alias("better_than_chance")), "fold")
+
+
 # --- features
 
 
@@ -749,3 +801,20 @@ def stream_index(spark, sf):
     index = IncrementalIndex(spark, f"{path}/index", keys=NO_SAMPLE)
     index.start(rows, f"{path}/checkpoint").awaitTermination()
     return index.read()
+
+
+@query(f"""WITH {I.SQL_READS}, o AS (SELECT sample_id, umi_a, umi_b, min(read_ord) AS first_ord FROM good GROUP BY ALL)
+  SELECT sample_id, umi_a, umi_b, fwd_reads, rev_reads, first_ord, CASE WHEN fwd_reads > 0 AND rev_reads > 0 THEN 'Duplex' WHEN fwd_reads + rev_reads = 1 THEN 'Singleton' WHEN fwd_reads > 0 THEN 'SimplexFwd' ELSE 'SimplexRev' END AS family_type
+  FROM fams JOIN o USING (sample_id, umi_a, umi_b)""")
+def stream_families(spark, sf):
+    """Reads arrive in two parts; the stream ends after the first, and is started again from its checkpoint for the second."""
+    from ..streaming.incremental import RunningFamilies
+
+    path = new_path(spark, "families")
+    rows = reads.passed(parsed(spark, sf)).select("sample_id", "umi_a", "umi_b", "strand", "read_ord")
+    families = RunningFamilies(spark, f"{path}/state")
+    for part in (0, 1):
+        rows.where(F.col("read_ord") % 2 == part).write.mode("append").parquet(f"{path}/reads")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/reads")
+        families.start(stream, f"{path}/checkpoint").awaitTermination()
+    return families.read()

@@ -2,77 +2,76 @@
 
 from __future__ import annotations
 
-import gzip
-import io
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions import sequence as S
+from .shared import written
 
 READS = "sample_id string, read_ord bigint, r1_seq string, r1_qual string, r2_seq string, r2_qual string"
 
 
-def _records(text: io.TextIOBase) -> Iterator[tuple[str, str]]:
-    while head := text.readline():
-        seq, plus, qual = (text.readline().rstrip("\r\n") for _ in range(3))
-        if not head.startswith("@") or not plus.startswith("+") or len(seq) != len(qual):
-            raise ValueError(f"not a FASTQ record: {head.strip()[:80]}")
-        yield seq, qual
-
-
-class PairedFastq(DataSource):
-    """``spark.read.format("paired_fastq").option("pairs", "sample,r1,r2;…")``: both files of a pair in lockstep, one task per pair.
-
-    The files must be readable where tasks run.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "paired_fastq"
-
-    def schema(self) -> str:
-        return READS
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _PairReader(self.options)
-
-
 #: Bits of ``read_ord`` for the place in a pair of files; above them is the number of the pair within its sample.
 LANE_BITS = 40
+#: Bits of a row's number within its task.
+_PLACE = 33
 
 
-class _PairReader(DataSourceReader):
-    def __init__(self, options):
-        self.pairs = [tuple(p.split(",")) for p in options["pairs"].split(";") if p]
+def _file_uri(path: Column) -> Column:
+    """A file's address in one spelling: engines write local ones with one slash or three."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
 
-    def partitions(self):
-        lanes: dict[str, int] = {}
-        out = []
-        for sample, *paths in self.pairs:
-            lane = lanes[sample] = lanes.get(sample, -1) + 1
-            out.append(InputPartition((sample, lane, *paths)))
-        return out
 
-    def read(self, partition):
-        sample, lane, *paths = partition.value
-        opened = []
-        for p in paths:
-            raw = open(p.removeprefix("file://").removeprefix("file:"), "rb")  # noqa: SIM115
-            zipped = raw.peek(2)[:2] == b"\x1f\x8b"
-            opened.append(io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if zipped else raw, "ascii"))
-        sides = [_records(f) for f in opened]
-        for n, (a, b) in enumerate(zip(*sides, strict=True)):  # differing numbers of reads raise
-            yield (sample, lane << LANE_BITS | n, *a, *b)
+def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, line, value) of text files, plain or compressed, wherever Spark can read; ``line`` counts from 0 in each file.
+
+    A file's splits are read by tasks of their own. Each split's lines are
+    counted first, one row a split, and the counts before it are added to a
+    line's place within it.
+    """
+    lines = spark.read.option("lineSep", "\n").text(paths)
+    lines = lines.select(_file_uri(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("value"))
+    per = lines.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    per = written(per.select("file", "split", "low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "splits")
+    return lines.join(per, ["file", "split"]).select("file", (F.col("before") + F.col("id") - F.col("low")).alias("line"), "value")
 
 
 def read_fastq_pairs(spark: SparkSession, pairs: list[tuple[str, str, str]]) -> DataFrame:
-    """(sample, r1, r2) paths, plain or gz -> reads."""
-    spark.dataSource.register(PairedFastq)
-    return spark.read.format("paired_fastq").option("pairs", ";".join(map(",".join, pairs))).load()
+    """(sample, r1, r2) paths, plain or compressed -> reads; ``read_ord`` is the place in the files.
+
+    Both files' lines meet by sample, pair and record in one shuffle, so a pair
+    of files may be read by any number of tasks (a gzip file by one, since it
+    cannot be split). Records that aren't FASTQ and files of differing lengths
+    raise. A sample may have several pairs of files.
+    """
+    if not pairs:
+        return spark.createDataFrame([], READS)
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+
+    def address(path):
+        p = hadoop(path)
+        return p.getFileSystem(conf).makeQualified(p).toUri().toString()
+
+    lanes: dict[str, int] = {}
+    rows = []
+    for sample, *paths in pairs:
+        lane = lanes[sample] = lanes.get(sample, -1) + 1
+        rows += [(sample, lane, side, address(p)) for side, p in enumerate(paths, 1)]
+    where = spark.createDataFrame(rows, "sample_id string, lane long, side int, address string").select("sample_id", "lane", "side", _file_uri(F.col("address")).alias("file"))
+    lines = numbered_lines(spark, list(dict.fromkeys(p for _, *two in pairs for p in two))).join(where, "file")
+    part = lambda side, i: F.max(F.when((F.col("side") == side) & (F.col("line") % 4 == i), F.col("value")))
+    names = ("head", "seq", "plus", "qual")
+    records = lines.groupBy("sample_id", "lane", F.floor(F.col("line") / 4).alias("record")).agg(*(part(side, i).alias(f"{n}{side}") for side in (1, 2) for i, n in enumerate(names)))
+    good = [F.col(f"head{s}").startswith("@") & F.col(f"plus{s}").startswith("+") & (F.length(f"seq{s}") == F.length(f"qual{s}")) for s in (1, 2)]
+    # Blank lines at a file's end are no record.
+    empty = F.concat(*(F.coalesce(f"{n}{s}", F.lit("")) for s in (1, 2) for n in names)) == ""
+    bad = F.raise_error(F.concat(F.lit("not a FASTQ record in both files of a pair: "), F.coalesce(F.substring("head1", 1, 80), F.substring("head2", 1, 80), F.lit(""))))
+    ok = F.coalesce(good[0] & good[1], F.lit(False))
+    records = records.where(~empty).where(F.when(ok, F.lit(True)).otherwise(bad.cast("boolean")))
+    place = F.shiftleft("lane", LANE_BITS) + F.col("record")
+    return records.select("sample_id", place.alias("read_ord"), F.col("seq1").alias("r1_seq"), F.col("qual1").alias("r1_qual"), F.col("seq2").alias("r2_seq"), F.col("qual2").alias("r2_qual"))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:

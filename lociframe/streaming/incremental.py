@@ -5,11 +5,10 @@ Records have no event time, so there is no watermark: state ends with the input.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sequence as S
 from ..operators import kmers
 
 FAMILY = "sample_id string, umi_a string, umi_b string, fwd_reads long, rev_reads long, first_ord long"
@@ -39,28 +38,37 @@ class IncrementalIndex:
         self.read().write.mode("overwrite").parquet(f"{path}/batch=0")
 
 
-def stream_families(stream: DataFrame, bucket_bases: int = 3) -> DataFrame:
+def stream_families(stream: DataFrame) -> DataFrame:
     """Running strand counts of UMI families (umi_a, umi_b, strand, read_ord, and sample_id, else null), as updates.
 
-    State is kept per sample and bucket of UMIs, whose number and size the UMI length bounds.
+    State is kept per family in Spark's state store, so a batch reads and
+    writes those of its own reads only.
     """
-
-    def update(key, batches: Iterator, state):
-        import pandas as pd
-
-        known = {(a, b): (f, r, o) for a, b, f, r, o in zip(*state.get)} if state.exists else {}
-        changed = set()
-        for pdf in batches:
-            for a, b, s, o in zip(pdf.umi_a, pdf.umi_b, pdf.strand, pdf.read_ord):
-                f, r, first = known.get((a, b), (0, 0, o))
-                known[a, b] = (f + (s == "Forward"), r + (s != "Forward"), min(first, o))
-                changed.add((a, b))
-        rows = [(*k, *v) for k, v in known.items()]
-        state.update(tuple(map(list, zip(*rows))))
-        out = [(key[0], *k, *known[k]) for k in sorted(changed)]
-        yield pd.DataFrame(out, columns=["sample_id", "umi_a", "umi_b", "fwd_reads", "rev_reads", "first_ord"])
-
-    lists = "umi_a array<string>, umi_b array<string>, fwd array<long>, rev array<long>, ord array<long>"
     sample = F.col("sample_id") if "sample_id" in stream.columns else F.lit(None).cast("string").alias("sample_id")
-    keyed = stream.select(sample, "umi_a", "umi_b", "strand", "read_ord", F.substring("umi_a", 1, bucket_bases).alias("bucket"))
-    return keyed.groupBy("sample_id", "bucket").applyInPandasWithState(update, FAMILY, lists, "update", "NoTimeout")
+    rows = stream.select(sample, "umi_a", "umi_b", "strand", F.col("read_ord").cast("long").alias("read_ord"))
+    of = lambda s: F.count_if(s)
+    return rows.groupBy("sample_id", "umi_a", "umi_b").agg(
+        of(F.col("strand") == "Forward").alias("fwd_reads"), of(F.col("strand") != "Forward").alias("rev_reads"), F.min("read_ord").alias("first_ord")
+    )
+
+
+class RunningFamilies:
+    """Families that grow with a stream: each batch writes those that it changed, the last one of a family counts.
+
+    Started again from its checkpoint, a stream goes on where it ended; a batch
+    that is run again replaces its own part.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def start(self, stream: DataFrame, checkpoint: str):
+        put = lambda df, n: df.write.mode("overwrite").parquet(f"{self.path}/batch={n}")
+        return stream_families(stream).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def read(self) -> DataFrame:
+        parts = self.spark.read.schema(FAMILY + ", batch long").parquet(self.path)
+        names = [f.split()[0] for f in FAMILY.split(", ")]
+        last = parts.groupBy(*names[:3]).agg(F.max_by(F.struct(*names[3:]), "batch").alias("last"))
+        families = last.select(*names[:3], "last.*")
+        return families.withColumn("family_type", S.family_type(F.col("fwd_reads"), F.col("rev_reads")))
