@@ -107,7 +107,7 @@ def clusters(nodes: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("h").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
     links = keys.join(shared, "key").where("h <> b").select(F.col("h").alias("a"), "b")
     tied = materialise(components(links), "clusters")
-    return tied.union(tied.select("root", "root").distinct()).toDF("h", "root").distinct()
+    return tied.union(tied.select("root", "root").distinct()).toDF("h", "root")
 
 
 class SignatureTree:
@@ -159,12 +159,13 @@ class SignatureTree:
         return a[a < b], b[a < b]
 
 
-def joined(h, toks, offsets, label, side, first: int, parts: int, whole: int):
-    """Links between similar sets, which are in the order of their sizes: enough of them to connect all that are similar.
+def joined(toks, offsets, label, side, first: int, parts: int, whole: int):
+    """Merges in ``label`` what is similar among sets in the order of their sizes; returns the pairs of labels merged.
 
-    ``label`` has what is known to be one component, ``side`` the block; of two
-    blocks only pairs across are compared. The set ``first`` is compared with
-    all before the tree is built, since most sets of a cluster resemble any of it.
+    ``label`` has what is known to be one component by its smallest number,
+    ``side`` the block; of two blocks only pairs across are compared. The set
+    ``first`` is compared with all before the tree is built, since most sets of
+    a cluster resemble any of it.
     """
     import numpy as np
 
@@ -189,7 +190,7 @@ def joined(h, toks, offsets, label, side, first: int, parts: int, whole: int):
             if label[i] != label[j]:
                 low, high = min(label[i], label[j]), max(label[i], label[j])
                 label[label == high] = low
-                found.append((h[i], h[j]))
+                found.append((low, high))
 
     every = np.arange(len(n))
     compare(first, every[every != first])
@@ -203,42 +204,63 @@ def joined(h, toks, offsets, label, side, first: int, parts: int, whole: int):
     return found
 
 
+def _grouped(batches, parts: int, whole: int):
+    """Groups of rows (gid, root, h, known, side, toks) -> (h, known, labels, merged), the last two as places in the distinct ``known``."""
+    import numpy as np
+    import pyarrow as pa
+
+    for t in _groups(batches, 6):
+        gid, root, h, known, side = (t.column(i).to_numpy() for i in range(5))
+        lists = t.column(5)
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        offsets, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        edges = np.flatnonzero(np.diff(gid)) + 1
+        for s, e in zip(np.concatenate(([0], edges)), np.concatenate((edges, [len(gid)]))):
+            order = s + np.lexsort((h[s:e], np.diff(offsets)[s:e]))
+            toks = np.concatenate([values[offsets[i] : offsets[i + 1]] for i in order])
+            ends = np.concatenate(([0], np.cumsum(np.diff(offsets)[order])))
+            names, label = np.unique(known[order], return_inverse=True)
+            label = label.astype(np.int64)
+            pivot = np.flatnonzero(h[order] == root[order])
+            merged = joined(toks, ends, label, side[order], int(pivot[0]) if len(pivot) else len(order) // 2, parts, whole)
+            yield h[order], names, label, merged
+
+
+def labels(sets: DataFrame, parts: int = PARTS, whole: int = WHOLE) -> DataFrame:
+    """(h, label), written: the smallest ``h`` that each set of (gid, root, h, toks) is linked to within its group; of a ``root`` no row."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for h, names, label, _ in _grouped(batches, parts, whole):
+            least = names[label]  # labels are numbers of sorted hashes, so the smallest stands for all
+            on = least != h
+            yield pa.RecordBatch.from_arrays([pa.array(h[on]), pa.array(least[on])], ["h", "label"])
+
+    rows = sets.select("gid", "root", "h", F.col("h").alias("known"), F.lit(0).alias("side"), "toks")
+    return materialise(rows.repartition("gid").sortWithinPartitions("gid", "h").mapInArrow(run, "h long, label long"), "labels")
+
+
 def links(sets: DataFrame, parts: int = PARTS, whole: int = WHOLE) -> DataFrame:
-    """Links (a, b) within the groups of (gid, root, h, known, side, toks), written; ``known`` is a set's component so far."""
+    """Links (a, b) between the components ``known`` of the sets of two blocks: (gid, root, h, known, side, toks)."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        for t in _groups(batches, 6):
-            gid, root, h, known, side = (t.column(i).to_numpy() for i in range(5))
-            lists = t.column(5).combine_chunks() if isinstance(t.column(5), pa.ChunkedArray) else t.column(5)
-            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            offsets, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-            edges = np.flatnonzero(np.diff(gid)) + 1
-            found = []
-            for s, e in zip(np.concatenate(([0], edges)), np.concatenate((edges, [len(gid)]))):
-                if e - s < 2:
-                    continue
-                order = s + np.lexsort((h[s:e], np.diff(offsets)[s:e]))
-                toks = np.concatenate([values[offsets[i] : offsets[i + 1]] for i in order])
-                ends = np.concatenate(([0], np.cumsum(np.diff(offsets)[order])))
-                label = np.unique(known[order], return_inverse=True)[1].astype(np.int64)
-                pivot = np.flatnonzero(h[order] == root[order])
-                found += joined(h[order], toks, ends, label, side[order], int(pivot[0]) if len(pivot) else len(order) // 2, parts, whole)
-            a, b = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for _, names, _, merged in _grouped(batches, parts, whole):
+            a, b = zip(*merged) if merged else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names[list(a)], pa.int64()), pa.array(names[list(b)], pa.int64())], ["a", "b"])
 
     rows = sets.select("gid", "root", "h", "known", "side", "toks")
-    return materialise(rows.repartition("gid").sortWithinPartitions("gid", "h").mapInArrow(run, "a long, b long"), "links")
+    return rows.repartition("gid").sortWithinPartitions("gid", "h").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, parts: int = PARTS, whole: int = WHOLE) -> DataFrame:
-    """Links (a, b) that connect all sets of ``nodes`` (h, n, one, keys) whose similarity is parts / whole or more.
+    """(h, root) for each set of ``nodes`` (h, n, one, keys) that links of similarity parts / whole or more connect with a smaller one.
 
     ``one`` is (doc_id, t) of a row of ``docs`` that has the set.
     """
-    members = materialise(clusters(nodes), "clusters").join(nodes.select("h", "n", "one"), "h")
+    members = clusters(nodes).join(nodes.select("h", "n", "one"), "h")
     placed = numbered(members, "root", ["n", "h"], F.greatest("n", F.lit(LEAST)), tag="placed")
     block = lambda c: F.shiftright(c, BLOCK_BITS)
     placed = placed.select("root", "h", "n", "one", block(F.col("place")).alias("block"), (block(F.col("total") - 1) + 1).alias("blocks"))
@@ -253,32 +275,30 @@ def similar(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, parts: int =
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array([shingles(t.as_py(), size) for t in b.column(5)], pa.list_(pa.int64()))], ["root", "h", "n", "block", "blocks", "toks"])
 
-    sets = texts.select("root", "h", "n", "block", "blocks", "text").mapInArrow(tokens, "root long, h long, n long, block long, blocks long, toks array<long>")
-    sets = materialise(sets.dropDuplicates(["h"]), "sets")
-    # The cluster's first set goes to all of its blocks.
+    texts = texts.dropDuplicates(["doc", "t"]).select("root", "h", "n", "block", "blocks", "text")
+    sets = materialise(texts.mapInArrow(tokens, "root long, h long, n long, block long, blocks long, toks array<long>"), "sets")
+    # The cluster's first set goes to all of its blocks, so what is linked to it has one label in all.
     everywhere = F.when(F.col("h") == F.col("root"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
     own = sets.withColumn("at", F.explode(everywhere))
-    found = links(own.select(F.xxhash64("root", "at").alias("gid"), "root", "h", F.col("h").alias("known"), F.lit(0).alias("side"), "toks"), parts, whole)
-    large = sets.where("blocks > 1").select("root", "h", "n", "block")
-    known = materialise(components(found), "known") if not large.isEmpty() else None
-    if known is None:
-        released(sets)
-        return found
-    known = large.join(known.withColumnRenamed("node", "h").withColumnRenamed("root", "known"), "h", "left").withColumn("known", F.coalesce("known", "h"))
-    known = materialise(known, "known")
-    of = known.groupBy("root", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("known").alias("k1"), F.max("known").alias("k2"))
+    found = labels(own.select(F.xxhash64("root", "at").alias("gid"), "root", "h", "toks"), parts, whole)
+    known = sets.where("blocks > 1").select("root", "h", "n", "block").join(found, "h", "left").withColumn("known", F.coalesce("label", "h"))
+    # Blocks whose sets all have the first one's label need no comparison with each other.
+    of = known.groupBy("root", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.bool_and(F.col("known") == F.col("root")).alias("one"))
     of = materialise(of, "blocks")
-    a, b = (of.select("root", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "lo", "hi", "k1", "k2"))) for s in "ab")
-    pairs = a.join(b, "root").where("block_a < block_b").where(F.col("hi_a") * whole >= F.col("lo_b") * parts)
-    pairs = materialise(pairs.where("not (k1_a = k2_a and k1_b = k2_b and k1_a = k1_b)").select("root", "block_a", "block_b"), "pairs")
-    if pairs.isEmpty():
+    a, b = (of.select("root", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "lo", "hi", "one"))) for s in "ab")
+    pairs = a.join(b, "root").where((F.col("block_a") < F.col("block_b")) & (F.col("hi_a") * whole >= F.col("lo_b") * parts) & ~(F.col("one_a") & F.col("one_b")))
+    if of.isEmpty() or pairs.isEmpty():
         released(sets)
-        return found
-    sides = pairs.select("root", "block_a", "block_b", F.explode(F.array("block_a", "block_b")).alias("block"))
+        return found.toDF("h", "root")
+    sides = materialise(pairs.select("root", "block_a", "block_b", F.explode(F.array("block_a", "block_b")).alias("block")), "pairs")
     both = sets.select("root", "h", "block", "toks").join(sides, ["root", "block"]).join(known.select("h", "known"), "h")
     across = links(both.select(F.xxhash64("root", "block_a", "block_b").alias("gid"), "root", "h", "known", (F.col("block") == F.col("block_b")).cast("int").alias("side"), "toks"), parts, whole)
+    tied = materialise(components(materialise(across, "links")), "tied").toDF("label", "least")
     released(sets)
-    return materialise(found.union(across), "links")
+    # What a label is tied to is its sets', and its own.
+    every = found.union(tied.select("label", "label"))
+    out = every.join(tied, "label", "left").select("h", F.coalesce("least", "label").alias("root")).where("h <> root")
+    return materialise(out, "similar")
 
 
 def similar_documents(docs: DataFrame, size: int = SHINGLE, parts: int = PARTS, whole: int = WHOLE) -> DataFrame:
@@ -298,8 +318,8 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, parts: int = PARTS,
     nodes = rows.where("h is not null").groupBy("h").agg(F.min(F.struct("doc_id", "t")).alias("one"), F.min("doc_id").alias("first"), F.max("n").alias("n"), F.any_value("keys").alias("keys"))
     nodes = materialise(nodes, "nodes")
     rows = rows.select("doc_id", "h", "n")
-    tied = materialise(components(similar(docs, nodes, size, parts, whole)), "roots")
-    least = nodes.select("h", "first").join(tied.toDF("h", "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    tied = similar(docs, nodes, size, parts, whole)
+    least = nodes.select("h", "first").join(tied, "h", "left").withColumn("root", F.coalesce("root", "h"))
     least = materialise(least, "roots")
     names = least.groupBy("root").agg(F.min("first").alias("component_id"))
     least = materialise(least.join(names, "root").select("h", "component_id"), "classes")
