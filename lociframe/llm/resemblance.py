@@ -5,11 +5,13 @@ no pair can miss. So a fingerprint has 256 bits here, which lie on two rings of
 32 segments (the second one in another order of the bits), and the pigeonring
 filter is run from the other end: two fingerprints meet if a chain of two
 consecutive segments is equal in either ring, longer chains from there on must
-stay within their share of the 50 bits that may differ in all, and then the
+stay within their share of the 54 bits that may differ in all, and then the
 whole distance must. Sets that are linked so make a cluster; within a cluster
 the sets themselves are compared, so no pair below the similarity is linked.
-Pairs of similarity 0.8, 0.85 and 0.9 meet with a chance of some 0.95, 0.99
-and 0.999; equal sets always do.
+Bits of small sets are coarser: they lie on ``SMALL_RINGS`` rings, and a pair
+with one of up to ``SMALL`` shingles may differ in ``SMALL_DISTANCE`` bits. Pairs
+at a similarity of 0.8 meet with a chance of 0.9 or more at every size, at 0.85
+and 0.9 of some 0.99 and 0.999; equal sets always do.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from .components import components
 #: Words in a shingle, least similarity as a fraction.
 SHINGLE, PARTS, WHOLE = 5, 4, 5
 #: Bits, 64-bit parts of a fingerprint, segments of a ring (a byte each), rings, bits that may differ.
-BITS, LONGS, RING, RINGS, DISTANCE = 256, 4, 32, 2, 50
+BITS, LONGS, RING, RINGS, DISTANCE = 256, 4, 32, 2, 54
+#: Shingles of a small set, and for those: rings, bits that may differ.
+SMALL, SMALL_RINGS, SMALL_DISTANCE = 64, 4, 68
 #: Chains that are checked, in segments.
 CHAINS = (4, 8, 16, 32)
 #: Fingerprints of a key, and sets of a cluster, that are compared at once; more are compared block by block.
@@ -51,10 +55,11 @@ def shingles(text: bytes, size: int = SHINGLE):
 
 
 def rings():
-    """Bit numbers in the order of each ring."""
+    """Bit numbers in the order of each ring; the first ``RINGS`` are those of all sets."""
     import numpy as np
 
-    return np.stack([np.arange(BITS), np.random.default_rng(5).permutation(BITS)])
+    drawn = np.random.default_rng(5)
+    return np.stack([np.arange(BITS), *(drawn.permutation(BITS) for _ in range(SMALL_RINGS - 1))])
 
 
 def wide(toks):
@@ -73,12 +78,12 @@ def wide(toks):
     return (2 * total > len(toks)).astype(np.uint8)
 
 
-def heads(bits):
-    """The keys of a fingerprint: each two consecutive segments of each ring, with their number."""
+def heads(bits, n: int):
+    """The keys of the fingerprint of a set of ``n`` shingles: each two consecutive segments of each of its rings, with their number."""
     import numpy as np
 
     out = []
-    for r, order in enumerate(rings()):
+    for r, order in enumerate(rings()[: SMALL_RINGS if n <= SMALL else RINGS]):
         seg = np.packbits(bits[order], bitorder="little").astype(np.int32)
         out.append(((r * RING + np.arange(RING, dtype=np.int32)) << 16) | (seg << 8) | np.roll(seg, -1))
     return np.concatenate(out)
@@ -107,7 +112,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 hs.append(xxh64_intdigest(toks.tobytes()) - (1 << 63))
                 ns.append(len(toks))
                 fps.append(np.packbits(bits, bitorder="little").view(np.int64))
-                keys.append(heads(bits))
+                keys.append(heads(bits, len(toks)))
             columns = [pa.array(hs, pa.int64()), pa.array(ns, pa.int32()), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], [f.split()[0] for f in SIGNED.split(", ")])
 
@@ -152,30 +157,41 @@ def _groups(batches, columns):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _near(batches):
-    """Rows (gid, head, h, n, f0..f3) in the order of gid -> a spanning forest of each group's near fingerprints: a, b."""
+def chain_masks():
+    """The bits of each chain that begins at a segment: by segment, length of chain and part of the fingerprint."""
     import numpy as np
-    import pyarrow as pa
 
-    masks = np.zeros((RINGS * RING, len(CHAINS), LONGS), np.uint64)
+    masks = np.zeros((SMALL_RINGS * RING, len(CHAINS), LONGS), np.uint64)
     for r, order in enumerate(rings()):
         for i in range(RING):
             for c, size in enumerate(CHAINS):
                 bits = np.zeros(BITS, np.uint8)
                 bits[np.concatenate([order[8 * (s % RING) : 8 * (s % RING) + 8] for s in range(i, i + size)])] = 1
                 masks[r * RING + i, c] = np.packbits(bits, bitorder="little").view(np.uint64)
-    budget = [size * DISTANCE // RING for size in CHAINS]
-
-    def close(fp, n, head, a, b):
-        """Those of the pairs a, b whose sizes can do, whose chains stay in their budgets and whose distance is small enough."""
-        ok = WHOLE * np.minimum(n[a], n[b]) >= PARTS * np.maximum(n[a], n[b])
-        a, b = a[ok], b[ok]
-        for c, most in enumerate(budget):
-            x = (fp[a] ^ fp[b]) & masks[head[a], c]
-            ok = np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= most
-            a, b = a[ok], b[ok]
-        return a, b
+    return masks
+
+
+def close(masks, fp, n, head, a, b):
+    """Those of the pairs a, b, which share the segments at ``head``, whose sizes can do, whose chains stay in their budgets and whose distance is small enough."""
+    import numpy as np
+
+    least, most = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+    ok = WHOLE * least >= PARTS * most
+    a, b, least = a[ok], b[ok], least[ok]
+    for c, size in enumerate(CHAINS):
+        budget = size * np.where(least <= SMALL, SMALL_DISTANCE, DISTANCE) // RING
+        x = (fp[a] ^ fp[b]) & masks[head[a], c]
+        ok = np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= budget
+        a, b, least = a[ok], b[ok], least[ok]
+    return a, b
+
+
+def _near(batches):
+    """Rows (gid, head, h, n, f0..f3) in the order of gid -> a spanning forest of each group's near fingerprints: a, b."""
+    import numpy as np
+    import pyarrow as pa
 
+    masks = chain_masks()
     for t in _groups(batches, 8):
         gid, head, h, n = (t.column(i).to_numpy() for i in range(4))
         n = n.astype(np.int64)
@@ -186,13 +202,13 @@ def _near(batches):
         for s, e in zip(starts[ends - starts > 64], ends[ends - starts > 64]):  # large groups: rows against all
             for at in range(s, e, 128):
                 a, b = np.meshgrid(np.arange(at, min(e, at + 128)), np.arange(s, e), indexing="ij")
-                _merge(label, *close(fp, n, head, *(x.ravel() for x in (a, b))))
+                _merge(label, *close(masks, fp, n, head, *(x.ravel() for x in (a, b))))
         small = np.repeat(ends - starts <= 64, ends - starts)
         for d in range(1, 64):
             at = np.flatnonzero((gid[d:] == gid[:-d]) & small[d:])
             if not len(at):
                 break
-            _merge(label, *close(fp, n, head, at, at + d))
+            _merge(label, *close(masks, fp, n, head, at, at + d))
         on = np.flatnonzero(label != np.arange(len(gid)))
         yield pa.RecordBatch.from_arrays([pa.array(h[on]), pa.array(h[label[on]])], ["a", "b"])
 

@@ -77,22 +77,25 @@ def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, block):
     assert resemblance.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_recall_by_similarity():
-    """Of pairs at a similarity of 0.8 to 0.82, most meet in a chain, within its budgets; of pairs at 0.9 nearly all."""
-    rng = random.Random(4)
-
-    def met(n, parts):
-        hits = 0
-        for _ in range(n):
-            shared = [rng.getrandbits(63) for _ in range(parts)]
-            own = (300 - parts) // 2
-            a, b = (np.unique(np.array(shared + [rng.getrandbits(63) for _ in range(own)], np.int64)) for _ in range(2))
-            x, y = resemblance.wide(a), resemblance.wide(b)
-            hits += (x != y).sum() <= resemblance.DISTANCE and bool(set(resemblance.heads(x).tolist()) & set(resemblance.heads(y).tolist()))
-        return hits / n
-
-    assert met(150, 242) >= 0.88  # 242 / 300: just over 0.8
-    assert met(150, 270) >= 0.98
+def met(rng, common, left, right):
+    """Whether two sets share a key and stay within all chains' budgets."""
+    pool = rng.integers(-(1 << 63), (1 << 63) - 1, common + left + right, dtype=np.int64)
+    sets = [np.unique(pool[: common + left]), np.unique(np.concatenate([pool[:common], pool[common + left :]]))]
+    bits = [resemblance.wide(s) for s in sets]
+    shared = set.intersection(*(set(resemblance.heads(x, len(s)).tolist()) for x, s in zip(bits, sets)))
+    fp = np.stack([np.packbits(x, bitorder="little").view(np.uint64) for x in bits])
+    n, masks = np.array([len(s) for s in sets]), resemblance.chain_masks()
+    return any(len(resemblance.close(masks, fp, n, np.array([k >> 16] * 2), np.array([0]), np.array([1]))[0]) for k in shared)
+
+
+@pytest.mark.parametrize(
+    ("common", "left", "right", "least"),
+    [(4, 1, 0, 0.9), (6, 1, 0, 0.97), (8, 1, 1, 0.97), (12, 3, 0, 0.95), (12, 2, 1, 0.95), (20, 2, 3, 0.95), (40, 5, 5, 0.95), (52, 13, 0, 0.9), (60, 8, 7, 0.9), (100, 12, 13, 0.9), (200, 25, 25, 0.9), (270, 15, 15, 0.98)],
+)
+def test_recall_by_size(common, left, right, least):
+    """Pairs at a similarity of 0.8 and above meet, with all filters on, whatever their size."""
+    rng = np.random.default_rng(common)
+    assert sum(met(rng, common, left, right) for _ in range(200)) >= least * 200
 
 
 def test_stage_takes_near_copies_of_similarity_four_fifths(spark):
