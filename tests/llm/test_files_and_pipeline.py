@@ -124,6 +124,29 @@ def test_shards(spark, tmp_path):
     assert training_order.materialise_order(docs.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_query_of_training_order(spark, tmp_path):
+    """The query against plain loops: ids run together in the order of rows, cut at 2048, each sequence at its slot."""
+    import numpy as np
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(120).collect()
+    docs = [(r.doc_id, r.text) for r in docs] + [(None, None), (7, ""), (7, "twice"), (7, "twice")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    tok, stream, owner = tokenizer(default_vocabulary()), [], []
+    for i, text in docs:
+        ids = [*np.frombuffer(tok.encode(text), "<u4").tolist(), 2]
+        stream += ids
+        owner.append((i, len(stream) - len(ids), len(stream)))
+    n = -(-len(stream) // 2048)
+    want = []
+    for k, slot in enumerate(training_order.slots(range(n), n).tolist()):
+        part = stream[k * 2048 : (k + 1) * 2048]
+        raw = np.array(part + [2] * (2048 - len(part)), "<u2").tobytes()
+        inside = [i for i, a, b in owner if a < k * 2048 + len(part) and b > k * 2048]
+        want.append((slot, *divmod(slot, 4096), k, inside, len(part), zlib.crc32(raw)))
+    got = training_order.op2_training_order(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want) and n > 5
+
+
 # --- SpotSigs
 
 

@@ -71,7 +71,7 @@ def manifest_rows(n, langs, seed=1):
 
 
 @pytest.mark.parametrize(
-    ("n", "langs"), [(0, ["x"]), (1, ["x"]), (1, [None]), (2, ["x"]), (5, ["x", None, "é"]), (257, ["x"]), (700, ["x", "x", "x", "y", None]), (600, [f"l{i}" for i in range(300)] + ["="])]
+    ("n", "langs"), [(0, ["x"]), (1, [None]), (5, ["x", None, "é"]), (700, ["x", "x", "x", "y", None]), (600, [f"l{i}" for i in range(300)] + ["="])]
 )
 def test_manifest(spark, tmp_path, n, langs):
     rows = manifest_rows(n, langs)
@@ -221,7 +221,6 @@ def test_join_of_blocks(spark, monkeypatch):
         words = edited(rng, words, 1)
     monkeypatch.setattr(signature_join, "BLOCK_BITS", 9)
     monkeypatch.setattr(signature_join, "LEAST", 64)
-    assert joined(spark, data) == brute_similar(data)
     many = data + [(100 + i, " ".join(edited(rng, data[0][1].split(), 1))) for i in range(40)]
     assert joined(spark, many) == brute_similar(many)
 
