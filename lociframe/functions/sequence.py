@@ -36,6 +36,11 @@ def encode_kmer(kmer: Column) -> Column:
     return F.when(ok, F.conv(F.translate(F.upper(kmer), "ACGT", "0123"), 4, 10).cast("bigint"))
 
 
+def packed(kmer: Column) -> Column:
+    """``encode_kmer`` of what is known to be upper-case A, C, G and T, at most 31 of them."""
+    return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("bigint")
+
+
 def decode_kmer(code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 

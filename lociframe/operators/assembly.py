@@ -47,15 +47,17 @@ def take_parts(fps, heads: list[int], bits: int = BITS):
 
 
 def _families(b, names):
-    """Starts of the families of a batch, which is in their order."""
+    """Starts of the families of a batch, which is in their order; nulls are equal."""
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     new = np.zeros(b.num_rows, bool)
     new[:1] = True
     for n in names:
         c = b.column(b.schema.get_field_index(n))
-        new[1:] |= pc.fill_null(pc.not_equal(c[1:], c[:-1]), True).to_numpy(zero_copy_only=False)
+        c = pc.fill_null(c, "\0" if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else -1)
+        new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
     return np.flatnonzero(new)
 
 

@@ -28,15 +28,18 @@ def on_target(kmers: DataFrame, allowed: DataFrame, molecule: str = "molecule_id
     return kmers.join(hits, keys, "left_semi")
 
 
-def evidence(kmers: DataFrame, keys: list[str] | None = None, distinct: bool = False) -> DataFrame:
+def evidence(kmers: DataFrame, keys: list[str] | None = None, distinct: bool = False, k: int | None = None) -> DataFrame:
     """The index: counts by family type and errors per k-mer.
 
     ``kmers`` has kmer, family_type and optionally err (a window's mean error)
     per occurrence; each occurrence counts, or with ``distinct`` each molecule
     once. Singletons count as simplex forward. The sum of errors is kept
-    besides the mean, so that indexes merge.
+    besides the mean, so that indexes merge. With ``k``, their length, k-mers of
+    A, C, G and T meet as numbers of 8 bytes.
     """
     keys = [*(keys if keys is not None else ["sample_id"]), "kmer"]
+    if k is not None:
+        kmers = kmers.withColumn("kmer", S.packed(F.col("kmer")))
     if distinct:
         best = [F.min("err").alias("err")] if "err" in kmers.columns else []
         kmers = kmers.groupBy(*keys, "molecule_id").agg(F.first("family_type").alias("family_type"), *best)
@@ -45,6 +48,8 @@ def evidence(kmers: DataFrame, keys: list[str] | None = None, distinct: bool = F
     if "err" in kmers.columns:
         aggs += [F.min("err").alias("min_err"), F.sum("err").alias("sum_err")]
     out = kmers.groupBy(*keys).agg(*aggs)
+    if k is not None:
+        out = out.withColumn("kmer", S.decode_kmer(F.col("kmer"), k))
     return out.withColumn("mean_err", F.col("sum_err") / F.col("n_molecules")) if "err" in kmers.columns else out
 
 

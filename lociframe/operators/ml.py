@@ -116,7 +116,7 @@ def quintile(df: DataFrame, column: str, out: str = "quintile", q: int = 5, keys
     """``df`` with the quantile bucket of a column, from 0; equal edges merge."""
     cuts = F.percentile(column, F.array(*(F.lit(i / q) for i in range(1, q)))).alias("__cuts")
     edges = df.groupBy(*keys).agg(cuts) if keys else df.agg(cuts)
-    joined = df.join(F.broadcast(edges), list(keys)) if keys else df.crossJoin(F.broadcast(edges))  # one row
+    joined = df.join(edges, list(keys)) if keys else df.crossJoin(F.broadcast(edges))  # one row
     return joined.withColumn(out, F.size(F.filter(F.array_distinct("__cuts"), lambda e: F.col(column) > e))).drop("__cuts")
 
 

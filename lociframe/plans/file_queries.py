@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import reads
+from ..operators import ranges, reads
 from ..sources import files, writers
 from ..sources.shared import new_path
 from . import inputs as I
@@ -77,12 +77,13 @@ def calls_vcf_passing(spark, sf):
 @query(f"""{_ALL}, r AS (SELECT chrom, pos, CASE WHEN variant_type = 'LargeDeletion' THEN '<DEL>' ELSE alt END AS alt, ref FROM lab)
   SELECT chrom, pos, ref, alt, row_number() OVER (ORDER BY CAST(substr(chrom, 4) AS INT), chrom, pos, ref, alt) AS place FROM r""")
 def natural_order(spark, sf):
-    """Where each record of a VCF file stands: the sink's own order, read from the one file's lines."""
+    """Where each record of a VCF file stands: the sink's own order, read from the lines of its parts."""
     path = new_path(spark, "ordered")
-    records = writers.natural_order(writers.vcf_records(called(spark, sf)))
-    records.select("chrom", "pos", "ref", "alt").coalesce(1).write.csv(path, sep="\t")
-    lines = spark.read.csv(path, sep="\t", schema="chrom string, pos bigint, ref string, alt string").coalesce(1)
-    return lines.select("*", (F.monotonically_increasing_id() + 1).alias("place"))
+    writers.write_vcf(writers.vcf_records(called(spark, sf)), path)
+    lines = files.numbered_lines(spark, [path]).where("not startswith(value, '#')")
+    placed = ranges.ranked(lines, [], "file", "line", name="place")
+    part = F.split("value", "\t")
+    return placed.select(part[0].alias("chrom"), part[1].cast("bigint").alias("pos"), part[3].alias("ref"), part[4].alias("alt"), "place")
 
 
 @query("""SELECT 'chr' || (c_custkey % 9) || ':' || c_custkey || '-' || (c_custkey + 63) || CASE WHEN c_custkey % 4 = 0 THEN '_maxpath200' ELSE '' END AS target_id, translate(md5(CAST(c_custkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq,

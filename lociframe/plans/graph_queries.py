@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import graph, unitigs
+from ..operators import calls, graph, kmers, unitigs
 from ..sources.shared import written
 from . import inputs as I
-from .queries import query
+from .queries import query, rounded
 
 _WALK = f"""WITH RECURSIVE {I.SQL_USER_MOLECULES},
 w(target_id, target, s) AS (
@@ -64,3 +64,28 @@ def unitig_counts(spark, sf):
     targets, nodes = user_nodes(spark, sf)
     chains = unitigs.unitigs(nodes, written(unitigs.anchors(targets, nodes)))
     return chains.groupBy("target_id").agg(F.count("*").alias("n_chains"), F.sum("n_kmers").cast("bigint").alias("n_kmers"))
+
+
+#: Evidence of whole paths and of the k-mers that the target itself lacks; a path beside its target.
+_CALLS = f"""{_WALK.split("SELECT target_id, s AS path_seq")[0]},
+idx AS MATERIALIZED (SELECT least(raw, reverse(translate(raw, 'ACGT', 'TGCA'))) AS kmer, count(*) AS n, count(*) FILTER (event_id % 4 = 0) AS d
+  FROM (SELECT event_id, substr(seq, i, 31) AS raw FROM (SELECT *, unnest(range(1, greatest(length(seq) - 29, 1))) AS i FROM um)) GROUP BY kmer),
+paths AS (SELECT target_id, s, s = target AS is_reference FROM w WHERE right(s, 31) = right(target, 31)),
+pk AS (SELECT target_id, s, is_reference, least(raw, reverse(translate(raw, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT *, substr(s, i, 31) AS raw FROM (SELECT *, unnest(range(1, length(s) - 29)) AS i FROM paths))),
+ref AS (SELECT DISTINCT target_id, kmer FROM pk WHERE is_reference),
+ev AS (SELECT p.target_id, p.s, p.is_reference, min(n) AS least, min(d) FILTER (ref.kmer IS NULL) AS own_d, min(d) AS all_d FROM pk p JOIN idx ON idx.kmer = p.kmer LEFT JOIN ref ON ref.target_id = p.target_id AND ref.kmer = p.kmer GROUP BY ALL)
+SELECT a.target_id, a.s AS alt_seq, r.least AS n_molecules_ref, a.least AS n_molecules_alt, coalesce(a.own_d, a.all_d) AS n_duplex_alt, greatest(0, a.least - coalesce(a.own_d, a.all_d)) AS n_simplex_alt, round(a.least / (a.least + r.least), 6) AS vaf
+FROM ev a JOIN ev r ON r.target_id = a.target_id AND r.is_reference WHERE NOT a.is_reference"""
+
+
+@query(_CALLS)
+def graph_calls(spark, sf):
+    """From molecules to calls: index, walks, evidence, figures and shares."""
+    molecules, targets = I.user_molecules(spark, sf)
+    rows = molecules.withColumn("family_type", I.family(F.col("molecule_id"))).select("sample_id", "target_id", "family_type", "seq")
+    occurrences = S.explode_kmers(rows, "seq", I.K, raw="raw")
+    nodes = written(occurrences.groupBy("sample_id", "target_id", F.col("raw").alias("kmer")).agg(F.count("*").alias("n")))
+    paths = written(graph.walk_paths(targets, nodes))
+    scored = written(graph.path_evidence(paths, kmers.evidence(occurrences)))
+    found = rounded(calls.call_variants(scored), "vaf")
+    return found.select("target_id", "alt_seq", "n_molecules_ref", "n_molecules_alt", "n_duplex_alt", "n_simplex_alt", "vaf")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alleles, stats
 from ..functions import sequence as S
-from ..operators import assembly, calls, explore, graph, kmers, ml, ranges, reads, scoring, umis
+from ..operators import assembly, calls, explore, graph, kmers, logs, ml, ranges, reads, scoring, sketch, umis
 from ..sources import writers
 from ..sources.shared import new_path, written
 from . import inputs as I
@@ -85,6 +85,11 @@ def kmer_min_evidence(spark, sf):
     return kmers.frequent(doc_index(spark, sf)).select("kmer", "n_molecules")
 
 
+@query(f"WITH {I.SQL_DOCUMENTS}, {I.SQL_INDEX} SELECT kmer, n_molecules, n_duplex FROM idx WHERE n_molecules >= 2")
+def kmer_sketch_evidence(spark, sf):
+    return sketch.frequent_evidence(doc_kmers(spark, sf), 2, NO_SAMPLE).select("kmer", "n_molecules", "n_duplex")
+
+
 @query(f"""WITH {I.SQL_DOCUMENTS}, {I.SQL_PANEL} SELECT kmer FROM panel_kmers UNION SELECT kmer FROM doc_kmers""")
 def allowlist_union(spark, sf):
     return kmers.allowlist(I.panel(spark, sf), I.documents(spark, sf))  # documents stand for junction sequences
@@ -458,7 +463,7 @@ def doc_occurrences(spark, sf):
 
 @query()
 def path_walk(spark, sf):
-    nodes = graph.target_nodes(I.panel(spark, sf), doc_occurrences(spark, sf))
+    nodes = written(graph.target_nodes(I.panel(spark, sf), written(doc_occurrences(spark, sf))))
     return graph.walk_paths(I.panel(spark, sf), nodes)
 
 
@@ -818,3 +823,17 @@ def stream_families(spark, sf):
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/reads")
         families.start(stream, f"{path}/checkpoint").awaitTermination()
     return families.read()
+
+
+@query(f"""WITH RECURSIVE {I.SQL_LONG_UMIS}, {_greedy("long_umis", "0", 2).replace("umi_b, n, first_ord, substr(", "umi_b, n, substr(")} WHERE seed <> umi_a || umi_b""")
+def log_umi_merges(spark, sf):
+    """UMI pairs that joined another one's cluster."""
+    return logs.umi_merges(umis.cluster_umis(I.long_umis(spark, sf), 2))
+
+
+@query(f"""WITH {I.SQL_DOCUMENTS}, {I.SQL_PANEL}, {_ENDS} SELECT target_id, coalesce(i.n, 0) AS start_count, coalesce(j.n, 0) AS end_count
+  FROM ends LEFT JOIN seen i ON i.kmer = s LEFT JOIN seen j ON j.kmer = e WHERE s IS NOT NULL AND (coalesce(i.n, 0) >= 5 OR coalesce(j.n, 0) >= 5)""")
+def log_anchors_flagged(spark, sf):
+    """Targets whose first or last k-mer occurs too often to begin or end a walk."""
+    p = I.panel(spark, sf)
+    return logs.anchors_flagged(kmers.validate_anchors(p, listed_index(spark, sf, p), threshold=5)).select("target_id", "start_count", "end_count")

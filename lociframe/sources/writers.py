@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..functions.stats import collision_probability
+from .shared import written
 
 #: Columns of a call table in their order, and forms of output.
 CALL_COLUMNS = (
@@ -69,12 +70,22 @@ def write_table(df: DataFrame, path: str, form: str = "tsv") -> None:
     flat.write.mode("overwrite").csv(path, sep="\t" if form == "tsv" else ",", header=True, quote="" if form == "tsv" else '"')
 
 
+def write_ordered(lines: DataFrame, path: str, *order: Column | str) -> None:
+    """The ``value`` of ``lines`` as text, sorted by ranges: its part files, one after the other by name, are the file.
+
+    A table that fits one partition makes one part.
+    """
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
-    """One file with one JSON array, a row a line: for tables that a panel bounds. Written by a task, not by the driver."""
-    rows = df.coalesce(1).select(F.monotonically_increasing_id().alias("k"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("v"))
-    rows = rows.select(F.lit(1).alias("n"), "k", F.concat(F.when(F.col("k") > 0, ",").otherwise(""), "v").alias("value"))
+    """One JSON array, a row a line: all but the first row begin with a comma."""
+    rows = df.select(F.monotonically_increasing_id().alias("k"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("v"))
+    rows = written(rows, "json")
+    first = rows.agg(F.min("k")).first()[0]
+    rows = rows.select(F.lit(1).alias("n"), "k", F.concat(F.when(F.col("k") > F.lit(first), ",").otherwise(""), "v").alias("value"))
     ends = df.sparkSession.createDataFrame([(0, 0, "["), (2, 0, "]")], "n int, k long, value string")
-    ends.unionByName(rows).repartition(1).sortWithinPartitions("n", "k").select("value").write.mode("overwrite").text(path)
+    write_ordered(ends.unionByName(rows), path, "n", "k")
 
 
 def _number(c: str) -> Column:
@@ -134,23 +145,26 @@ def breakend_pair(fusions: DataFrame, standard: bool = False) -> DataFrame:
     return fusions.select(F.explode(F.array(end("a", "b"), end("b", "a"))).alias("x")).select("x.*")
 
 
-def natural_order(records: DataFrame) -> DataFrame:
+def _natural() -> list[Column]:
     """Chromosomes by number, then by name; then places."""
     number = F.regexp_replace("chrom", "^chr", "").try_cast("int")
-    return records.orderBy(number.asc_nulls_last(), "chrom", "pos", "ref", "alt")
+    return [number.asc_nulls_last(), *(F.col(c).asc() for c in ("chrom", "pos", "ref", "alt"))]
+
+
+def natural_order(records: DataFrame) -> DataFrame:
+    """Chromosomes by number, then by name; then places."""
+    return records.orderBy(*_natural())
 
 
-def vcf_lines(records: DataFrame) -> DataFrame:
-    return records.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", "qual", "filter", "info").alias("value"))
+def vcf_line() -> Column:
+    return F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", "qual", "filter", "info").alias("value")
 
 
 def write_vcf(records: DataFrame, path: str) -> None:
-    """One VCF file: a panel's calls, in natural order, after the header."""
-    spark = records.sparkSession
-    head = spark.createDataFrame([(i, line) for i, line in enumerate(VCF_HEAD)], "n int, value string")
-    body = vcf_lines(natural_order(records)).withColumn("n", F.lit(len(VCF_HEAD)).cast("int")).withColumn("k", F.monotonically_increasing_id())
-    both = head.withColumn("k", F.lit(0).cast("bigint")).unionByName(body)
-    both.repartition(1).sortWithinPartitions("n", "k").select("value").write.mode("overwrite").text(path)
+    """Calls in natural order, sorted by ranges, after the header."""
+    head = records.sparkSession.createDataFrame([(i, line) for i, line in enumerate(VCF_HEAD)], "n int, value string")
+    body = records.select(F.lit(len(VCF_HEAD)).alias("n"), vcf_line(), "chrom", "pos", "ref", "alt")
+    write_ordered(head.unionByName(body, allowMissingColumns=True), path, "n", *_natural())
 
 
 def write_calls(calls: DataFrame, path: str, formats: str | None = None) -> dict[str, str]:

@@ -119,6 +119,11 @@ def test_whole_families(spark):
     assert got.where("part > 0").isEmpty() and got.count() == len({r[:3] for r in rows})
 
 
+def test_null_samples_are_one(spark):
+    rows = [(None, *r[1:]) for r in drawn(5, 80)]
+    same(taken(assembly.called(spark.createDataFrame(rows, READS))), brute_called(rows))
+
+
 def test_molecules(spark):
     rows = drawn(4, 200)
     df = spark.createDataFrame(rows, READS)
