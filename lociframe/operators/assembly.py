@@ -251,6 +251,10 @@ def _open_groups(b, starts, part, min_quality, cap):
 READS = [*FAMILY, "read_ord", "fingerprint", "strand", "seq", "qual", "skip"]
 
 
+#: Columns of parsed and clustered reads that calling takes.
+COLUMNS = [*FAMILY, "read_ord", "fingerprint", "strand", "template_r1", "qual_r1", "template_r2", "qual_r2", "skip_r1"]
+
+
 def oriented(reads: DataFrame) -> DataFrame:
     """Read 1 of forward reads and read 2 of reverse ones, with what a pass needs."""
     fwd = F.col("strand") == "Forward"

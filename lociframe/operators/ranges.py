@@ -46,15 +46,14 @@ def filled(df: DataFrame, keys: list[str], order: list[str], before: dict[str, C
     Ranges are those of ``in_ranges`` over keys and order.
     """
     rows = in_ranges(df, *keys, *order)
-    part = Window.partitionBy(*keys, "__range").orderBy("__at")
-    up, down = part.rowsBetween(Window.unboundedPreceding, 0), part.rowsBetween(0, Window.unboundedFollowing)
-    near = {**{n: F.last(c, ignorenulls=True).over(up) for n, c in before.items()}, **{n: F.first(c, ignorenulls=True).over(down) for n, c in after.items()}}
+    # Both ways from the frame's beginning: a frame that only shrinks is worked out anew for each row.
+    up, down = (Window.partitionBy(*keys, "__range").orderBy(at).rowsBetween(Window.unboundedPreceding, 0) for at in ("__at", F.desc("__at")))
+    near = {n: F.last(c, ignorenulls=True).over(up) for n, c in before.items()} | {n: F.last(c, ignorenulls=True).over(down) for n, c in after.items()}
     rows = rows.withColumns({f"__{n}": c for n, c in near.items()})
     ends = [F.max_by(f"__{n}", "__at").alias(f"__{n}") for n in before] + [F.min_by(f"__{n}", "__at").alias(f"__{n}") for n in after]
     per = rows.groupBy(*keys, "__range").agg(*ends)
-    whole = Window.partitionBy(*keys).orderBy("__range")
-    past, coming = whole.rowsBetween(Window.unboundedPreceding, -1), whole.rowsBetween(1, Window.unboundedFollowing)
-    carried = {n: F.last(f"__{n}", ignorenulls=True).over(past) for n in before} | {n: F.first(f"__{n}", ignorenulls=True).over(coming) for n in after}
+    past, coming = (Window.partitionBy(*keys).orderBy(r).rowsBetween(Window.unboundedPreceding, -1) for r in ("__range", F.desc("__range")))
+    carried = {n: F.last(f"__{n}", ignorenulls=True).over(past) for n in before} | {n: F.last(f"__{n}", ignorenulls=True).over(coming) for n in after}
     per = written(per.select(*keys, "__range", *(c.alias(n) for n, c in carried.items())))
     both = rows.join(per, _same(rows, per, [*keys, "__range"]))
     return both.select(*(rows[c] for c in df.columns), *(F.coalesce(rows[f"__{n}"], per[n]).alias(n) for n in carried))

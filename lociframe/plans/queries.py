@@ -251,7 +251,7 @@ def ssc_consensus(spark, sf):
 
 def _called(spark, sf):
     """Consensus of whole UMI pairs: no clusters, no parts."""
-    return assembly.called(family_reads(spark, sf), bits=64).withColumnsRenamed({"seed_a": "umi_a", "seed_b": "umi_b"})
+    return assembly.called(written(family_reads(spark, sf).select(*assembly.COLUMNS)), bits=64).withColumnsRenamed({"seed_a": "umi_a", "seed_b": "umi_b"})
 
 
 def _mean(err):
@@ -280,7 +280,7 @@ def assembly_stats(spark, sf):
 
 @query()
 def molecule_table(spark, sf):
-    return reads.molecule_dump(assembly.molecules(family_reads(spark, sf)))
+    return reads.molecule_dump(assembly.molecules(written(family_reads(spark, sf).select(*assembly.COLUMNS))))
 
 
 _RK = """rk AS (SELECT kmer, family_type, err FROM (SELECT family_type, err, substr(seq, i, 31) AS raw, least(substr(seq, i, 31), reverse(translate(substr(seq, i, 31), 'ACGT', 'TGCA'))) AS kmer
