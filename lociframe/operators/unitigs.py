@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..sources.shared import written
-from .graph import EXTRA_LENGTH, MAX_EXPANSIONS, MAX_PATHS, PATHS, SOFT_REACH
+from .graph import EXTRA_LENGTH, MAX_EXPANSIONS, MAX_PATHS, PATHS, SOFT_REACH, by_graph
 
 GRAPH = ["sample_id", "target_id"]
 
@@ -125,25 +125,23 @@ def walk_paths(targets: DataFrame, nodes: DataFrame, k: int = 31, max_paths: int
     ends = written(anchors(targets, nodes, k))
     chains = unitigs(nodes, ends, k)
 
-    def group(key, pdf_ends, pdf_chains):
-        import pandas as pd
-
-        rows, size, spelt = [], dict(zip(pdf_chains["head"], pdf_chains.n_kmers)), dict(zip(pdf_chains["head"], pdf_chains.seq))
+    def group(key, ends, head, last, seq, n_kmers):
+        rows, size, spelt = [], dict(zip(head, n_kmers)), dict(zip(head, seq))
         heads: dict[str, list[str]] = {}
         for h in sorted(size):
             heads.setdefault(h[: k - 1], []).append(h)
-        after = {h: heads.get(last[1:], []) for h, last in zip(pdf_chains["head"], pdf_chains["last"])}
-        ending = dict(zip(pdf_chains["last"], pdf_chains["head"]))
-        for t in pdf_ends.itertuples():
-            if t.start not in size or t.end not in ending:
+        after = {h: heads.get(x[1:], []) for h, x in zip(head, last)}
+        ending = dict(zip(last, head))
+        for t in ends:
+            if t["start"] not in size or t["end"] not in ending:
                 continue
-            found, spent = walk(t.start, ending[t.end], size, after, int(t.limit), max_paths, max_expansions)
+            found, spent = walk(t["start"], ending[t["end"]], size, after, int(t["limit"]), max_paths, max_expansions)
             reference = False
             for p in found:
-                whole = t.seq[: t.at_start] + spelt[p[0]] + "".join(spelt[x][k - 1 :] for x in p[1:]) + t.seq[t.at_end + k :]
-                is_ref = not reference and whole == t.seq
+                whole = t["seq"][: t["at_start"]] + spelt[p[0]] + "".join(spelt[x][k - 1 :] for x in p[1:]) + t["seq"][t["at_end"] + k :]
+                is_ref = not reference and whole == t["seq"]
                 reference |= is_ref
-                rows.append((key[0], key[1], whole, is_ref, sum(size[x] for x in p), spent))
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in PATHS.split(", ")])
+                rows.append((*key, whole, is_ref, sum(size[x] for x in p), spent))
+        return rows
 
-    return ends.groupBy(*GRAPH).cogroup(chains.groupBy(*GRAPH)).applyInPandas(group, PATHS)
+    return by_graph(ends, written(chains), ["head", "last", "seq", "n_kmers"], group, PATHS)

@@ -83,9 +83,9 @@ def graph_calls(spark, sf):
     """From molecules to calls: index, walks, evidence, figures and shares."""
     molecules, targets = I.user_molecules(spark, sf)
     rows = molecules.withColumn("family_type", I.family(F.col("molecule_id"))).select("sample_id", "target_id", "family_type", "seq")
-    occurrences = S.explode_kmers(rows, "seq", I.K, raw="raw")
+    occurrences = S.explode_kmers(rows, "seq", I.K, canonical=None, raw="raw")
     nodes = written(occurrences.groupBy("sample_id", "target_id", F.col("raw").alias("kmer")).agg(F.count("*").alias("n")))
     paths = written(graph.walk_paths(targets, nodes))
-    scored = written(graph.path_evidence(paths, kmers.evidence(occurrences)))
+    scored = written(graph.path_evidence(paths, kmers.index_of(rows, I.K)))
     found = rounded(calls.call_variants(scored), "vaf")
     return found.select("target_id", "alt_seq", "n_molecules_ref", "n_molecules_alt", "n_duplex_alt", "n_simplex_alt", "vaf")
