@@ -17,6 +17,8 @@ from . import kmers as K
 
 #: Cells of a row as a power of two, rows, cells of a part: the sketch takes ROWS * 2**BITS bytes, what tasks are sent an eighth of it.
 BITS, ROWS, PART = 22, 4, 1 << 16
+#: Most bits of a sketch that is fitted to its keys, its rows, and the cells that a key is given.
+MOST_BITS, FITTED_ROWS, CELLS = 28, 1, 4
 _CELLS = "row int, part int, cells binary"
 
 
@@ -49,7 +51,14 @@ def sketch(df: DataFrame, *keys: str | Column, bits: int = BITS, rows: int = ROW
             on = np.flatnonzero(split.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), r, np.int32)), pa.array(on.astype(np.int32)), pa.array([split[p].tobytes() for p in on], pa.binary())], ["row", "part", "cells"])
 
-    return written(merged(df.select(F.xxhash64(*keys).alias("h")).mapInArrow(count, _CELLS)), "sketch")
+    # A sketch for each core and not for each split: what is shuffled does not grow with the input.
+    hashes = df.select(F.xxhash64(*keys).alias("h")).coalesce(df.sparkSession.sparkContext.defaultParallelism)
+    return written(merged(hashes.mapInArrow(count, _CELLS)), "sketch")
+
+
+def fitted_bits(n: int) -> int:
+    """Bits of a row with ``CELLS`` cells for each of n keys, within bounds."""
+    return min(MOST_BITS, max(BITS, (CELLS * n - 1).bit_length()))
 
 
 def merged(sketches: DataFrame) -> DataFrame:
@@ -91,8 +100,17 @@ def maybe_frequent(counts: DataFrame, least: int, bits: int = BITS, rows: int =
         raise ValueError("cells count from 1 to 255")
     part = min(PART, 1 << bits)
     enough = np.zeros((rows, (1 << bits) // part, part // 8), np.uint8)
-    for r in counts.toLocalIterator():  # at most rows * 2**bits bytes, a part at a time
-        enough[r.row, r.part] = np.packbits(np.frombuffer(r.cells, np.uint8) >= least, bitorder="little")
+
+    def bits_of(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            packed = [np.packbits(np.frombuffer(c.as_buffer(), np.uint8) >= least, bitorder="little").tobytes() for c in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], ["row", "part", "cells"])
+
+    for r in counts.mapInArrow(bits_of, _CELLS).toLocalIterator():  # a bit a cell, a few parts at a time
+        enough[r.row, r.part] = np.frombuffer(r.cells, np.uint8)
     sent = counts.sparkSession.sparkContext.broadcast(enough.reshape(rows, -1))
 
     @F.pandas_udf("boolean")
@@ -114,8 +132,8 @@ def maybe_frequent_rows(df: DataFrame, keys: list[str], least: int, bits: int =
     return df.where(test(F.xxhash64(*keys)))
 
 
-def frequent_evidence(kmers: DataFrame, least: int = 2, keys: list[str] | None = None, bits: int = BITS, rows: int = ROWS) -> DataFrame:
-    """``kmers.frequent(kmers.evidence(...))``; k-mers that are surely rarer meet no shuffle."""
+def frequent_evidence(kmers: DataFrame, least: int = 2, keys: list[str] | None = None, bits: int = BITS, rows: int = ROWS, k: int | None = None) -> DataFrame:
+    """``kmers.frequent(kmers.evidence(...))``; k-mers that are surely rarer meet no shuffle. ``k`` is the length of coded k-mers."""
     keys = keys if keys is not None else ["sample_id"]
     left = maybe_frequent_rows(kmers, [*keys, "kmer"], least, bits, rows)
-    return K.frequent(K.evidence(left, keys), least)
+    return K.frequent(K.evidence(left, keys, k=k), least)
