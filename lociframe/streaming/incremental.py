@@ -18,24 +18,27 @@ class IncrementalIndex:
     """A k-mer index as Parquet parts, one per batch; counts and error sums add up when it is read.
 
     A batch replaces its own part, so one that is run again counts once.
-    ``compact`` merges parts.
+    ``compact`` merges parts. K-mers are kept as their codes.
     """
 
     def __init__(self, spark: SparkSession, path: str, k: int = 31, keys: list[str] | None = None):
         self.spark, self.path, self.k, self.keys = spark, path, k, keys if keys is not None else ["sample_id"]
 
     def add(self, reads: DataFrame, batch: int) -> None:
-        part = kmers.evidence(kmers.read_kmers(reads, self.k), self.keys)
+        part = kmers.index_of(reads, self.k, self.keys, coded=True)
         part.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def start(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(lambda df, n: self.add(df, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def read(self) -> DataFrame:
+        return kmers.spelled(self._merged(), self.k)
+
+    def _merged(self) -> DataFrame:
         return kmers.merge(self.spark.read.parquet(self.path).drop("batch"), keys=self.keys)
 
     def compact(self, path: str) -> None:
-        self.read().write.mode("overwrite").parquet(f"{path}/batch=0")
+        self._merged().write.mode("overwrite").parquet(f"{path}/batch=0")
 
 
 def stream_families(stream: DataFrame) -> DataFrame:
