@@ -72,3 +72,27 @@ def test_walks_are_dealt_by_their_number(spark, monkeypatch):
     found = graph.walk_paths(t, nodes)
     assert sorted(r.path_seq for r in found.collect()) == sorted(s for _, s in targets)
     assert found.select(F.spark_partition_id()).distinct().count() > 8
+
+
+def test_umi_pairs_of_any_cut(spark, monkeypatch):
+    """More segments are taken for more UMIs; whichever, the pairs are those of all with all."""
+    from lociframe.operators import reads, umis
+
+    rng = random.Random(6)
+    texts = {dna(rng, 8, "AC" if i % 2 else "ACGTNé") for i in range(60)}
+    rows = [("s", t[:4], t[4:], rng.randrange(3), i) for i, t in enumerate(sorted(texts))]
+    df = spark.createDataFrame(rows, "sample_id string, umi_a string, umi_b string, n long, first_ord long")
+    place = {r[1] + r[2]: (-r[3], r[4]) for r in rows}
+    apart = lambda a, b: sum(x != y for x, y in zip(a, b))
+    want = sorted((a, b, apart(a, b)) for a in place for b in place if place[a] < place[b] and apart(a, b) <= 2)
+    for parts in (3, 4, 5):
+        monkeypatch.setattr(umis, "parts_for", lambda rows, length, distance: parts)
+        assert sorted((r.umi_a_1 + r.umi_b_1, r.umi_a_2 + r.umi_b_2, r.distance) for r in umis.neighbours(df, 2).collect()) == want
+    near = sorted((a, b, apart(a, b)) for a in place for b in place if a < b and a[:3] == b[:3] and apart(a, b) <= 2)
+    assert sorted((r.umi_a_1 + r.umi_b_1, r.umi_a_2 + r.umi_b_2, r.distance) for r in reads.umi_neighbours(df, 2).collect()) == near
+
+
+def test_more_umis_more_segments():
+    from lociframe.operators import umis
+
+    assert [umis.parts_for(n, 24, 3) for n in (1000, 100_000, 10_000_000)] == [4, 5, 6]
