@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import sequence as S
 from ..operators import calls, graph, kmers, unitigs
 from ..sources.shared import written
 from . import inputs as I
@@ -22,8 +21,7 @@ SELECT target_id, s AS path_seq, s = target AS is_reference, CAST(length(s) - 30
 def user_nodes(spark, sf):
     """Targets and the k-mers of their molecules with their counts."""
     molecules, targets = I.user_molecules(spark, sf)
-    rows = S.explode_kmers(molecules.select("sample_id", "target_id", "seq"), "seq", I.K, canonical=None, raw="kmer")
-    return targets, written(rows.groupBy("sample_id", "target_id", "kmer").agg(F.count("*").alias("n")))
+    return targets, written(graph.own_nodes(molecules, I.K))
 
 
 @query(_WALK)
@@ -83,8 +81,7 @@ def graph_calls(spark, sf):
     """From molecules to calls: index, walks, evidence, figures and shares."""
     molecules, targets = I.user_molecules(spark, sf)
     rows = molecules.withColumn("family_type", I.family(F.col("molecule_id"))).select("sample_id", "target_id", "family_type", "seq")
-    occurrences = S.explode_kmers(rows, "seq", I.K, canonical=None, raw="raw")
-    nodes = written(occurrences.groupBy("sample_id", "target_id", F.col("raw").alias("kmer")).agg(F.count("*").alias("n")))
+    nodes = written(graph.own_nodes(rows, I.K))
     paths = written(graph.walk_paths(targets, nodes))
     scored = written(graph.path_evidence(paths, kmers.index_of(rows, I.K)))
     found = rounded(calls.call_variants(scored), "vaf")

@@ -1,6 +1,7 @@
 """What must not grow with the input: what is sent whole to tasks, rows of a task, bytes of a k-mer."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -96,3 +97,18 @@ def test_more_umis_more_segments():
     from lociframe.operators import umis
 
     assert [umis.parts_for(n, 24, 3) for n in (1000, 100_000, 10_000_000)] == [4, 5, 6]
+
+
+def test_equal_molecules_are_cut_once(spark):
+    """K-mers are cut after molecules of one sequence met; counts are those of all molecules."""
+    rng = random.Random(7)
+    seqs = [dna(rng, 50) for _ in range(3)] + ["ACGTACGT" * 6, "ACG"]
+    rows = [("s", f"t{i % 2}", rng.choice(seqs)) for i in range(200)]
+    df = spark.createDataFrame(rows, "sample_id string, target_id string, seq string")
+    want = {}
+    for s, t, x in rows:
+        for i in range(len(x) - 30):
+            want[s, t, x[i : i + 31]] = want.get((s, t, x[i : i + 31]), 0) + 1
+    nodes = graph.own_nodes(df)
+    assert {(r.sample_id, r.target_id, r.kmer): r.n for r in nodes.collect()} == want
+    assert re.search(r"keys=\[sample_id#\d+, target_id#\d+, seq#\d+\]", plan(nodes))
