@@ -1,9 +1,10 @@
 """Graphs of unbranched stretches: k-mer chains contracted by joins, and walks over what is left.
 
-A chain is contracted by pointer doubling: each k-mer points at the one before
-it, and pointing on to where that one points halves the distance to the chain's
-head, so a chain of n k-mers takes log2(n) joins whatever task its k-mers are
-in. A target's group then has branching points instead of k-mers.
+Graphs that a task can hold are contracted where their k-mers meet. In larger
+ones a chain is contracted by pointer doubling: each k-mer points at the one
+before it, and pointing on to where that one points halves the distance to the
+chain's head, so a chain of n k-mers takes log2(n) joins whatever task its
+k-mers are in. A target's group then has branching points instead of k-mers.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..sources.shared import written
-from .graph import EXTRA_LENGTH, MAX_EXPANSIONS, MAX_PATHS, PATHS, SOFT_REACH, by_graph
+from .graph import EXTRA_LENGTH, MAX_EXPANSIONS, MAX_PATHS, PATHS, SOFT_REACH, by_graph, spelled
 
 GRAPH = ["sample_id", "target_id"]
+CHAINS = "sample_id string, target_id string, head string, last string, seq string, n_kmers int, n long"
+#: Fixed value: k-mers of a graph that is contracted in one task.
+HELD = 200_000
 
 
 def anchors(targets: DataFrame, nodes: DataFrame, k: int = 31, reach: int = SOFT_REACH) -> DataFrame:
@@ -35,6 +39,27 @@ def anchors(targets: DataFrame, nodes: DataFrame, k: int = 31, reach: int = SOFT
     })
 
 
+def chains_of(counts: dict[str, int], starts: set[str], stops: set[str]) -> list[list[str]]:
+    """The unbranched chains of a graph's k-mers, but for rings; a chain begins at a start and is over at a stop."""
+    fronts: dict[str, list[str]] = {}
+    backs: dict[str, int] = {}
+    for x in counts:
+        fronts.setdefault(x[:-1], []).append(x)
+        backs[x[1:]] = backs.get(x[1:], 0) + 1
+    follows = {}
+    for x in counts:
+        after = fronts.get(x[1:], ())
+        if len(after) == 1 and backs[x[1:]] == 1 and after[0] != x and after[0] not in starts and x not in stops:
+            follows[x] = after[0]
+    out = []
+    for x in counts.keys() - follows.values():
+        chain = [x]
+        while (x := follows.get(x)) is not None:
+            chain.append(x)
+        out.append(chain)
+    return out
+
+
 def unitigs(nodes: DataFrame, ends: DataFrame, k: int = 31) -> DataFrame:
     """(sample_id, target_id, head, last, seq, n_kmers, n): the unbranched chains of each graph, ``n`` their least count.
 
@@ -42,7 +67,29 @@ def unitigs(nodes: DataFrame, ends: DataFrame, k: int = 31) -> DataFrame:
     of each graph: a chain begins at the start and is over at the end. Rings
     without a way in, which no walk can reach, are left out.
     """
-    nodes = nodes.select(*GRAPH, "kmer", "n")
+    nodes, ends = nodes.select(*GRAPH, "kmer", "n"), ends.select(*GRAPH, "start", "end")
+    large = written(nodes.groupBy(*GRAPH).agg(F.count("*").alias("n")).where(F.col("n") > HELD).select(*GRAPH))
+    if large.isEmpty():
+        return held_chains(nodes, ends)
+    return held_chains(nodes.join(large, GRAPH, "left_anti"), ends).unionByName(joined_chains(nodes.join(large, GRAPH, "left_semi"), ends, k))
+
+
+def held_chains(nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    """``unitigs`` of graphs of at most ``HELD`` k-mers, each in a task."""
+
+    def group(key, ends, kmer, n):
+        counts = dict(zip(kmer, n))
+        found = chains_of(counts, {e["start"] for e in ends}, {e["end"] for e in ends})
+        return [(*key, c[0], c[-1], spelled(c), len(c), min(counts[x] for x in c)) for c in found]
+
+    # A graph without ends has its chains as well.
+    none = F.lit(None).cast("string")
+    given = ends.unionByName(nodes.select(*GRAPH).distinct().select(*GRAPH, none.alias("start"), none.alias("end")))
+    return by_graph(given, nodes, ["kmer", "n"], group, CHAINS)
+
+
+def joined_chains(nodes: DataFrame, ends: DataFrame, k: int) -> DataFrame:
+    """``unitigs`` of graphs of any size, by joins."""
     a = nodes.select(*GRAPH, F.col("kmer").alias("src"), F.right("kmer", F.lit(k - 1)).alias("mid"))
     b = nodes.select(*GRAPH, F.col("kmer").alias("dst"), F.substring("kmer", 1, k - 1).alias("mid"))
     edges = written(a.join(b, [*GRAPH, "mid"]).select(*GRAPH, "src", "dst"))

@@ -147,3 +147,20 @@ def test_nearest_over_ranges(spark):
     for i, c, m in left:
         own = [(abs(m - x), x, d) for y, x, d in right if y == c]
         assert got[i] == (min(own)[2] if own else None)
+
+
+def test_chains_of_any_size(spark, monkeypatch):
+    """Graphs that a task holds need no joins of k-mers; larger ones have the same chains by joins."""
+    targets, nodes = graphs(4)
+    nodes += [("a", "t0", "AAAAA", 2), ("b", "none", "CCCCC", 1), *(("a", "ring", x, 1) for x in spelled_nodes("ACGTTACGTT"))]
+    t, n = spark.createDataFrame(targets, "target_id string, seq string"), spark.createDataFrame(nodes, "sample_id string, target_id string, kmer string, n long")
+    ends = unitigs.anchors(t, n, K)
+    rows = lambda df: sorted(map(tuple, df.select("sample_id", "target_id", "head", "last", "seq", "n_kmers", "n").collect()))
+    joined = unitigs.joined_chains
+    want = rows(joined(n, ends.select("sample_id", "target_id", "start", "end"), K))
+    calls = []
+    monkeypatch.setattr(unitigs, "joined_chains", lambda *a: calls.append(1) or joined(*a))
+    assert rows(unitigs.unitigs(n, ends, K)) == want and not calls
+    monkeypatch.setattr(unitigs, "HELD", 40)
+    assert rows(unitigs.unitigs(n, ends, K)) == want and calls
+    assert len(want) > 40
