@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lociframe.functions import codes
 from lociframe.functions import sequence as S
-from lociframe.operators import graph, kmers
+from lociframe.operators import graph, kmers, reads
+from lociframe.plans import inputs
 
 
 def plan(df):
@@ -112,3 +113,21 @@ def test_equal_molecules_are_cut_once(spark):
     nodes = graph.own_nodes(df)
     assert {(r.sample_id, r.target_id, r.kmer): r.n for r in nodes.collect()} == want
     assert re.search(r"keys=\[sample_id#\d+, target_id#\d+, seq#\d+\]", plan(nodes))
+
+
+def test_reads_are_worked_out_once(spark):
+    """Conditions on reads don't repeat the digests that reads are made of."""
+    parsed = reads.parse_reads(inputs.reads(spark, "/root/testdata/sf0.001"))
+    for df in (reads.passed(parsed), reads.dropped(parsed)):
+        conditions = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+        assert conditions and not any("md5" in x for x in conditions)
+
+
+def test_low_quality_of_any_text(spark):
+    rng = random.Random(8)
+    texts = [None, "", "\n\n\n\n\n", "5é", "é4", *("".join(chr(rng.randrange(33, 75)) for _ in range(rng.randrange(1, 9))) for _ in range(200))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, q string")
+    for n, least in ((5, 20), (3, 1), (12, 41)):
+        got = {r.i: r.low for r in df.select("i", reads.low_quality(F.col("q"), n, least).alias("low")).collect()}
+        assert [got[i] for i in range(len(texts))] == [None if t is None else t == "" or any(ord(c) - 33 < least for c in t[:n]) for t in texts]
+    assert "split" not in plan(df.where(reads.low_quality(F.col("q"), 5, 20)))
