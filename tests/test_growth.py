@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lociframe.functions import codes
 from lociframe.functions import sequence as S
-from lociframe.operators import graph, kmers, reads
+from lociframe.operators import calls, graph, kmers, reads
 from lociframe.plans import inputs
 
 
@@ -131,3 +131,18 @@ def test_low_quality_of_any_text(spark):
         got = {r.i: r.low for r in df.select("i", reads.low_quality(F.col("q"), n, least).alias("low")).collect()}
         assert [got[i] for i in range(len(texts))] == [None if t is None else t == "" or any(ord(c) - 33 < least for c in t[:n]) for t in texts]
     assert "split" not in plan(df.where(reads.low_quality(F.col("q"), 5, 20)))
+
+
+def test_sequences_are_searched_by_codes(spark, monkeypatch):
+    """Places of whole targets, whether hits are few or many; no letters are cut for it."""
+    rng = random.Random(9)
+    targets = [("a", dna(rng, 40)), ("b", dna(rng, 31)), ("c", "ACGT" * 9), ("short", "ACGTA"), ("n", "N" + dna(rng, 40)), ("late", dna(rng, 35) + "N" + dna(rng, 4))]
+    turned = targets[0][1][::-1].translate(str.maketrans("ACGT", "TGCA"))
+    seqs = [(i, "".join(rng.choice([dna(rng, 9), turned, "N", *(t for _, t in targets), targets[0][1][:35]]) for _ in range(rng.randrange(5)))) for i in range(80)] + [(99, None)]
+    want = sorted((i, n, p) for i, s in seqs for n, t in targets for p in range(len(s or "")) if len(t) >= 31 and t[0] != "N" and s.startswith(t, p))
+    t, df = spark.createDataFrame(targets, "target_id string, seq string"), spark.createDataFrame(seqs, "id long, seq string")
+    for few in (calls.FEW, 0):
+        monkeypatch.setattr(calls, "FEW", few)
+        found = calls.containing(df, t, "id")
+        assert sorted(map(tuple, found.collect())) == want and "Generate" not in plan(found)
+    assert len(want) > 50
