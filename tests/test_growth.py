@@ -146,3 +146,16 @@ def test_sequences_are_searched_by_codes(spark, monkeypatch):
         found = calls.containing(df, t, "id")
         assert sorted(map(tuple, found.collect())) == want and "Generate" not in plan(found)
     assert len(want) > 50
+
+
+def test_molecules_near_targets_are_cut_again(spark, monkeypatch):
+    rng = random.Random(10)
+    target = dna(rng, 60)
+    targets = spark.createDataFrame([("t", target), ("u", target[20:] + dna(rng, 20))], "target_id string, seq string")
+    df = spark.createDataFrame([("s", i, target[:30] + dna(rng, 30) if i % 2 else dna(rng, 60)) for i in range(12)] * 2, "sample_id string, molecule_id long, seq string")
+    coded = S.explode_codes(df, "seq", 11)
+    rows = lambda nodes: sorted(map(tuple, nodes.select("sample_id", "target_id", "kmer", "n").collect()))
+    want = rows(graph.target_nodes(targets, coded, 11))
+    for few in (graph.FEW, 0):
+        monkeypatch.setattr(graph, "FEW", few)
+        assert want and rows(graph.target_nodes(targets, coded, 11, molecules=df)) == want
