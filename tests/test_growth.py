@@ -159,3 +159,25 @@ def test_molecules_near_targets_are_cut_again(spark, monkeypatch):
     for few in (graph.FEW, 0):
         monkeypatch.setattr(graph, "FEW", few)
         assert want and rows(graph.target_nodes(targets, coded, 11, molecules=df)) == want
+
+
+def test_listed_kmers_meet_in_blocks(spark, monkeypatch):
+    """A list's k-mers are no rows before they are distinct, and more of them meet in more parts."""
+    rng = random.Random(11)
+    long = dna(rng, codes.PIECE + 5000)
+    seqs = [(dna(rng, rng.choice([0, 3, 30, 31, 40, 200]), "ACGTacgtN" if i % 3 else "ACGT"),) for i in range(60)] + [(None,), (long,), (long[:700],), ("ACGT" * 50,)]
+    df, other = spark.createDataFrame(seqs * 2, "seq string"), spark.createDataFrame([(long[50:90],), (dna(rng, 60),)], "seq string")
+    for k in (7, 31):
+        want = S.explode_kmers(df.union(other), "seq", k).select("kmer").distinct()
+        digest = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("kmer").cast("decimal(38,0)"))).first()
+        for most in (kmers.A_PART, 100_000):
+            monkeypatch.setattr(kmers, "A_PART", most)
+            for letters in (None, 9_000_000):
+                assert digest(kmers.allowlist(df, other, k=k, letters=letters)) == digest(want)
+            coded = kmers.allowlist(df, other, k=k, coded=True)
+            assert kmers.is_coded(coded) and digest(kmers.spelled(coded, k)) == digest(want)
+    found = plan(kmers.allowlist(df, other))
+    assert "Generate" not in found and not re.search(r"keys=\[kmer|hashpartitioning\(kmer", found)
+    sizes = codes.dealt_codes(df, "seq", 31, 20).groupBy("part").agg(F.sum(F.octet_length("codes") / 8).alias("n")).collect()
+    assert len(sizes) == 20 and max(r.n for r in sizes) < 1.1 * sum(r.n for r in sizes) / 20
+    assert kmers.allowlist(df.where("false")).collect() == []
