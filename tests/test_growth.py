@@ -181,3 +181,32 @@ def test_listed_kmers_meet_in_blocks(spark, monkeypatch):
     sizes = codes.dealt_codes(df, "seq", 31, 20).groupBy("part").agg(F.sum(F.octet_length("codes") / 8).alias("n")).collect()
     assert len(sizes) == 20 and max(r.n for r in sizes) < 1.1 * sum(r.n for r in sizes) / 20
     assert kmers.allowlist(df.where("false")).collect() == []
+
+
+def test_umi_pairs_of_all_buckets(spark):
+    """The query's pairs are those of all with all, whichever of their bases differ."""
+    from lociframe.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    counts = [(r.sample_id, r.umi_a, r.umi_b) for r in QUERIES["canonical_umi_counts"](spark, sf).collect()]
+    apart = lambda x, y: sum(p != q for p, q in zip(x[1] + x[2], y[1] + y[2]))
+    want = sorted((*x, *y[1:], apart(x, y)) for x in counts for y in counts if x[0] == y[0] and x < y and apart(x, y) <= 3)
+    assert any(w[1][:3] != w[3][:3] for w in want)
+    assert sorted(map(tuple, QUERIES["umi_hamming_pairs"](spark, sf).collect())) == want
+
+
+def test_short_umi_pairs_of_any_text(spark, monkeypatch):
+    """UMIs of other lengths are no neighbours; many letters, samples, orders and small pieces change nothing."""
+    from lociframe.operators import reads, umis
+
+    rng = random.Random(9)
+    monkeypatch.setattr(umis, "AT_ONCE", 50)
+    for letters, d in (("ACGT", 3), ("ACN", 1), ("ABCDEFGHIJKLMNOPQRSTé", 4), ("AC", 0)):
+        texts = sorted({(rng.choice("st"), dna(rng, a, letters), dna(rng, b, letters)) for _ in range(50) for a, b in ((3, 2), (2, 3), (5, 5), (1, 0))})
+        rows = [(*t, rng.randrange(3), i) for i, t in enumerate(texts)] + [("s", None, "A", 1, 999)]
+        df = spark.createDataFrame(rows, "sample_id string, umi_a string, umi_b string, n long, first_ord long")
+        apart = lambda x, y: sum(p != q for p, q in zip(x[1] + x[2], y[1] + y[2]))
+        near = [(x, y, apart(x, y)) for x in rows[:-1] for y in rows[:-1] if x[0] == y[0] and len(x[1]) == len(y[1]) and len(x[2]) == len(y[2]) and apart(x, y) <= d]
+        for by_text, place in ((True, lambda x: x[1:3]), (False, lambda x: (-x[3], x[4]))):
+            found = reads.umi_neighbours(df, d, bucketed=False) if by_text else umis.neighbours(df, d)
+            assert sorted(map(tuple, found.collect())) == sorted((*x, *y[1:], n) for x, y, n in near if place(x) < place(y))
