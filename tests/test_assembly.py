@@ -197,3 +197,15 @@ def test_short_and_long_agree(spark):
     one, two = umis.cluster_umis(df, 2), reads.cluster_umis(df, 2, bucketed=False)
     names = ["sample_id", "umi_a", "umi_b", "seed_a", "seed_b"]
     assert sorted(map(tuple, one.select(*names).collect())) == sorted(map(tuple, two.select(*names).collect()))
+
+
+def test_a_run_merges_neighbours_of_all_buckets(spark):
+    """UMIs that differ in their first bases are one family in a run."""
+    from lociframe.plans import pipeline
+    from lociframe.sources import files
+
+    template = "ACGGTCATTGCAGGCTTACCGATGCAAGTC"
+    umis_ = [("AACGT", "TTTCA"), ("ACCGT", "TTTCA"), ("AACGT", "TTTCA"), ("CACGT", "TTTCA"), ("GGGGG", "TTTCA")]
+    rows = [("s", i, a + "TT" + template, "I" * 37, b + "TT" + template, "I" * 37) for i, (a, b) in enumerate(umis_)]
+    molecules = pipeline.assemble(spark.createDataFrame(rows, files.READS))[1].collect()
+    assert sorted((m.seed_a, m.fwd_reads + m.rev_reads) for m in molecules) == [("AACGT", 4), ("GGGGG", 1)]
