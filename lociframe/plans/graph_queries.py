@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import calls, graph, kmers, unitigs
+from ..operators import calls, graph, unitigs
 from ..sources.shared import written
 from . import inputs as I
 from .queries import query, rounded
@@ -83,6 +83,6 @@ def graph_calls(spark, sf):
     rows = molecules.withColumn("family_type", I.family(F.col("molecule_id"))).select("sample_id", "target_id", "family_type", "seq")
     nodes = written(graph.own_nodes(rows, I.K))
     paths = written(graph.walk_paths(targets, nodes))
-    scored = written(graph.path_evidence(paths, kmers.index_of(rows, I.K)))
+    scored = written(graph.path_evidence(paths, graph.index_of_nodes(nodes)))
     found = rounded(calls.call_variants(scored), "vaf")
     return found.select("target_id", "alt_seq", "n_molecules_ref", "n_molecules_alt", "n_duplex_alt", "n_simplex_alt", "vaf")

@@ -164,3 +164,21 @@ def test_chains_of_any_size(spark, monkeypatch):
     monkeypatch.setattr(unitigs, "HELD", 40)
     assert rows(unitigs.unitigs(n, ends, K)) == want and calls
     assert len(want) > 40
+
+
+def test_index_of_nodes(spark):
+    """The nodes' counts make the index of all molecules, over targets that share k-mers, turned or not."""
+    from pyspark.sql import functions as F
+
+    from lociframe.operators import kmers
+    from lociframe.plans import inputs
+
+    rng = random.Random(3)
+    one = "".join(rng.choice("ACGT") for _ in range(45))
+    turned = one[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    seqs = [one, turned, one[:35], "ACGTACGT" * 6, "AC", one[:20] + "N" + one[20:]]
+    rows = [("s" if i % 3 else "t", f"t{i % 4}", i, rng.choice(seqs)) for i in range(120)]
+    df = spark.createDataFrame(rows, "sample_id string, target_id string, molecule_id long, seq string").withColumn("family_type", inputs.family(F.col("molecule_id")))
+    names = ["sample_id", "kmer", "n_molecules", "n_duplex", "n_simplex_fwd", "n_simplex_rev"]
+    got = graph.index_of_nodes(graph.own_nodes(df)).select(*names).collect()
+    assert got and sorted(map(tuple, got)) == sorted(map(tuple, kmers.index_of(df).select(*names).collect()))
