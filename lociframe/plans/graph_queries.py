@@ -83,6 +83,6 @@ def graph_calls(spark, sf):
     rows = molecules.withColumn("family_type", I.family(F.col("molecule_id"))).select("sample_id", "target_id", "family_type", "seq")
     nodes = written(graph.own_nodes(rows, I.K))
     paths = written(graph.walk_paths(targets, nodes))
-    scored = written(graph.path_evidence(paths, graph.index_of_nodes(nodes)))
+    scored = written(graph.path_evidence(paths, graph.index_of_nodes(nodes, I.K, coded=True)))
     found = rounded(calls.call_variants(scored), "vaf")
     return found.select("target_id", "alt_seq", "n_molecules_ref", "n_molecules_alt", "n_duplex_alt", "n_simplex_alt", "vaf")

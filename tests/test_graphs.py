@@ -182,3 +182,44 @@ def test_index_of_nodes(spark):
     names = ["sample_id", "kmer", "n_molecules", "n_duplex", "n_simplex_fwd", "n_simplex_rev"]
     got = graph.index_of_nodes(graph.own_nodes(df)).select(*names).collect()
     assert got and sorted(map(tuple, got)) == sorted(map(tuple, kmers.index_of(df).select(*names).collect()))
+
+
+@pytest.mark.parametrize("coded", [False, True])
+@pytest.mark.parametrize("keys", [["sample_id"], []])
+def test_path_evidence_by_target(spark, coded, keys):
+    """Figures of each path are those of its k-mers, one by one; a path given twice counts once, and no path of a target is sorted or joined k-mer by k-mer."""
+    from pyspark.sql import functions as F
+
+    from lociframe.functions.codes import kmer_code
+
+    rng, k = random.Random(4), 5
+    turn = lambda s: min(s, s[::-1].translate(str.maketrans("ACGT", "TGCA")))
+    paths = [(*("s" for _ in keys), f"t{i % 3}", letters(rng, rng.randrange(4, 14)) + rng.choice(["", "N", "acgtac"]), i % 4 == 0) for i in range(24)]
+    paths = list(dict.fromkeys(paths))
+    seen = {turn(p[-2][i : i + k].upper()) for p in paths for i in range(len(p[-2]) - k + 1)}
+    index = {m: (rng.randrange(9), rng.randrange(9), rng.randrange(9), rng.randrange(9), rng.randrange(8) / 8) for m in sorted(seen) if "N" not in m and rng.random() < 0.8}
+    df = spark.createDataFrame([(*("s" for _ in keys), m, *v) for m, v in index.items()], "".join(f"{c} string, " for c in keys) + "kmer string, n_molecules long, n_duplex long, n_simplex_fwd long, n_simplex_rev long, mean_err double")
+    df = df.withColumn("kmer", kmer_code(F.col("kmer"), k)) if coded else df
+    found = graph.path_evidence(spark.createDataFrame(paths + paths[:5], "".join(f"{c} string, " for c in keys) + "target_id string, path_seq string, is_reference boolean"), df, k, keys)
+    own = lambda p: [m for m in (turn(p[-2][i : i + k].upper()) for i in range(len(p[-2]) - k + 1)) if "N" not in m]
+    want = []
+    for p in paths:
+        mine, ref = own(p), {m for q in paths if q[-1] and q[-3] == p[-3] for m in own(q)}
+        if mine:
+            v = [index.get(m, (0, 0, 0, 0, 0.0)) for m in mine]
+            new = [x for m, x in zip(mine, v) if m not in ref] or v
+            mean = lambda rows, i: sum(r[i] for r in rows) / len(rows)
+            low = [min(r[i] for r in v) for i in range(4)]
+            want.append((*p, low[0], mean(v, 0), low[1], mean(v, 1), low[2], low[3], mine[[r[0] for r in v].index(low[0])], mean(v, 4), min(r[1] for r in new), mean(new, 0)))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "path_seq" not in "".join(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+
+
+def test_index_of_nodes_by_codes(spark):
+    from lociframe.functions.codes import spelled_codes
+
+    rng = random.Random(5)
+    rows = [("s", "t", s[i : i + 31], 1, 0, 1, 0) for s in (letters(rng, 80) for _ in range(3)) for i in range(50)]
+    nodes = spark.createDataFrame(rows, "sample_id string, target_id string, kmer string, n long, n_duplex long, n_simplex_fwd long, n_simplex_rev long")
+    coded = graph.index_of_nodes(nodes, coded=True)
+    assert sorted(map(tuple, coded.withColumn("kmer", spelled_codes(coded.kmer, 31)).collect())) == sorted(map(tuple, graph.index_of_nodes(nodes).collect()))
